@@ -2,12 +2,13 @@
 
 Texts with one shingle set form a class, and only classes are compared. A class lists its shingles rarest first (by a
 count sketch over the whole corpus, then by hash: any total order is exact, the sketch makes it short of hot shingles)
-and posts its prefix of n - ceil(t * n) + 1 of them. Two linked classes share a prefix shingle. Postings meet by
-shingle; pairs then pass the length filter, the positional filter (what can still match after this shingle) and the
-suffix filter (shingles counted by hash range), and are verified once, on whole sets.
+and posts its prefix of n - ceil(t * n) + l of them, l = 1 + n / 20. Two linked classes share as many prefix shingles as
+the smaller of their l. Postings meet by shingle; pairs then pass the length filter, the positional filter (what can
+still match after this shingle), the count of shared prefix shingles and the suffix filter (shingles counted by hash
+range), and are verified once, on whole sets.
 
 Groups of near copies are never spelled out as all pairs. Round 1 tests each posting against the first and the
-previous class of its shingle and joins what is linked; round 2 tests every remaining pair of a shingle whose classes
+previous class of its shingle (pairs met a few times over) and joins what is linked; round 2 tests every remaining pair of a shingle whose classes
 still lie in different components. A link missed by round 1 has its ends in one component or is tested in round 2, so
 no component is lost. Hot shingles are split by the skew join, hot pivots by salts.
 
@@ -19,6 +20,7 @@ text share a component; null ids are kept in their row but are nobody's componen
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,31 +40,40 @@ PERCENT = 75
 SKETCH = 1 << 16
 CHUNK = 1 << 14
 STAR = 256
+#: An n-shingle set posts n / EXTRA more than it must, and its pairs have to meet as many times more.
+EXTRA = 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
-    h = (h ^ (h >> np.uint64(27))) * _MIX[2]
-    return h ^ (h >> np.uint64(31))
-
-
 class Shingler:
-    """Distinct shingle hashes of a text, ascending."""
+    """Distinct shingle hashes of texts, ascending: word hashes times powers of an odd number, summed and mixed."""
 
     def __init__(self, size: int = SHINGLE):
         self.size, self.words = size, Memo(xxhash.xxh3_64_intdigest)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII blanks count
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        size = min(self.size, len(h))
-        out = np.full(len(h) - size + 1, len(h) if len(h) < self.size else self.size, np.uint64)
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: only A-Z and ASCII blanks count
+        ends = np.cumsum([0, *map(len, cut)])
+        h = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(cut)), np.uint64, int(ends[-1]))
+        whole = self._summed(h, self.size) if len(h) >= self.size else h[:0]
+        out = []
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = np.sort(whole[a : z - self.size + 1] if z - a >= self.size else self._summed(h[a:z], z - a) if z > a else h[:0])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        return out
+
+    @staticmethod
+    def _summed(h: np.ndarray, size: int) -> np.ndarray:
+        total = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
-            out = _mixed(out * _MIX[0] + h[k : len(h) - size + 1 + k])
-        return np.unique(out)
+            total *= _MIX[0]
+            total += h[k : len(h) - size + 1 + k]
+        total = (total ^ (total >> np.uint64(30))) * _MIX[1]
+        total = (total ^ (total >> np.uint64(27))) * _MIX[2]
+        return total ^ (total >> np.uint64(31))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -80,7 +91,7 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts, names = Shingler(size), np.zeros(SKETCH, np.uint64), ["d", "cls", "n", "chunk", "counts"]
         for b in batches:
-            sets = [shingler(t) for t in b.column(1).to_pylist()]
+            sets = shingler.many(b.column(1).to_pylist())
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint64)
             rows = [b.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
@@ -112,19 +123,21 @@ def _sketch(found: DataFrame) -> np.ndarray:
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
     """(s shingle, cls, n, pos): the rarest shingles of each class, once in each task."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH cells whatever the corpus holds
+    places = np.empty(SKETCH, np.uint64)
+    places[np.argsort(sketch, kind="stable")] = np.arange(SKETCH)  # the cells from rare to frequent
+    held = docs.sparkSession.sparkContext.broadcast(places << np.uint64(64 - SKETCH.bit_length() + 1))  # SKETCH cells whatever the corpus holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, seen = Shingler(size), held.value, set()
+        shingler, cells, seen = Shingler(size), held.value, set()
         for b in batches:
             s, cls, n, pos = [], [], [], []
-            for text in b.column(1).to_pylist():
-                own = shingler(text)
+            for own in shingler.many(b.column(1).to_pylist()):
                 if not len(own) or (c := class_of(own)) in seen:
                     continue
                 seen.add(c)
-                order = np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                p = len(own) + (-percent * len(own)) // 100 + 1  # n - ceil(percent * n / 100) + 1
+                keys = cells[(own & np.uint64(SKETCH - 1)).astype(np.int64)] | (own >> np.uint64(SKETCH.bit_length() - 1))
+                order = np.argsort(keys, kind="stable")
+                p = min(len(own), len(own) + (-percent * len(own)) // 100 + 1 + len(own) // EXTRA)  # n - ceil(percent * n / 100) + l
                 s.append(own[order[:p]])
                 cls.append(c)
                 n.append(len(own))
@@ -172,10 +185,19 @@ def _shared(postings: DataFrame) -> DataFrame:
     return stash(postings.repartition("s").sortWithinPartitions("s", "cls").mapInArrow(run, schema), "shared-shingles")
 
 
-def _passes(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
-    """Length and positional filter: for its first common shingle, every linked pair passes."""
-    need = f"ceil({percent}D * ({n1} + {n2}) / {100 + percent} - 1e-9)"
-    return f"100L * least({n1}, {n2}) >= {percent}L * greatest({n1}, {n2}) and 1 + least({n1} - {p1}, {n2} - {p2}) - 1 >= {need}"
+def _alike(percent: int) -> str:
+    """Length filter."""
+    return f"100L * least(n1, n2) >= {percent}L * greatest(n1, n2)"
+
+
+def _reaches(percent: int) -> str:
+    """Positional filter: this shingle and all after it would suffice. True at the first common shingle of a linked pair."""
+    return f"least(n1 - p1, n2 - p2) >= ceil({percent}D * (n1 + n2) / {100 + percent} - 1e-9)"
+
+
+def _least_met() -> str:
+    """Prefix shingles that a linked pair shares."""
+    return f"least(n1, n2) div {EXTRA} + 1"
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -188,7 +210,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, per
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for b in batches:
-            own = [shingler(t) for t in b.column(1).to_pylist()]
+            own = shingler.many(b.column(1).to_pylist())
             good = [class_of(s) == c for s, c in zip(own, b.column(0).to_pylist(), strict=True)]
             rows = [(c, s.tobytes()) for c, s, g in zip(b.column(0).to_pylist(), own, good, strict=True) if g]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "own"])
@@ -234,9 +256,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = found.where("chunk is null").select("d", "cls", "n")
     reps = stash(members.where("cls is not null").groupBy("cls").agg(F.min(F.when(F.col("d") != NULL_ID, F.col("d"))).alias("known"), F.min("d").alias("any")).select("cls", F.coalesce("known", "any").alias("rep")), "representatives")
     shared = _shared(_prefixes(docs, _sketch(found), shingle, percent))
-    one = shared.where(_passes(percent, "n", "pos", "first_n", "first_pos")).select(F.col("first").alias("x"), F.col("cls").alias("y"))
-    two = shared.where(_passes(percent, "n", "pos", "prev_n", "prev_pos")).select(F.col("prev").alias("x"), F.col("cls").alias("y"))
-    links = _verified(docs, reps, one.union(two), shingle, percent)
+    one = shared.select(F.col("first").alias("x"), F.col("cls").alias("y"), F.col("first_n").alias("n1"), F.col("first_pos").alias("p1"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    two = shared.where("prev <> first").select("prev", "cls", "prev_n", "prev_pos", "n", "pos")
+    met = one.union(two).where(_alike(percent)).groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
+    links = _verified(docs, reps, met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y"), shingle, percent)
     edges = _to_reps(links, reps)
     roots = connected_components(edges, "round-1")
 
@@ -247,8 +270,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     left = stash(posts.join(split, "s"), "open-shingles")
     a = left.select("s", F.col("cls").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
-    open_pairs = a.join(b, "s").where("x < y and r1 <> r2 and " + _passes(percent, "n1", "p1", "n2", "p2")).select("x", "y")
-    more = _verified(docs, reps, open_pairs, shingle, percent)
+    met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
+    more = _verified(docs, reps, met.where(f"ok and met >= {_least_met()}").select("x", "y"), shingle, percent)
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")
