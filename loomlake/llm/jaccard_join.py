@@ -8,9 +8,12 @@ still match after this shingle), the count of shared prefix shingles and the suf
 range), and are verified once, on whole sets.
 
 Groups of near copies are never spelled out as all pairs. Round 1 tests each posting against the first and the
-previous class of its shingle (pairs met a few times over) and joins what is linked; round 2 tests every remaining pair of a shingle whose classes
-still lie in different components. A link missed by round 1 has its ends in one component or is tested in round 2, so
-no component is lost. Hot shingles are split by the skew join, hot pivots by salts.
+previous class of its shingle (pairs met a few times over) and joins what is linked, hot pivots dealt out by salts.
+Round 2 looks at shingles whose classes still lie in different components. Where these are few, their pairs meet by a
+join. Where they are more than HOT, the classes that such shingles connect form a family; its sets are dealt to cells
+of two blocks of about BLOCK classes, a cell counts intersections by matrix products and gives back a spanning forest
+of the links it found. A link missed by round 1 has its ends in one component or is tested in round 2, so no component
+is lost, and no task holds more than a cell.
 
 Shingles are 64-bit hashes of word 5-tuples; two different shingles of one compared pair collide with a chance of
 about 1e-14. Null or empty texts have no shingles, are linked with nothing and are their own component; rows of equal
@@ -40,6 +43,8 @@ PERCENT = 75
 SKETCH = 1 << 16
 CHUNK = 1 << 14
 STAR = 256
+HOT = 32
+BLOCK = 384
 #: An n-shingle set posts n / EXTRA more than it must, and its pairs have to meet as many times more.
 EXTRA = 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -200,23 +205,26 @@ def _least_met() -> str:
     return f"least(n1, n2) div {EXTRA} + 1"
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (x, y) that are linked. Sets come only for classes in pairs; a class with many
-    partners is dealt out with salts, each with one copy of its set."""
-    pairs = stash(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct()
-    wanted = stash(reps.join(wanted, "cls"), "wanted")
+def _sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cls, own): whole sets of the distinct classes, from their documents' texts."""
+    wanted = stash(reps.join(classes, "cls"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for b in batches:
-            own = shingler.many(b.column(1).to_pylist())
-            good = [class_of(s) == c for s, c in zip(own, b.column(0).to_pylist(), strict=True)]
-            rows = [(c, s.tobytes()) for c, s, g in zip(b.column(0).to_pylist(), own, good, strict=True) if g]
+            own, known = shingler.many(b.column(1).to_pylist()), b.column(0).to_pylist()
+            rows = [(c, s.tobytes()) for c, s in zip(known, own, strict=True) if class_of(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "own"])
 
     own = _texts(docs).join(wanted.withColumnRenamed("rep", "d"), "d").select("cls", "text").mapInArrow(sets, "cls long, own binary")
-    own = stash(own.dropDuplicates(["cls"]), "sets")
+    return stash(own.dropDuplicates(["cls"]), "sets")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (x, y) that are linked. Sets come only for classes in pairs; a class with many
+    partners is dealt out with salts, each with one copy of its set."""
+    pairs = stash(pairs, "pairs")
+    own = _sets(docs, reps, pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), size)
     deals = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR).cast("int").alias("deals"))
     salted = pairs.join(deals, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int"))
     centres = deals.select("x", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"))
@@ -245,6 +253,77 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, per
     return stash(met.mapInArrow(test, "x long, y long"), "links")
 
 
+def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], percent: int, slab: int = 8192) -> list[tuple[int, int]]:
+    """A spanning forest (positions) of the links between rows of different roots; of different blocks, if there are two."""
+    n = np.array([len(s) for s in own])
+    values, where = np.unique(np.concatenate(own), return_inverse=True)
+    rows = np.repeat(np.arange(len(own)), n)
+    counts = np.bincount(where)
+    place = np.cumsum(counts > 1) - 1  # shingles of one row can't be shared
+    keep = counts[where] > 1
+    rows, where = rows[keep], place[where[keep]]
+    order = np.argsort(where, kind="stable")
+    rows, where = rows[order], where[order]
+    shared = np.zeros((len(own), len(own)), np.float32)
+    for low in range(0, int(where[-1]) + 1 if len(where) else 0, slab):
+        a, z = np.searchsorted(where, [low, low + slab])
+        flags = np.zeros((len(own), slab), np.float32)
+        flags[rows[a:z], where[a:z] - low] = 1
+        shared += flags @ flags.T
+    total, root, block = n[:, None] + n[None, :] - shared, np.array(roots), np.array(blocks)
+    linked = (100 * shared.astype(np.float64) >= percent * total.astype(np.float64)) & (root[:, None] != root[None, :])
+    if len(set(blocks)) > 1:
+        linked &= block[:, None] != block[None, :]
+    tree = list(range(len(own)))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        i, j = int(i), int(j)
+        ends = []
+        for k in (i, j):
+            while tree[k] != k:
+                tree[k] = tree[tree[k]]
+                k = tree[k]
+            ends.append(k)
+        if ends[0] != ends[1]:
+            tree[ends[0]] = ends[1]
+            out.append((i, j))
+    return out
+
+
+def _family_links(docs: DataFrame, reps: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (x, y) among classes of hot shingles (s, cls, root) that lie in different components."""
+    firsts = hot.groupBy("s").agg(F.min("cls").alias("y"))
+    bonds = hot.join(firsts, "s").where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
+    family = connected_components(bonds, "families")
+    members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
+    members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = _sets(docs, reps, members.select("cls"), size)
+    dealt = members.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    cells = dealt.select("cls", "root", "family", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = cells.select("cls", "root", "b", "family", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")).join(own, "cls")
+    key = ["family", "lo", "hi"]
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[dict]) -> pa.RecordBatch:
+            found = _cell_links([np.frombuffer(r["own"], np.uint64) for r in rows], [r["b"] for r in rows], [r["root"] for r in rows], percent)
+            ends = [sorted((rows[i]["cls"], rows[j]["cls"])) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and any(held[0][k] != row[k] for k in key):
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    met = cells.repartition(*key).sortWithinPartitions(*key, "cls")
+    return stash(met.mapInArrow(test, "x long, y long"), "family-links")
+
+
 def _to_reps(links: DataFrame, reps: DataFrame) -> DataFrame:
     a, b = reps.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), reps.select(F.col("cls").alias("y"), F.col("rep").alias("ry"))
     return links.join(a, "x").join(b, "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
@@ -266,13 +345,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     all_posts = shared.select("s", "cls", "n", "pos").union(shared.where("prev = first").select("s", "first", "first_n", "first_pos"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
     posts = stash(all_posts.join(named, "cls"), "rooted-shingles")
-    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    left = stash(posts.join(split, "s"), "open-shingles")
+    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("s", "m")
+    opened = stash(posts.join(split, "s"), "open-shingles")
+    left, hot = opened.where(f"m <= {HOT}"), opened.where(f"m > {HOT}")
     a = left.select("s", F.col("cls").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
     more = _verified(docs, reps, met.where(f"ok and met >= {_least_met()}").select("x", "y"), shingle, percent)
+    more = more.union(_family_links(docs, reps, hot, shingle, percent))
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")
