@@ -20,12 +20,12 @@ PIECES = "start long, end long, text string"
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
 
-def window_pieces(text: Column, size: int | Column = 1200, overlap: int | Column = 200) -> Column:
-    """array<struct<start, end, text>> of overlapping character windows over the stripped text."""
+def window_pieces(whole: Column, size: int | Column = 1200, overlap: int | Column = 200) -> Column:
+    """array<struct<start, end, text>> of overlapping character windows over a stripped text. ``whole`` should be a
+    plain column: an expression would be evaluated for each piece."""
     if isinstance(size, int) and isinstance(overlap, int) and not 0 <= overlap < size:
         raise ValueError("overlap has to be smaller than the chunk size")
     size, overlap = (F.lit(x) if isinstance(x, int) else x for x in (size, overlap))
-    whole = strip(text)
     n, step = F.length(whole), size - overlap
     count = F.when(n <= size, F.when(n > 0, 1).otherwise(0)).otherwise(1 + F.ceil((n - size) / step)).cast("int")
 
@@ -39,7 +39,7 @@ def window_pieces(text: Column, size: int | Column = 1200, overlap: int | Column
 
 def char_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
     """docs' columns but the text, with chunk_index, num_chunks_total, char_start, char_end and the chunk as text."""
-    cut = docs.withColumn("__p", window_pieces(F.col(text), size, overlap)).drop(text)
+    cut = docs.withColumn("__t", strip(F.col(text))).withColumn("__p", window_pieces(F.col("__t"), size, overlap)).drop(text, "__t")
     rows = cut.withColumn("num_chunks_total", F.size("__p")).select("*", F.posexplode("__p").alias("chunk_index", "__c")).drop("__p")
     return rows.select("*", F.col("__c.start").alias("char_start"), F.col("__c.end").alias("char_end"), F.col("__c.text").alias("text")).drop("__c")
 
@@ -52,11 +52,11 @@ def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_siz
     """
     good = docs.where("doc_id is not null and trim(doc_id) <> '' and clean_text is not null").where(strip(F.col("clean_text")) != "")
     kind = F.coalesce(F.nullif("content_type", F.lit("")), F.nullif("kb_family", F.lit("")), F.lit("unknown"))
-    text = F.col("clean_text")
+    good, text = good.withColumn("__t", strip(F.col("clean_text"))), F.col("__t")
     own = F.when(kind == "article", F.lit(article_size or size)).otherwise(F.lit(size))
     lap = F.when(kind == "article", F.lit(article_overlap if article_overlap is not None else overlap)).otherwise(F.lit(overlap))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(strip(text)).cast("long").alias("end"), strip(text).alias("text")))
-    pieces = F.when((kind == "qa_pair") & (F.length(strip(text)) <= qa_whole), whole).otherwise(window_pieces(text, own, lap))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end"), text.alias("text")))
+    pieces = F.when((kind == "qa_pair") & (F.length(text) <= qa_whole), whole).otherwise(window_pieces(text, own, lap))
     rows = good.withColumn("__p", pieces).withColumn("num_chunks_total", F.size("__p")).select("*", F.posexplode("__p").alias("chunk_index", "__c"))
     return rows.select(
         F.concat_ws("_chunk_", "doc_id", F.col("chunk_index").cast("string")).alias("chunk_id"),
