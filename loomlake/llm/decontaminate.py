@@ -1,9 +1,10 @@
 """Operator 3, benchmark decontamination by a positional inverted index (DataFrame functions only).
 
 The index stores, for each training document, the positions of every term that the test items use; it is partitioned
-by document block, as the scan is, so that building it moves nothing. Phrase search takes the rarest term of each
-window of 13 item words, turns its postings into alignments (document, item, position minus offset), and intersects
-those with the offset-adjusted postings of the item's other terms; 13 offsets in a row are an exact match. Proximity
+by document block, as the scan is, so that building it moves nothing. Phrase search takes the two rarest terms of
+each window of 13 item words, turns their postings into alignments (document, item, position minus offset), keeps those
+that both show, and intersects them with the offset-adjusted postings of the item's other terms; 13 offsets in a row
+are an exact match. Proximity
 search intersects the postings of two terms within a distance.
 
 A document is keyed by its id and the hash of its text, so that rows that share an id stay apart; rows equal in both
@@ -44,19 +45,22 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_of_windows(terms: DataFrame, postings: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rarest term of each window, by occurrences in the corpus: distinct (ik, o, t)."""
+    """The two rarest terms of each window, by occurrences in the corpus: distinct (ik, o, t, need). Windows with a term
+    that the corpus lacks are left out. need: how many of an item's terms an alignment has to show (1 or 2)."""
     counts = postings.where(F.col("t") != END).groupBy("t").count()
     span = Window.partitionBy("ik").orderBy("o").rowsBetween(0, window - 1)
-    rare = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("t").alias("t"), F.col("o").alias("o"))).over(span)
-    starts = terms.join(counts, "t", "left").withColumn("r", rare).where(F.col("o") <= F.greatest(F.col("n") - window, F.lit(0)))
-    return starts.where("r.c > 0").select("ik", "r.o", "r.t").distinct()
+    term = F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("t").alias("t"), F.col("o").alias("o"))
+    starts = terms.join(counts, "t", "left").withColumn("r", F.slice(F.sort_array(F.collect_list(term).over(span)), 1, 2))
+    starts = starts.where(F.col("o") <= F.greatest(F.col("n") - window, F.lit(0))).where("r[0].c > 0")
+    return starts.select("ik", F.least("n", F.lit(2)).alias("need"), F.explode("r").alias("r")).select("ik", "r.o", "r.t", "need").distinct()
 
 
 def phrase_hits(postings: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """Exact matches of any window: (d, h, pos, item), one row for each document word and item that hits it."""
     seeds = stash(rarest_of_windows(terms, postings, window), "seeds")
-    found = postings.join(seeds, "t").select("d", "h", "ik", (F.col("pos") - F.col("o")).alias("at")).distinct()
-    found = stash(found, "alignments")
+    marks = F.bit_count(F.bit_or(F.expr("shiftleft(1L, o % 63)")))  # the two terms of one window never share a bit
+    shown = postings.join(seeds, "t").groupBy("d", "h", "ik", (F.col("pos") - F.col("o")).alias("at")).agg(marks.alias("shown"), F.max("need").alias("need"))
+    found = stash(shown.where("shown >= need").select("d", "h", "ik", "at"), "alignments")
     near = postings.where(F.col("t") != END).join(stash(found.select("d", "h").distinct(), "aligned-docs"), ["d", "h"], "left_semi")
     wanted = found.join(terms, "ik").select("d", "h", (F.col("at") + F.col("o")).alias("pos"), "t", "ik", "item", "o", "n", "at")
     both = near.join(wanted, ["d", "h", "pos", "t"]).distinct()
