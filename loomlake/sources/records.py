@@ -27,7 +27,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "toleran
 
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows with line_num, from 1 in each file; bad lines keep their number and have nulls. One file is one task's work."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
     return lines.where("trim(line) <> ''").select((F.col("i") + 1).alias("line_num"), F.from_json("line", schema).alias("r")).select("line_num", "r.*")
 
 
