@@ -114,7 +114,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
     model = FactorisationMachine(mean, scale, math.log(max(share, 1e-6) / max(1 - share, 1e-6)), np.zeros(buckets + width), rng.normal(0, 0.02, (buckets + width, rank)), buckets)
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         model.v[:] = 0
         return model
     data = [model.joined(*r) for r in rows]
