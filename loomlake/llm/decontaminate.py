@@ -102,5 +102,5 @@ def found_table(hits: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept."""
     bad = contamination(docs, items).where("contaminated").select(F.col("d").alias("__d"), F.col("h").alias("__h")).distinct()
-    bad = stash(bad, "contaminated")
+    bad = stash(bad, "contaminated").hint("shuffle_hash")  # texts are dealt out at every size
     return docs.join(bad, (key_of("doc_id") == F.col("__d")) & (F.xxhash64(text_of()) == F.col("__h")), "left_anti")

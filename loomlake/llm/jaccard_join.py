@@ -44,6 +44,7 @@ SKETCH = 1 << 16
 CHUNK = 1 << 14
 STAR = 256
 HOT = 32
+FILTER = 1 << 23
 BLOCK = 384
 #: An n-shingle set posts n / EXTRA more than it must, and its pairs have to meet as many times more.
 EXTRA = 20
@@ -205,26 +206,63 @@ def _least_met() -> str:
     return f"least(n1, n2) div {EXTRA} + 1"
 
 
-def _sets(docs: DataFrame, reps: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(cls, own): whole sets of the distinct classes, from their documents' texts."""
-    wanted = stash(reps.join(classes, "cls"), "wanted")
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER bits over the classes, two bits each; when it fills up it only lets more through."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER, bool)
+        for b in batches:
+            for place in _bits(b.column(0).to_numpy(zero_copy_only=False)):
+                flags[place] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(FILTER // 8, np.uint8)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                whole |= np.frombuffer(data, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], ["flags"])
+
+    rows = classes.mapInArrow(add, "flags binary").repartition(4).mapInArrow(merge, "flags binary").collect()  # four of FILTER bits
+    whole = np.zeros(FILTER // 8, np.uint8)
+    for (data,) in rows:
+        whole |= np.frombuffer(data, np.uint8)
+    return np.unpackbits(whole).astype(bool)
+
+
+def _bits(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = classes.astype(np.int64).view(np.uint64)
+    return (c % np.uint64(FILTER)).astype(np.int64), ((c >> np.uint64(32)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cls, own): whole sets of the distinct classes. The texts stay where they are: each task makes the sets of its own
+    texts that pass a filter of fixed size, once for each class, and the sets meet the exact classes."""
+    wanted = stash(classes, "wanted")
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_of(wanted)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, flags, seen = Shingler(size), np.unpackbits(held.value).astype(bool), set()
         for b in batches:
-            own, known = shingler.many(b.column(1).to_pylist()), b.column(0).to_pylist()
-            rows = [(c, s.tobytes()) for c, s in zip(known, own, strict=True) if class_of(s) == c]
+            own = [s for s in shingler.many(b.column(1).to_pylist()) if len(s)]
+            known = np.array([class_of(s) for s in own], np.int64)
+            one, two = _bits(known)
+            rows = []
+            for c, s, passed in zip(known.tolist(), own, flags[one] & flags[two], strict=True):
+                if passed and c not in seen:
+                    seen.add(c)
+                    rows.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "own"])
 
-    own = _texts(docs).join(wanted.withColumnRenamed("rep", "d"), "d").select("cls", "text").mapInArrow(sets, "cls long, own binary")
+    own = stash(_texts(docs).mapInArrow(sets, "cls long, own binary"), "set-copies").join(wanted, "cls")
     return stash(own.dropDuplicates(["cls"]), "sets")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (x, y) that are linked. Sets come only for classes in pairs; a class with many
     partners is dealt out with salts, each with one copy of its set."""
     pairs = stash(pairs, "pairs")
-    own = _sets(docs, reps, pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), size)
+    own = _sets(docs, pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), size)
     deals = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR).cast("int").alias("deals"))
     salted = pairs.join(deals, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int"))
     centres = deals.select("x", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"))
@@ -290,7 +328,7 @@ def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], perc
     return out
 
 
-def _family_links(docs: DataFrame, reps: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
+def _family_links(docs: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (x, y) among classes of hot shingles (s, cls, root) that lie in different components."""
     firsts = hot.groupBy("s").agg(F.min("cls").alias("y"))
     bonds = hot.join(firsts, "s").where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
@@ -298,7 +336,7 @@ def _family_links(docs: DataFrame, reps: DataFrame, hot: DataFrame, size: int, p
     members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
     members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = _sets(docs, reps, members.select("cls"), size)
+    own = _sets(docs, members.select("cls"), size)
     dealt = members.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     cells = dealt.select("cls", "root", "family", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     cells = cells.select("cls", "root", "b", "family", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")).join(own, "cls")
@@ -338,7 +376,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     one = shared.select(F.col("first").alias("x"), F.col("cls").alias("y"), F.col("first_n").alias("n1"), F.col("first_pos").alias("p1"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     two = shared.where("prev <> first").select("prev", "cls", "prev_n", "prev_pos", "n", "pos")
     met = one.union(two).where(_alike(percent)).groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
-    links = _verified(docs, reps, met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y"), shingle, percent)
+    links = _verified(docs, met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y"), shingle, percent)
     edges = _to_reps(links, reps)
     roots = connected_components(edges, "round-1")
 
@@ -352,8 +390,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
-    more = _verified(docs, reps, met.where(f"ok and met >= {_least_met()}").select("x", "y"), shingle, percent)
-    more = more.union(_family_links(docs, reps, hot, shingle, percent))
+    more = _verified(docs, met.where(f"ok and met >= {_least_met()}").select("x", "y"), shingle, percent)
+    more = more.union(_family_links(docs, hot, shingle, percent))
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")
@@ -365,4 +403,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id; rows equal in id are kept together."""
     gone = near_duplicates(docs).where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stash(gone, "near-copies"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(stash(gone, "near-copies").hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")

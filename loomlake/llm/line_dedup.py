@@ -41,7 +41,8 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the deleted lines gone from ``text``, and __n_lines, __n_removed."""
     runs = repeated_line_runs(docs, min_words)
     per_doc = runs.groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "end")).alias("__runs"))
-    joined = docs.join(stash(per_doc, "line-runs"), (key_of("doc_id") == F.col("__d")) & (F.xxhash64(text_of()) == F.col("__h")), "left")
+    # texts are dealt out at every size: a broadcast would hold only for small corpora
+    joined = docs.join(stash(per_doc, "line-runs").hint("shuffle_hash"), (key_of("doc_id") == F.col("__d")) & (F.xxhash64(text_of()) == F.col("__h")), "left")
     lines = F.split(F.col("text"), "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["end"])))
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
