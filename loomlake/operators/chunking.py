@@ -20,55 +20,51 @@ PIECES = "start long, end long, text string"
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
 
-def window_pieces(whole: Column, size: int | Column = 1200, overlap: int | Column = 200) -> Column:
-    """array<struct<start, end, text>> of overlapping character windows over a stripped text. ``whole`` should be a
-    plain column: an expression would be evaluated for each piece."""
-    if isinstance(size, int) and isinstance(overlap, int) and not 0 <= overlap < size:
-        raise ValueError("overlap has to be smaller than the chunk size")
-    size, overlap = (F.lit(x) if isinstance(x, int) else x for x in (size, overlap))
-    n, step = F.length(whole), size - overlap
-    count = F.when(n <= size, F.when(n > 0, 1).otherwise(0)).otherwise(1 + F.ceil((n - size) / step)).cast("int")
+def explode_windows(docs: DataFrame, text: Column, size: Column, overlap: Column) -> DataFrame:
+    """docs with __t (the stripped text), __i, __n (windows), __a, __z (start, end): one row for each window. The text is
+    stripped once, below the generator; only places are generated."""
+    rows = docs.withColumn("__t", strip(text)).withColumns({"__len": F.length("__t"), "__size": size, "__step": size - overlap})
+    more = F.ceil((F.col("__len") - F.col("__size")) / F.col("__step")).cast("int")
+    rows = rows.withColumn("__n", F.when(F.col("__len") <= F.col("__size"), F.when(F.col("__len") > 0, 1).otherwise(0)).otherwise(1 + more))
+    rows = rows.where("__n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
+    start = (F.col("__i") * F.col("__step")).cast("long")
+    return rows.withColumn("__a", start).withColumn("__z", F.least(F.col("__a") + F.col("__size"), F.col("__len")).cast("long"))
 
-    def piece(i: Column) -> Column:
-        start = (i * step).cast("long")
-        end = F.least(start + size, n).cast("long")
-        return F.struct(start.alias("start"), end.alias("end"), strip(F.substring(whole, (start + 1).cast("int"), size.cast("int"))).alias("text"))
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), piece))
+def _piece() -> Column:
+    return strip(F.substring(F.col("__t"), (F.col("__a") + 1).cast("int"), (F.col("__z") - F.col("__a")).cast("int")))
 
 
 def char_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
     """docs' columns but the text, with chunk_index, num_chunks_total, char_start, char_end and the chunk as text."""
-    cut = docs.withColumn("__t", strip(F.col(text))).withColumn("__p", window_pieces(F.col("__t"), size, overlap)).drop(text, "__t")
-    rows = cut.withColumn("num_chunks_total", F.size("__p")).select("*", F.posexplode("__p").alias("chunk_index", "__c")).drop("__p")
-    return rows.select("*", F.col("__c.start").alias("char_start"), F.col("__c.end").alias("char_end"), F.col("__c.text").alias("text")).drop("__c")
+    if not 0 <= overlap < size:
+        raise ValueError("overlap has to be smaller than the chunk size")
+    rest = [F.col(c) for c in docs.columns if c != text]
+    rows = explode_windows(docs, F.col(text), F.lit(size), F.lit(overlap))
+    return rows.select(*rest, F.col("__n").alias("num_chunks_total"), F.col("__i").alias("chunk_index"), F.col("__a").alias("char_start"), F.col("__z").alias("char_end"), _piece().alias("text"))
 
 
 def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_size: int | None = None, article_overlap: int | None = None, qa_whole: int = 4000) -> DataFrame:
     """Chunks of a knowledge base: doc_id, content_type, kb_family, clean_text and more in, 15 chunk fields out.
 
-    Rows without id or text go; the first row of an id stays. A question-answer pair of up to ``qa_whole`` characters
-    is one chunk.
+    Rows without id or text go. A question-answer pair of up to ``qa_whole`` characters is one chunk.
     """
-    good = docs.where("doc_id is not null and trim(doc_id) <> '' and clean_text is not null").where(strip(F.col("clean_text")) != "")
+    good = docs.where("doc_id is not null and trim(doc_id) <> '' and clean_text is not null")
     kind = F.coalesce(F.nullif("content_type", F.lit("")), F.nullif("kb_family", F.lit("")), F.lit("unknown"))
-    good, text = good.withColumn("__t", strip(F.col("clean_text"))), F.col("__t")
-    own = F.when(kind == "article", F.lit(article_size or size)).otherwise(F.lit(size))
+    own = F.when(kind == "article", F.lit(article_size or size)).when((kind == "qa_pair") & (F.length(strip(F.col("clean_text"))) <= qa_whole), F.lit(qa_whole)).otherwise(F.lit(size))
     lap = F.when(kind == "article", F.lit(article_overlap if article_overlap is not None else overlap)).otherwise(F.lit(overlap))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end"), text.alias("text")))
-    pieces = F.when((kind == "qa_pair") & (F.length(text) <= qa_whole), whole).otherwise(window_pieces(text, own, lap))
-    rows = good.withColumn("__p", pieces).withColumn("num_chunks_total", F.size("__p")).select("*", F.posexplode("__p").alias("chunk_index", "__c"))
+    rows = explode_windows(good, F.col("clean_text"), own, lap)
     return rows.select(
-        F.concat_ws("_chunk_", "doc_id", F.col("chunk_index").cast("string")).alias("chunk_id"),
+        F.concat_ws("_chunk_", "doc_id", F.col("__i").cast("string")).alias("chunk_id"),
         F.col("doc_id").alias("parent_doc_id"),
         F.coalesce(F.nullif("kb_family", F.lit("")), kind).alias("kb_family"),
         kind.alias("content_type"),
         *[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("source_site", "string"), ("url", "string"), ("title", "string"), ("language", "string"), ("published_date_raw", "string"), ("tags", "array<string>"))],
-        F.col("chunk_index").cast("long").alias("chunk_index"),
-        F.col("num_chunks_total").cast("long").alias("num_chunks_total"),
-        F.col("__c.start").alias("char_start"),
-        F.col("__c.end").alias("char_end"),
-        F.col("__c.text").alias("text"),
+        F.col("__i").cast("long").alias("chunk_index"),
+        F.col("__n").cast("long").alias("num_chunks_total"),
+        F.col("__a").alias("char_start"),
+        F.col("__z").alias("char_end"),
+        _piece().alias("text"),
     )
 
 

@@ -30,10 +30,14 @@ class SparseIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "stats")))
 
 
-def build(chunks: DataFrame, key: str, text: str = "text") -> SparseIndex:
+def build(chunks: DataFrame, key: str, text: str = "text", keep: bool = True) -> SparseIndex:
+    """keep: hold postings and lengths (memory, then disk) while one job reads them several times; a saved index that
+    is loaded needs no such thing."""
     tokens = chunks.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     docs = tokens.select("id", F.size("w").cast("long").alias("dl"))
     postings = tokens.select("id", F.explode("w").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    if keep:
+        docs, postings = docs.persist(), postings.persist()
     terms = postings.groupBy("token").agg(F.count("*").alias("df"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return SparseIndex(docs, postings, terms, stats)
