@@ -9,7 +9,8 @@ range), and are verified once, on whole sets.
 
 Groups of near copies are never spelled out as all pairs. Round 1 tests each posting against the first and the
 previous class of its shingle (pairs met a few times over) and joins what is linked, hot pivots dealt out by salts.
-Round 2 looks at shingles whose classes still lie in different components. Where these are few, their pairs meet by a
+Round 2 looks at shingles whose classes still lie in different components. A class with fewer of them than any linked
+pair of its size shares is settled and leaves. Where a shingle's classes are few, their pairs meet by a
 join. Where they are more than HOT, the classes that such shingles connect form a family; its sets are dealt to cells
 of two blocks of about BLOCK classes, a cell counts intersections by matrix products and gives back a spanning forest
 of the links it found. A link missed by round 1 has its ends in one component or is tested in round 2, so no component
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import NULL_ID, id_of, key_of, small_batches, stash
@@ -206,8 +207,8 @@ def _least_met() -> str:
     return f"least(n1, n2) div {EXTRA} + 1"
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER bits over the classes, two bits each; when it fills up it only lets more through."""
+def _filter_of(reps: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER bits over document keys, two bits each; when it fills up it only lets more through."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(FILTER, bool)
@@ -223,58 +224,84 @@ def _filter_of(classes: DataFrame) -> np.ndarray:
                 whole |= np.frombuffer(data, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], ["flags"])
 
-    rows = classes.mapInArrow(add, "flags binary").repartition(4).mapInArrow(merge, "flags binary").collect()  # four of FILTER bits
+    rows = reps.mapInArrow(add, "flags binary").repartition(4).mapInArrow(merge, "flags binary").collect()  # four of FILTER bits
     whole = np.zeros(FILTER // 8, np.uint8)
     for (data,) in rows:
         whole |= np.frombuffer(data, np.uint8)
-    return np.unpackbits(whole).astype(bool)
+    return whole
 
 
-def _bits(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = classes.astype(np.int64).view(np.uint64)
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = keys.astype(np.int64).view(np.uint64) * _MIX[0]
+    c = (c ^ (c >> np.uint64(30))) * _MIX[1]
     return (c % np.uint64(FILTER)).astype(np.int64), ((c >> np.uint64(32)) % np.uint64(FILTER)).astype(np.int64)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(cls, own): whole sets of the distinct classes. The texts stay where they are: each task makes the sets of its own
-    texts that pass a filter of fixed size, once for each class, and the sets meet the exact classes."""
-    wanted = stash(classes, "wanted")
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_of(wanted)))
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cls, own): whole sets of the classes whose representatives stand in wanted.rep, and of others that a filter of
+    fixed size lets through. The texts stay where they are; only representatives are shingled."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("rep")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, flags, seen = Shingler(size), np.unpackbits(held.value).astype(bool), set()
+        shingler, flags = Shingler(size), np.unpackbits(held.value).astype(bool)
         for b in batches:
-            own = [s for s in shingler.many(b.column(1).to_pylist()) if len(s)]
-            known = np.array([class_of(s) for s in own], np.int64)
-            one, two = _bits(known)
-            rows = []
-            for c, s, passed in zip(known.tolist(), own, flags[one] & flags[two], strict=True):
-                if passed and c not in seen:
-                    seen.add(c)
-                    rows.append((c, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "own"])
-
-    own = stash(_texts(docs).mapInArrow(sets, "cls long, own binary"), "set-copies").join(wanted, "cls")
-    return stash(own.dropDuplicates(["cls"]), "sets")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (x, y) that are linked. Sets come only for classes in pairs; a class with many
-    partners is dealt out with salts, each with one copy of its set."""
+            one, two = _bits(b.column(0).to_numpy(zero_copy_only=False))
+            own = [s for s in shingler.many(b.column(1).filter(pa.array(flags[one] & flags[two])).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(class_of, own)), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "own"])
+
+    return _texts(docs).mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
+
+
+def _pair_seats(pairs: DataFrame) -> DataFrame:
+    """Where the set of cls has to be for the distinct pairs (x, y): at (x, salt), the centre with a null y. A class with
+    many partners is dealt out with salts, each with one copy of its set."""
     pairs = stash(pairs, "pairs")
-    own = _sets(docs, pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), size)
     deals = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR).cast("int").alias("deals"))
-    salted = pairs.join(deals, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("deals")).cast("int"))
-    centres = deals.select("x", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"))
-    centres = centres.join(own, F.col("x") == F.col("cls")).select("x", "salt", F.lit(None).cast("long").alias("y"), "own")
-    points = salted.join(own, F.col("y") == F.col("cls")).select("x", "salt", "y", "own")
+    salted = pairs.join(deals, "x").select(F.col("y").alias("cls"), F.col("x").alias("a"), F.pmod(F.xxhash64("y"), F.col("deals")).cast("int").alias("b"), "y")
+    centres = deals.select(F.col("x").alias("cls"), F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("b"), F.lit(None).cast("long").alias("y"))
+    return salted.unionByName(centres).select("*", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("block"))
+
+
+def _family_seats(hot: DataFrame) -> DataFrame:
+    """Where the sets of the classes of hot shingles (s, cls, root) have to be: at (family, block, other block)."""
+    firsts = hot.groupBy("s").agg(F.min("cls").alias("y"))
+    bonds = hot.join(firsts, "s").where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
+    family = connected_components(bonds, "families")
+    members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
+    members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    return cells.select("cls", F.col("family").alias("a"), F.least("block", "j").alias("b"), F.col("cls").alias("y"), F.greatest("block", "j").alias("c"), "root", "block")
+
+
+def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, size: int, percent: int, tag: str) -> DataFrame:
+    """Links (x, y) among the sets that meet at a seat (a, b, c): each set is made once and moved to its seats."""
+    seats = stash(seats, f"{tag}-seats")
+    wanted = stash(reps.join(seats.select("cls").distinct(), "cls").select("rep"), f"{tag}-wanted")
+    met = _sets(docs, wanted, size).join(seats, "cls").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", F.col("y").asc_nulls_first())
+    fields = ["a", "b", "c", "y", "root", "block", "own"]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, bins = np.empty(0, np.uint64), None
-        for b in batches:
-            out = []
-            for x, y, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        def cell() -> list[tuple[int, int]]:
+            found = _cell_links([h[1] for h in held], [h[3] for h in held], [h[2] for h in held], percent)
+            return [tuple(sorted((held[i][0], held[j][0]))) for i, j in found]
+
+        def packed(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+        centre, bins, at, held = np.empty(0, np.uint64), None, None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, b, c, y, root, block, data in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 other = np.frombuffer(data, np.uint64)
+                if c >= 0:  # a cell of a family
+                    if held and at != (a, b, c):
+                        out += cell()
+                        held = []
+                    at = (a, b, c)
+                    held.append((y, other, root, block))
+                    continue
                 counts = np.bincount((other >> np.uint64(58)).astype(np.int64), minlength=64)
                 if y is None:
                     centre, bins = other, counts
@@ -284,11 +311,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                     continue
                 both = len(np.intersect1d(centre, other, assume_unique=True))
                 if 100 * both >= percent * (len(centre) + len(other) - both):
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["x", "y"])
+                    out.append((a, y))
+            yield packed(out)
+        if held:
+            yield packed(cell())
+
+    return stash(met.select(*fields).mapInArrow(test, "x long, y long"), f"{tag}-links")
 
-    met = centres.unionByName(points).repartition("x", "salt").sortWithinPartitions("x", "salt", F.col("y").asc_nulls_first())
-    return stash(met.mapInArrow(test, "x long, y long"), "links")
+
+def _open(posts: DataFrame) -> DataFrame:
+    """Posts (s, cls, n, pos, root) of the shingles that still lie in different components, with m, the classes of s."""
+    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("s", "m")
+    return posts.join(split, "s")
+
+
+def _able(posts: DataFrame, percent: int) -> DataFrame:
+    """Posts of the classes that have as many as any linked pair of theirs must share; a class has no more than its text."""
+    whole = Window.partitionBy("cls")
+    return posts.withColumn("had", F.count("*").over(whole)).where(f"had > ({percent}L * n + 99) div 100 div {EXTRA}").drop("had")
 
 
 def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], percent: int, slab: int = 8192) -> list[tuple[int, int]]:
@@ -328,40 +368,6 @@ def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], perc
     return out
 
 
-def _family_links(docs: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (x, y) among classes of hot shingles (s, cls, root) that lie in different components."""
-    firsts = hot.groupBy("s").agg(F.min("cls").alias("y"))
-    bonds = hot.join(firsts, "s").where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
-    family = connected_components(bonds, "families")
-    members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
-    members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = _sets(docs, members.select("cls"), size)
-    dealt = members.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    cells = dealt.select("cls", "root", "family", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    cells = cells.select("cls", "root", "b", "family", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")).join(own, "cls")
-    key = ["family", "lo", "hi"]
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: list[dict]) -> pa.RecordBatch:
-            found = _cell_links([np.frombuffer(r["own"], np.uint64) for r in rows], [r["b"] for r in rows], [r["root"] for r in rows], percent)
-            ends = [sorted((rows[i]["cls"], rows[j]["cls"])) for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["x", "y"])
-
-        held: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and any(held[0][k] != row[k] for k in key):
-                    yield links(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield links(held)
-
-    met = cells.repartition(*key).sortWithinPartitions(*key, "cls")
-    return stash(met.mapInArrow(test, "x long, y long"), "family-links")
-
-
 def _to_reps(links: DataFrame, reps: DataFrame) -> DataFrame:
     a, b = reps.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), reps.select(F.col("cls").alias("y"), F.col("rep").alias("ry"))
     return links.join(a, "x").join(b, "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
@@ -376,22 +382,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     one = shared.select(F.col("first").alias("x"), F.col("cls").alias("y"), F.col("first_n").alias("n1"), F.col("first_pos").alias("p1"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     two = shared.where("prev <> first").select("prev", "cls", "prev_n", "prev_pos", "n", "pos")
     met = one.union(two).where(_alike(percent)).groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
-    links = _verified(docs, met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y"), shingle, percent)
+    links = _linked(docs, reps, _pair_seats(met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y")), shingle, percent, "round-1")
     edges = _to_reps(links, reps)
     roots = connected_components(edges, "round-1")
 
     all_posts = shared.select("s", "cls", "n", "pos").union(shared.where("prev = first").select("s", "first", "first_n", "first_pos"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
-    posts = stash(all_posts.join(named, "cls"), "rooted-shingles")
-    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("s", "m")
-    opened = stash(posts.join(split, "s"), "open-shingles")
+    posts = stash(_able(all_posts.join(named, "cls"), percent), "rooted-shingles")
+    opened = stash(_able(_open(posts).drop("m"), percent), "open-shingles")
+    opened = stash(_open(opened), "able-shingles")
     left, hot = opened.where(f"m <= {HOT}"), opened.where(f"m > {HOT}")
     a = left.select("s", F.col("cls").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
-    more = _verified(docs, met.where(f"ok and met >= {_least_met()}").select("x", "y"), shingle, percent)
-    more = more.union(_family_links(docs, hot, shingle, percent))
+    pairs = _pair_seats(met.where(f"ok and met >= {_least_met()}").select("x", "y"))
+    more = _linked(docs, reps, pairs.unionByName(_family_seats(hot)), shingle, percent, "round-2")
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")
