@@ -5,7 +5,8 @@ intervals of suffixes that share 1, 2, 4, ... lines. Windows of which an earlier
 by line) are laid over each other; overlapping ones make a maximal repeated run, and a run of at least ``min_words``
 words is deleted from every document but the one where it comes first.
 
-Lines end at a line feed; words are what blanks separate. Null texts stay null and empty ones empty. Rows equal in id
+Lines end at a line feed; words are what blanks separate. Lines without words don't count in the sequences: a run goes on
+over them, however many they are in each copy, and those inside a deleted run are deleted with it. Null texts stay null and empty ones empty. Rows equal in id
 and text are one document: both lose the same lines. Rows that share an id but not the text are ordered by the text's
 hash. Other columns are kept by ``dedup_documents``.
 """
@@ -26,9 +27,10 @@ def _words(line: Column) -> Column:
 
 
 def line_symbols(docs: DataFrame) -> DataFrame:
-    lines = F.transform(F.split(text_of(), "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.reverse(x), F.crc32(x.cast("binary"))).alias("b"), _words(x).alias("n")))
-    rows = docs.select(key_of("doc_id").alias("d"), F.xxhash64(text_of()).alias("h"), F.posexplode(lines).alias("i", "x"))
-    return rows.select("d", "h", "i", "x.a", "x.b", "x.n").where("n > 0")
+    """d, h, i (number among the lines with words), l (number among all lines), a, b, n (words) of each line with words."""
+    lines = F.transform(F.split(text_of(), "\n"), lambda x, l: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.reverse(x), F.crc32(x.cast("binary"))).alias("b"), _words(x).alias("n"), l.alias("l")))
+    rows = docs.select(key_of("doc_id").alias("d"), F.xxhash64(text_of()).alias("h"), F.posexplode(F.filter(lines, lambda x: x["n"] > 0)).alias("i", "x"))
+    return rows.select("d", "h", "i", "x.l", "x.a", "x.b", "x.n")
 
 
 def repeated_line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

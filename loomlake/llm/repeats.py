@@ -25,18 +25,20 @@ def _repeated(level: DataFrame, across: str | None) -> DataFrame:
 
 
 def repeat_levels(symbols: DataFrame, least: int = 1, across: str | None = None, most_levels: int = 40) -> DataFrame:
-    """symbols: d, h, i (place in the sequence), a, b (128-bit name of the symbol), n (weight), and ``across`` if given.
+    """symbols: d, h, i (place in the sequence, without gaps), a, b (128-bit name of the symbol), n (weight), ``across`` if
+    given, and l (where the symbol stands in the source) if that is not i.
 
-    Returns d, h, i, n, k, later: the suffix at i shares its first 2**k symbols with another place (with another value
+    Returns d, h, i, n, l if given, k, later: the suffix at i shares its first 2**k symbols with another place (with another value
     of ``across``); later: not as the first place that has them. Only depths of 2**k >= least are returned; with least
     a power of two, runs of at least that many symbols are found.
     """
     out, level, k = None, symbols, 0
+    carried = [c for c in ("n", "l") if c in symbols.columns]
     while k < most_levels:
         named = level.join(_repeated(level, across), ["a", "b"])
         level = stash(named.withColumn("later", F.struct(*PLACE) > F.col("first")).drop("first"), f"doubling-{k}").dropDuplicates(PLACE)
         if 2**k >= least:
-            rows = level.select(*PLACE, "n", F.lit(k).alias("k"), "later")
+            rows = level.select(*PLACE, *carried, F.lit(k).alias("k"), "later")
             out = rows if out is None else out.unionByName(rows)
         if level.isEmpty():
             break
@@ -44,16 +46,22 @@ def repeat_levels(symbols: DataFrame, least: int = 1, across: str | None = None,
         ahead = level.withColumns({"a2": F.first("a").over(far), "b2": F.first("b").over(far)}).where("a2 is not null")
         level = ahead.withColumns({"a": F.xxhash64("a", "b", "a2", "b2"), "b": F.xxhash64("b2", "a2", F.lit(k), "b", "a")}).drop("a2", "b2", "later")
         k += 1
-    return out if out is not None else level.select(*PLACE, "n", F.lit(0).alias("k"), F.lit(False).alias("later")).limit(0)
+    return out if out is not None else level.select(*PLACE, *carried, F.lit(0).alias("k"), F.lit(False).alias("later")).limit(0)
 
 
 def covered_runs(levels: DataFrame, all_copies: bool = False) -> DataFrame:
-    """Runs (d, h, start, end, weight) of places that overlapping repeated windows cover: of the later copies, or of all."""
+    """Runs (d, h, start, end, weight) of places that overlapping repeated windows cover: of the later copies, or of all.
+
+    Where levels hold l, start and end count by it; that needs the levels from depth 0 on, which have a row for each
+    place of a run.
+    """
     rows = levels if all_copies else levels.where("later")
-    best = rows.groupBy("d", "h", "i").agg(F.max("k").alias("k"), F.max("n").alias("n"))
+    sourced = "l" in levels.columns
+    best = rows.groupBy("d", "h", "i").agg(F.max("k").alias("k"), F.max("n").alias("n"), *[F.max("l").alias("l")] * sourced)
     ends = best.withColumn("e", F.col("i") + F.expr("cast(shiftleft(1, k) as int)"))
     before = Window.partitionBy("d", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("d", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     fresh = ends.withColumn("reach", F.max("e").over(before))
     marked = fresh.withColumn("run", F.sum(F.when(F.col("i") < F.col("reach"), 0).otherwise(1)).over(upto))
-    return marked.groupBy("d", "h", "run").agg(F.min("i").alias("start"), F.max("e").alias("end"), F.sum("n").alias("weight")).drop("run")
+    start, end = (F.min("l"), F.max("l") + 1) if sourced else (F.min("i"), F.max("e"))
+    return marked.groupBy("d", "h", "run").agg(start.alias("start"), end.alias("end"), F.sum("n").alias("weight")).drop("run")

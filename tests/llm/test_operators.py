@@ -128,6 +128,23 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_over_blank_lines(spark):
+    parts = [" ".join(f"p{k}_{i}" for i in range(30)) for k in range(5)]
+    short = parts[0]
+    rows = [
+        (1, "top\n\n" + "\n\n".join(parts) + "\n\nend"),
+        (2, "\nhead\n\n" + "\n \t\n\n".join(parts) + "\n\ntail\n"),  # other blank lines between
+        (3, f"one\n\n{short}\n\ntwo"),  # 30 words only
+        (4, "\n".join(parts)),
+        (5, f"{parts[3]}\n\n\n{parts[4]}\n\nnew"),
+        (6, f"{parts[4]}\n\n{parts[3]}"),  # another order: two runs of 30 words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.report(docs).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: rows[0][1], 2: "\nhead\n\n\ntail\n", 3: rows[2][1], 4: "", 5: "\nnew", 6: rows[5][1]}
+    assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: 13, 3: 0, 4: 5, 5: 4, 6: 0}
+
+
 def test_html_text(spark):
     page = '<html><head><title>t</title><script>var t="</p>"</script></head><nav>menu</nav><article><h1>A &amp; B</h1><p>x<b>y</b><p class="ad">buy</p><div class="comments">c</div>z &lt;</article><footer>f</footer>'
     foot = "all rights reserved by the site owner since long ago"
