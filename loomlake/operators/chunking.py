@@ -254,10 +254,10 @@ def _by_doc():
     return Window.partitionBy("doc_id")
 
 
-def compare_strategies(docs: DataFrame, strategies: list[str], first: int = 5000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """strategy, n_chunks, avg_size over the first ``first`` characters of each text (the comparison is of samples)."""
-    head = docs.select(key, F.substring(text, 1, first).alias("text"))
-    parts = [chunk_rows(head, s, key).groupBy().agg(F.count("*").alias("n_chunks"), F.avg(F.length("text")).alias("avg_size")).select(F.lit(s).alias("strategy"), "*") for s in strategies]
+def compare_strategies(docs: DataFrame, strategies: list[str], first: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """strategy, n_chunks, avg_size over whole texts, or over the first ``first`` characters of each as a sample."""
+    rows = docs.select(key, (F.col(text) if first is None else F.substring(text, 1, first)).alias("text"))
+    parts = [chunk_rows(rows, s, key).groupBy().agg(F.count("*").alias("n_chunks"), F.avg(F.length("text")).alias("avg_size")).select(F.lit(s).alias("strategy"), "*") for s in strategies]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

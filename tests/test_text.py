@@ -58,3 +58,14 @@ def test_chunkers_cover_the_text():
         assert all(f"number {i} " in joined for i in range(295))
     assert "".join(text[a:min(z, len(text))] for a, z, _ in C.backward_windows(text)) == text
     assert C.sentence_windows("") == []
+
+
+def test_strategies_compare_whole_texts(spark):
+    texts = [" ".join(f"Sentence number {i} ends here." for i in range(n)) for n in (3, 20, 700)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id int, text string")
+    assert len(texts[2]) > 4 * 5000
+    for first in (None, 5000):
+        got = {r.strategy: (r.n_chunks, round(r.avg_size, 6)) for r in C.compare_strategies(docs, ["sentence", "recursive"], *([first] if first else [])).collect()}
+        for name in got:
+            sizes = [len(p[2]) for t in texts for p in C.STRATEGIES[name](t[:first])]
+            assert got[name] == (len(sizes), round(sum(sizes) / len(sizes), 6))
