@@ -411,7 +411,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def search_truth(docs: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, id of the documents that hold an item word for word: they share the item's words as a set of tokens
-    first, and are then compared as texts."""
+    first, and are then compared as texts. Items of one or two words are compared with every text."""
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     # an inner word of the item (its longest) stands between blanks in every text that holds the item
@@ -420,7 +420,15 @@ def search_truth(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = asked.withColumn("w", longest)
     tokens = rows.select("id", F.explode(F.array_distinct(T.words(F.col("t")))).alias("w")).join(keyed.where("w is not null"), "w")
     met = tokens.select("id", "query_id", "q").distinct().join(rows, "id")
-    return met.where(F.contains("t", F.col("q"))).select("query_id", "id")
+    found = met.where(F.contains("t", F.col("q"))).select("query_id", "id")
+    # an item without inner words may lie inside the words of a text: these items are broadcast in blocks
+    short = keyed.where("w is null and q is not null").drop("w")
+    blocks = -(-short.count() // (dense.QUERY_ROWS // 2))
+    numbered = short.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
+    for b in range(blocks):
+        part = rows.crossJoin(F.broadcast(numbered.where(F.col("__b") == b))).where(F.contains("t", F.col("q")))
+        found = found.unionByName(part.select("query_id", "id").distinct())
+    return found
 
 
 def _metrics_sql() -> str:

@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from loomlake.operators import dense, evaluate, labels, rag, retrieval, sparse
+from loomlake.plans import catalogue
 
 
 def test_bm25_by_hand(spark):
@@ -36,6 +37,17 @@ def test_metrics(spark):
     assert abs(r.ndcg_3 - (1 / math.log2(3)) / (1 + 1 / math.log2(3))) < 1e-12
 
 
+def test_truth_of_short_items(spark):
+    texts = {1: "red fish swim here", 2: "a redfish", 3: "tea", 4: "green tea pot", 5: "fish swim", 6: None}
+    asked = {1: "fish", 2: "red fish", 3: "fish swim here", 4: " tea ", 5: "none", 6: None, 7: "green tea pot"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    items = spark.createDataFrame(list(asked.items()), "item_id int, text string")
+    got = sorted((r.query_id, r.id) for r in catalogue.search_truth(docs, items).collect())
+    assert got == [(q, d) for q, a in asked.items() for d, t in texts.items() if a and t and a in t]
+    ranked = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (5, 1, 1)], "query_id int, id int, rank int")
+    assert {(r.query_id, r.n_rel) for r in evaluate.judge(ranked, catalogue.search_truth(docs, items)).collect()} == {(1, 3), (2, 1)}
+
+
 def test_context_and_fallback(spark):
     ranked = spark.createDataFrame([(1, 1, "a b c d e f g h i j k l"), (1, 2, "A fine text about rivers. It flows. It ends. More."), (1, 3, "short")], "query_id int, rank int, text string").withColumn("id", F.col("rank"))
     packed = rag.pack_context(ranked).first()
