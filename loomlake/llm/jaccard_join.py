@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, id_of, key_of, small_batches, stash
+from .base import NULL_ID, id_of, key_of, small_batches, stash, text_of
 from .bpe import Memo
 from .components import connected_components
 
@@ -407,6 +407,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id; rows equal in id are kept together."""
-    gone = near_duplicates(docs).where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stash(gone, "near-copies").hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each component: the first by id and then by the text's hash, null ids last. Rows equal in id and
+    text are one document and are kept together; without an id, one of the rows of a text with words is kept."""
+    own = F.xxhash64(key_of("doc_id"), text_of())
+    rows = docs.select(own.alias("own"), key_of("doc_id").alias("d"), F.xxhash64(text_of()).alias("h"))
+    found = near_duplicates(docs.select(own.alias("doc_id"), "text"))
+    linked = stash(found.where("component_id <> doc_id").select(F.col("doc_id").alias("own"), F.col("component_id").alias("c")).distinct(), "linked-copies")
+    members = stash(linked.union(linked.select("c", "c")).distinct().join(rows, "own").distinct(), "component-members")
+    place = F.struct((F.col("d") == NULL_ID).alias("nameless"), "d", "h", "own")
+    first = members.groupBy("c").agg(F.min(place).alias("x")).select("x.own")
+    gone = stash(members.join(first, "own", "left_anti").select(F.col("own").alias("__gone")), "near-copies")
+    nameless = F.col("doc_id").isNull() & text_of().rlike(r"[^ \t\n\x0B\f\r]")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.where(nameless).groupBy(own.alias("__own")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
+    return docs.where(~nameless).unionByName(once).join(gone.hint("shuffle_hash"), own == F.col("__gone"), "left_anti")

@@ -112,6 +112,23 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_first_by_id_and_text(spark):
+    a, b, c, e, f = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcef")
+    rows = [
+        (1, a), (5, a + " end"), (5, b), (6, c), (6, c), (3, c + " end"),  # 5: one text is a copy, the other isn't
+        (7, b + " end"), (None, e), (None, e), (None, e + " end"), (None, f), (None, f), (9, f), (None, ""), (None, None), (None, " "),
+    ]
+    docs = spark.createDataFrame([(*r, "k", i // 3) for i, r in enumerate(rows)], "doc_id long, text string, d string, size int")
+    kept = jaccard_join.keep_first(docs)
+    assert kept.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    texts = {e, e + " end"} & {t for _, t in got}
+    assert len(texts) == 1  # by the text's hash
+    want = [(1, a), (5, b), (3, c + " end"), (9, f), (None, ""), (None, None), (None, " "), (None, texts.pop())]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r.doc_id for r in jaccard_join.keep_first(docs.where("doc_id = 6")).collect()} == {6} and jaccard_join.keep_first(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (105, 101)], "x long, y long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
