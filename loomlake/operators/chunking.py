@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .quality import first_of
 
 PIECES = "start long, end long, text string"
+# The order in which the sources are loaded.
+FAMILIES = ["article", "book", "qa_pair"]
 # Where a recursive split may cut, from coarse to fine.
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
@@ -47,9 +50,13 @@ def char_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap:
 def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_size: int | None = None, article_overlap: int | None = None, qa_whole: int = 4000) -> DataFrame:
     """Chunks of a knowledge base: doc_id, content_type, kb_family, clean_text and more in, 15 chunk fields out.
 
-    Rows without id or text go. A question-answer pair of up to ``qa_whole`` characters is one chunk.
+    Rows without id or text go. Of rows with one doc_id the first counts: articles, books and pairs in this order, then
+    by the text's hash, null texts last; so chunk ids don't repeat. A question-answer pair of up to ``qa_whole``
+    characters is one chunk.
     """
-    good = docs.where("doc_id is not null and trim(doc_id) <> '' and clean_text is not null")
+    family = F.coalesce(F.array_position(F.array(*map(F.lit, FAMILIES)), F.nullif("kb_family", F.lit(""))), F.lit(0))
+    place = F.struct(family == 0, family, F.col("clean_text").isNull(), F.xxhash64("clean_text"), F.col("clean_text"))
+    good = first_of(docs.where("doc_id is not null and trim(doc_id) <> ''"), F.col("doc_id"), place).where("clean_text is not null")
     kind = F.coalesce(F.nullif("content_type", F.lit("")), F.nullif("kb_family", F.lit("")), F.lit("unknown"))
     own = F.when(kind == "article", F.lit(article_size or size)).when((kind == "qa_pair") & (F.length(strip(F.col("clean_text"))) <= qa_whole), F.lit(qa_whole)).otherwise(F.lit(size))
     lap = F.when(kind == "article", F.lit(article_overlap if article_overlap is not None else overlap)).otherwise(F.lit(overlap))

@@ -69,3 +69,11 @@ def test_strategies_compare_whole_texts(spark):
         for name in got:
             sizes = [len(p[2]) for t in texts for p in C.STRATEGIES[name](t[:first])]
             assert got[name] == (len(sizes), round(sum(sizes) / len(sizes), 6))
+
+
+def test_first_document_of_an_id_is_chunked(spark):
+    rows = [("a", "qa_pair", "pair " * 300), ("a", "article", "article " * 300), ("b", "book", "one " * 400), ("b", "book", "one " * 400), ("c", "book", None), ("c", "book", "text"), ("d", "qa_pair", "short"), (None, "book", "x"), ("e", None, "y")]
+    docs = spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id string, kb_family string, clean_text string, content_type string")
+    got = C.kb_chunks(docs).collect()
+    assert sorted(r.chunk_id for r in got) == ["a_chunk_0", "a_chunk_1", "a_chunk_2", "b_chunk_0", "b_chunk_1", "c_chunk_0", "d_chunk_0", "e_chunk_0"]
+    assert {r.kb_family for r in got if r.parent_doc_id == "a"} == {"article"} and all("pair" not in r.text for r in got)
