@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .base import small_batches
+from .base import text_batches
 
 MEMO = 400_000
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
             ids = [[i for p in bpe.pieces(t or "") for i in map(int, p[1].split())] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -187,7 +187,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataF
             data = [bpe.decode(ids or []) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    small_batches(encoded.sparkSession)
+    text_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
@@ -206,5 +206,5 @@ def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
                 data.append(hashlib.sha256(b"".join([p[2] for p in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

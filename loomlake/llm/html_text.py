@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_of, key_of, small_batches, stash
+from .base import id_of, key_of, text_batches, stash
 from .repeats import covered_runs, repeat_levels
 
 LONG = 8  # tokens; a power of two
@@ -125,7 +125,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 unsure.append(None if marked or not outer else [t for block in outer for t in block.split(" ")])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string()), pa.array(unsure, pa.list_(pa.string()))], ["d", "h", "url", "text", "unsure"])
 
-    small_batches(pages.sparkSession)
+    text_batches(pages.sparkSession)
     url, page = F.col("url").cast("string"), F.col("html").cast("string")
     return pages.select(key_of("page_id").alias("d"), F.xxhash64(url, page).alias("h"), url.alias("url"), page.alias("html")).mapInArrow(run, "d long, h long, url string, text string, unsure array<string>")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, id_of, key_of, small_batches, stash, text_of
+from .base import NULL_ID, id_of, key_of, text_batches, stash, text_of
 from .bpe import Memo
 from .components import connected_components
 
@@ -88,7 +88,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     return docs.select(key_of("doc_id").alias("d"), F.col("text").cast("string").alias("text"))
 
 

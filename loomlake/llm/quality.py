@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import text_batches
 from .bpe import Memo
 
 BUCKETS = 1 << 14
@@ -162,7 +162,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def _inputs(docs: DataFrame, *more: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("n_chars"), *more)
 
@@ -214,5 +214,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             scores = [fm.score(t, n, memo) for t, n in zip(b.column(at).to_pylist(), lengths, strict=True)]
             yield b.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

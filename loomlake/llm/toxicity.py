@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import text_batches
 from .bpe import Memo
 from .quality import fold, labelled_sample
 
@@ -212,7 +212,7 @@ def learn_lexicon(sample: DataFrame, most_terms: int = MAX_TERMS) -> dict[str, f
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN) -> ToxicityModel:
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     sample = _sample(docs.select("doc_id", "text"), labels, most_toxic, most_clean).select(F.col("text").cast("string").alias("text"), "__label").persist()
     terms = learn_lexicon(sample)
     blank = ToxicityModel(terms, np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES), np.ones(N_FEATURES))
@@ -247,7 +247,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.score(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
+    text_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

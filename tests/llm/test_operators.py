@@ -171,6 +171,27 @@ def test_html_text(spark):
     assert got[3].text == "unique one" and got[4].text == "another text" and got[5].text == "cut off &am"
 
 
+def test_word_encoder_against_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.TOKENIZER_FILE)
+    library, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path, 2)
+    rng = np.random.default_rng(11)
+    letters = [chr(c) for c in range(1, 0x250)] + list("aaaeeetsdmlrv....!! 1239\n\t ") * 12
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(1, 0x250)]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice(list("abst'redvmlLL .,1\n "), rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["", " ", "'", "''s", "it's we'RE 's 'll'll x''s 1's 'd've", "<|endoftext|> <|ENDOFTEXT|>", "e\u0301 E\u0301", "\u4e2d\u6587 \U0001f600", "x" * 5000, "word " * 9000, None]
+    for _ in range(2):  # the second time everything is in the table
+        ids, counts = encoder.encode(pa.array(texts))
+        ends = np.cumsum(counts)
+        for text, a, z in zip(texts, ends - counts, ends, strict=True):
+            assert ids[a:z].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_files(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -179,13 +200,19 @@ def test_token_files(spark, docs):
         ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
         assert (token_files.unpack(token_files.pack(ids, bits), bits, 1001) == ids).all()
     library = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER_FILE))
-    rows = token_files.token_files(docs).collect()
-    start = 0
+    more = spark.createDataFrame([(5, f"row {i % 7}") for i in range(60)] + [(None, t) for t in ("a b", "", None)], "doc_id long, text string")  # a hot id, ties
+    rows = token_files.token_files(docs.unionByName(more, allowMissingColumns=True)).collect()
+    texts = defaultdict(list)
+    for r in [*docs.collect(), *more.collect()]:
+        texts[r.doc_id].append([*library.encode(r.text or "", add_special_tokens=False).ids, 2])
+    start, order = 0, []
     for r in sorted(rows, key=lambda r: r.start):
-        text = "no id" if r.doc_id is None else TEXTS[r.doc_id] or ""
-        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+        assert r.start == start
+        ids = next(x for x in texts[r.doc_id] if (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) == (r.n_tokens, r.ids_crc32))
+        texts[r.doc_id].remove(ids)
+        order.append(-1 if r.doc_id is None else r.doc_id)
+        start += r.n_tokens
+    assert not any(texts.values()) and order == sorted(order)
     assert token_files.token_files(docs.limit(0)).count() == 0
 
 
