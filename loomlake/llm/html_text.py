@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import id_of, key_of, text_batches, stash
-from .repeats import covered_runs, repeat_levels
+from .repeats import outside, repeated_runs
 
 LONG = 8  # tokens; a power of two
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^<]*\Z", re.S)
@@ -134,11 +134,11 @@ def unique_runs(unsure: DataFrame) -> DataFrame:
     """d, h, url, text: the tokens that no run of LONG tokens shares with another page of the host."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     tokens = unsure.select("d", "h", host.alias("host"), F.posexplode("unsure").alias("i", "t"))
-    symbols = tokens.select("d", "h", "i", F.xxhash64("host", "t").alias("a"), F.xxhash64(F.reverse("t"), "host").alias("b"), F.lit(1).alias("n"), F.struct("d", "h").alias("page"))
-    levels = repeat_levels(stash(symbols, "page-tokens"), least=LONG, across="page", most_levels=LONG.bit_length())
-    runs = covered_runs(levels, all_copies=True).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    symbols = tokens.select("d", "h", "i", F.col("i").alias("l"), F.xxhash64("host", "t").alias("a"), F.xxhash64(F.reverse("t"), "host").alias("b"), F.lit(1).alias("n"), F.struct("d", "h").alias("page"))
+    runs = repeated_runs(stash(symbols, "page-tokens"), LONG, across="page", all_copies=True)
+    runs = runs.groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     joined = unsure.join(stash(runs, "page-runs"), ["d", "h"], "left")
-    kept = F.filter("unsure", lambda t, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i < r["end"])))
+    kept = outside(F.col("unsure"), F.col("runs"))
     tokens = F.when(F.col("runs").isNull() | (F.size(kept) == 0), F.col("unsure")).otherwise(kept)
     return joined.select("d", "h", "url", F.array_join(tokens, " ").alias("text"))
 

@@ -1,14 +1,17 @@
 """Operator 8, line dedup (DataFrame functions only).
 
-Lines become 128-bit line ids, and prefix doubling over the documents' id sequences (see ``repeats``) gives the
-intervals of suffixes that share 1, 2, 4, ... lines. Windows of which an earlier copy exists (earlier by doc_id, then
-by line) are laid over each other; overlapping ones make a maximal repeated run, and a run of at least ``min_words``
-words is deleted from every document but the one where it comes first.
+Lines become 128-bit line ids, and prefix doubling over the documents' id sequences gives the intervals of suffixes that
+share their first lines (see ``repeats``). A run of lines of at least ``min_words`` words that stands, as a whole, at an
+earlier place (by doc_id, then by line) is deleted; so every line that goes has a copy that stays, the first one, and
+lines that repeat in shorter runs stay. A run that overlaps its own earlier copy, as in a line that stands three times in
+a row, is deleted like any other.
 
 Lines end at a line feed; words are what blanks separate. Lines without words don't count in the sequences: a run goes on
-over them, however many they are in each copy, and those inside a deleted run are deleted with it. Null texts stay null and empty ones empty. Rows equal in id
-and text are one document: both lose the same lines. Rows that share an id but not the text are ordered by the text's
-hash. Other columns are kept by ``dedup_documents``.
+over them, however many they are in each copy, and those between deleted lines are deleted with them. Null texts stay
+null and empty ones empty; null ids come first. Rows equal in id and text are one document: both lose the same lines.
+Rows that share an id but not the text are ordered by the text's hash. Very long texts are cut into lines as wholes; an
+empty table gives none. Other columns are kept by ``dedup_documents``, whatever their names (but for ``__n_lines`` and
+``__n_removed``, which it adds).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import key_of, stash, text_of
-from .repeats import covered_runs, repeat_levels
+from .repeats import outside, repeated_runs
 
 MIN_WORDS = 50
 
@@ -34,9 +37,8 @@ def line_symbols(docs: DataFrame) -> DataFrame:
 
 
 def repeated_line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, h, start, end (exclusive line numbers), weight (words) of every later copy that is to go."""
-    levels = repeat_levels(stash(line_symbols(docs), "lines"))
-    return covered_runs(levels).where(F.col("weight") >= min_words)
+    """d, h, start, end (exclusive line numbers) of what is to go."""
+    return repeated_runs(stash(line_symbols(docs), "lines"), min_words)
 
 
 def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -45,11 +47,10 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per_doc = runs.groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "end")).alias("__runs"))
     # texts are dealt out at every size: a broadcast would hold only for small corpora
     joined = docs.join(stash(per_doc, "line-runs").hint("shuffle_hash"), (key_of("doc_id") == F.col("__d")) & (F.xxhash64(text_of()) == F.col("__h")), "left")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["end"])))
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lines = F.split(docs["text"], "\n")
+    text = F.when(F.col("__runs").isNull(), docs["text"]).otherwise(F.array_join(outside(lines, F.col("__runs")), "\n"))
     removed = F.aggregate(F.coalesce("__runs", F.array()), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_lines = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.withColumns({"__n_lines": n_lines, "__n_removed": removed}).withColumn("text", text).drop("__d", "__h", "__runs")
 
 
