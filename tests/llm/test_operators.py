@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomlake.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, sharding, token_files, topk, toxicity
+from loomlake.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, token_files, topk, toxicity
 from loomlake.llm.components import connected_components
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -20,26 +20,6 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, d string, size int")
 
 
-def test_sharding(spark, docs):
-    placed, slot_map = sharding.shard_documents(docs, 3, 64)
-    rows = placed.collect()
-    assert len(rows) == docs.count()
-    by = defaultdict(list)
-    for r in rows:
-        by[r.shard].append(r.slot)
-    assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    loads = sharding.slot_loads(sharding.sized_records(docs, 64))
-    before = {r.vslot: r.shard for r in slot_map.collect()}
-    after = sharding.edit_map(slot_map, loads, 4).collect()
-    assert {r.version for r in after} == {1} and sum(before[r.vslot] != r.shard for r in after) < len(before)
-    many = spark.range(3000).selectExpr("id doc_id", "repeat('a', cast(id % 300 as int)) text")
-    sums = defaultdict(int)
-    for r in sharding.shard_documents(many, 8)[0].collect():
-        sums[r.shard] += r.size
-    assert max(sums.values()) < 1.01 * min(sums.values())
-    assert sharding.shard_documents(docs.limit(0), 3)[0].count() == 0
-
-
 def test_bpe_round_trip(docs):
     import base64
 
