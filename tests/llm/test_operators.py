@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomlake.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, token_files, topk, toxicity
+from loomlake.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, token_files, toxicity
 from loomlake.llm.components import connected_components
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -196,20 +196,6 @@ def test_token_files(spark, docs):
     assert token_files.token_files(docs.limit(0)).count() == 0
 
 
-def test_exact_topk(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)] + [(900 + i, [0.5] * 6) for i in range(300)]
-    rows += [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 6), (None, [0.1] * 6), (2300, [1.0, 2.0])]
-    got = defaultdict(list)
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), tree_rows=256).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    whole = {i: np.floor(1024 * np.float64(np.float32(v))).astype(np.int64) for i, v in rows[:1000]}
-    for q in [i for i in whole if i % 100 == 0]:
-        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:10]
-        assert got[q] == [(i, -s) for s, i in best]
-    assert set(got) == {i for i in whole if i % 100 == 0}
-
-
 def test_classifiers(spark):
     rng = np.random.default_rng(5)
     words = [f"word{i}" for i in range(200)]
