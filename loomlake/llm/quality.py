@@ -7,7 +7,9 @@ pairwise interactions in time linear in the text, by the sum-of-squares identity
 Training takes at most ``MAX_TRAIN`` labelled rows, those with the smallest id hashes; they are a bounded number of
 sparse rows on the driver. Scoring reads every text whole. A null text is scored as an empty one; without labels of
 both kinds all scores are the share of label 1, or 0.5 without labels. The label of an id is the mean of its labels,
-rounded up from a half. Labels, lang, source and doc_id are never inputs.
+rounded up from a half. Labels, lang, source and doc_id are never inputs. Repeated rows are trained on once and each
+scored; an empty table gives no rows; a null id has a score and is not held out; other columns, whatever their names,
+are not read, and ``keep_good`` hands them on.
 """
 
 from __future__ import annotations
@@ -152,19 +154,29 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """docs' rows with a training label, __label, at most ``most`` of them: the smallest id hashes."""
+def training_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """__id, __label of the ids that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("__label"))
-    own = docs.where(fold(F.col("doc_id"), folds) != held_out).select(F.col("doc_id").alias("__id")).distinct()
-    picked = known.join(own, "__id").orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")  # at most ``most`` ids and labels
+    return known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("__label"))
 
 
-def _inputs(docs: DataFrame, *more: str) -> DataFrame:
+def labelled_sample(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """docs' columns (doc_id, text, ...) and __label of at most ``most`` rows with a training label: those with the
+    smallest id hashes. Rows equal in id and text count once; of many texts of one id those with the smallest hashes."""
+    own = docs.select(F.col("doc_id").alias("__id")).distinct()
+    ids = known.join(own, "__id").orderBy(F.xxhash64("__id"), "__id").limit(most)
+    same = F.col("doc_id") == F.col("__id")
+    texts = docs.join(F.broadcast(ids), same).select("__id", "__label", F.xxhash64("text").alias("__h")).distinct()  # at most ``most`` ids
+    picked = texts.orderBy(F.xxhash64("__id"), "__id", "__h").limit(most)
+    rows = docs.join(F.broadcast(picked), same & (F.xxhash64("text") == F.col("__h")))  # at most ``most`` rows
+    once = rows.groupBy("__id", "__h").agg(F.first(F.struct(*docs.columns, "__label")).alias("__row"))
+    return once.select("__row.*")
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("n_chars"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("n_chars"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> FactorisationMachine:
@@ -175,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Factorisat
             packed = [[r[0].astype("<i4").tobytes() for r in rows], [np.array(r[2], "<f8").tobytes() for r in rows]]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "label", "words", "stats"])
 
-    sample = _inputs(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, most), "__label")
-    held = sample.mapInArrow(run, "doc_id long, label int, words binary, stats binary").toPandas()
-    held = held.sort_values(["doc_id", "words", "stats"], kind="stable").head(most)
+    sample = labelled_sample(_inputs(docs), training_labels(labels, "quality", FOLDS, HELD_OUT), most)
+    held = sample.mapInArrow(run, "doc_id long, label int, words binary, stats binary").toPandas()  # at most ``most`` rows
+    held = held.sort_values(["doc_id", "words", "stats"], kind="stable")
     rows = []
     for words, stats in zip(held["words"], held["stats"], strict=True):
         index = np.frombuffer(words, "<i4")

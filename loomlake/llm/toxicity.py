@@ -9,7 +9,9 @@ of (node, edits), made when first needed, and most words die after a few letters
 Each match has the term's weight, its distance, whether it is quoted, and the weight of the other matches among the
 ``WINDOW`` words around it. A logistic model over sums of these tells abuse from quotation. Null texts are scored as
 empty; without labels of both kinds the score is the share of toxic labels, or 0. Labels, lang, source and doc_id are
-never inputs.
+never inputs. The label of an id is the mean of its labels, rounded up from a half. Repeated rows are learnt from once
+and each scored; very long texts are read whole; an empty table gives no rows; a null id has a score and is not held
+out; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_batches
+from .base import stash, text_batches
 from .bpe import Memo
-from .quality import fold, labelled_sample
+from .quality import fold, labelled_sample, training_labels
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -36,8 +38,9 @@ MAX_TERMS = 2000
 FUZZY_FROM = 5
 BEGINNINGS = (4, 5, 6)
 WINDOW = 6
-#: A term stands in this share of the toxic documents at least.
-LEAST_SHARE = 0.01
+#: A term stands in this share of the toxic families at least, but in no more than MOST_FAMILIES of them need it stand:
+#: so many are not toxic by chance, whatever the sample's size.
+LEAST_SHARE, LEAST_FAMILIES, MOST_FAMILIES = 0.01, 4, 24
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"'“”„«»‘’`"
 
@@ -170,9 +173,10 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
-    toxic = labelled_sample(docs, labels.where("toxic = 1"), "toxic", FOLDS, HELD_OUT, most_toxic)
-    clean = labelled_sample(docs, labels.where("toxic = 0"), "toxic", FOLDS, HELD_OUT, most_clean)
-    return toxic.select("text", "__label").unionByName(clean.select("text", "__label"))
+    known = training_labels(labels, "toxic", FOLDS, HELD_OUT)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    toxic, clean = (labelled_sample(narrow, known.where(F.col("__label") == mark), most) for mark, most in ((1, most_toxic), (0, most_clean)))
+    return toxic.unionByName(clean).select("text", "__label")
 
 
 def learn_lexicon(sample: DataFrame, most_terms: int = MAX_TERMS) -> dict[str, float]:
@@ -194,17 +198,17 @@ def learn_lexicon(sample: DataFrame, most_terms: int = MAX_TERMS) -> dict[str, f
     toxic, clean = F.when(F.col("label") == 1, F.col("family")), F.when(F.col("label") == 0, F.col("family"))
     counts = terms.groupBy("term").agg(F.approx_count_distinct(toxic, 0.02).alias("t"), F.approx_count_distinct(clean, 0.02).alias("c"), F.approx_count_distinct("word", 0.02).alias("w"))
     families = sample.where("__label = 1").count()  # bounded by the sample
-    least = max(4, math.ceil(LEAST_SHARE * families))
+    least = max(LEAST_FAMILIES, min(MOST_FAMILIES, math.ceil(LEAST_SHARE * families)))
     good = counts.where(f"t >= {least} and t >= 25 * c and (term not like '%*' or w >= 5)")
     rows = good.orderBy(F.desc("t"), "term").limit(4 * most_terms).collect()  # a bounded list
     chosen: dict[str, float] = {}
     beginnings: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r.term.endswith("*"), len(r.term), r.term)):
         stem = r.term.removesuffix("*")
-        if any(stem[:n] in beginnings for n in range(1, len(stem) + 1)):
-            continue
         if r.term.endswith("*"):
-            beginnings.add(stem)
+            if any(stem[:n] in beginnings for n in range(1, len(stem))):
+                continue
+            beginnings.add(stem)  # the words under it stay, so that misspelt beginnings are found
         chosen[r.term] = round(1 - 1 / (1 + r.t), 6)
         if len(chosen) >= most_terms:
             break
@@ -213,7 +217,7 @@ def learn_lexicon(sample: DataFrame, most_terms: int = MAX_TERMS) -> dict[str, f
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN) -> ToxicityModel:
     text_batches(docs.sparkSession)
-    sample = _sample(docs.select("doc_id", "text"), labels, most_toxic, most_clean).select(F.col("text").cast("string").alias("text"), "__label").persist()
+    sample = stash(_sample(docs, labels, most_toxic, most_clean), "toxicity-sample")
     terms = learn_lexicon(sample)
     blank = ToxicityModel(terms, np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES), np.ones(N_FEATURES))
 
@@ -222,14 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MAX_TOXIC, most_cl
             rows = [blank.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
-    held = sample.mapInArrow(run, "label int, x array<double>").toPandas()
-    sample.unpersist()
+    held = sample.mapInArrow(run, "label int, x array<double>").toPandas()  # at most most_toxic + most_clean rows
     y = held["label"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         blank.weights[0] = 35.0 if len(y) and y.min() == 1 else -35.0
         return blank
     x = np.stack(held["x"].to_numpy())
-    shares = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).agg(F.avg("toxic")).first()[0]
+    shares = training_labels(labels, "toxic", FOLDS, HELD_OUT).agg(F.avg("__label")).first()[0]
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
     model = ToxicityModel(terms, np.zeros(0), x.mean(0), x.std(0) + 1e-6)
