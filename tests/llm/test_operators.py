@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomlake.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, token_files, toxicity
+from loomlake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality, token_files, toxicity
 from loomlake.llm.components import connected_components
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -142,15 +142,6 @@ def test_line_dedup_over_blank_lines(spark):
     assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: 13, 3: 0, 4: 5, 5: 4, 6: 0}
 
 
-def test_html_text(spark):
-    page = '<html><head><title>t</title><script>var t="</p>"</script></head><nav>menu</nav><article><h1>A &amp; B</h1><p>x<b>y</b><p class="ad">buy</p><div class="comments">c</div>z &lt;</article><footer>f</footer>'
-    foot = "all rights reserved by the site owner since long ago"
-    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, "http://h/3", f"<div>unique one</div><div>{foot}</div>"), (4, "http://h/4", f"<p>another text</p><div>{foot}</div>"), (5, None, "<article>cut off &am")]
-    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1].text == "A & B xy z <" and got[2].text == "" and got[2].n_chars == 0
-    assert got[3].text == "unique one" and got[4].text == "another text" and got[5].text == "cut off &am"
-
-
 def test_word_encoder_against_the_library():
     import public_tokenizers
     import pyarrow as pa
