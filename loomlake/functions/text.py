@@ -73,6 +73,12 @@ def tokenize(c: Column) -> Column:
 
 
 def repair(c: Column) -> Column:
+    """The repairs, of texts that hold a U or % and Arabic letters (all patterns need both); others are as they are."""
+    marked = (F.contains(c, F.lit("U")) | F.contains(c, F.lit("%"))) & c.rlike("[\u0600-\u06ff\ufb50-\ufdff\ufe70-\ufeff]")
+    return F.when(marked, _repaired(c)).otherwise(c)
+
+
+def _repaired(c: Column) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[0] if r"\s" in rule[0] else rule[0], rule[1]), REPAIRS, c)
 
 
@@ -127,9 +133,13 @@ def is_heavily_corrupt(c: Column, words_over: int = 10, share: float = 0.4) -> C
     return (F.size(words(c)) > words_over) & (single_letter_share(c) > share)
 
 
+def too_few_distinct(words: Column, distinct: Column, words_over: int = 20, share: float = 0.3) -> Column:
+    return (words > words_over) & (distinct < words * F.lit(share))
+
+
 def is_repetitive(c: Column, words_over: int = 20, share: float = 0.3) -> Column:
     w = words(c)
-    return (F.size(w) > words_over) & (F.size(F.array_distinct(w)) < F.size(w) * F.lit(share))
+    return too_few_distinct(F.size(w), F.size(F.array_distinct(w)), words_over, share)
 
 
 def is_url(c: Column) -> Column:

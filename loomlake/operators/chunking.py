@@ -7,7 +7,9 @@ the last; they run row by row in Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,28 +25,25 @@ FAMILIES = ["article", "book", "qa_pair"]
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
 
-def explode_windows(docs: DataFrame, text: Column, size: Column, overlap: Column) -> DataFrame:
-    """docs with __t (the stripped text), __i, __n (windows), __a, __z (start, end): one row for each window. The text is
-    stripped once, below the generator; only places are generated."""
-    rows = docs.withColumn("__t", strip(text)).withColumns({"__len": F.length("__t"), "__size": size, "__step": size - overlap})
+def explode_windows(docs: DataFrame, stripped: Column, size: Column, overlap: Column) -> DataFrame:
+    """docs with __i, __n (windows), __a, __z (start, end), __p (piece): one row for each window of a stripped text. Pieces
+    are cut inside the document's row, so that no row holds the whole text beside its piece."""
+    rows = docs.withColumns({"__t": stripped, "__size": size, "__overlap": overlap}).withColumns({"__len": F.length("__t"), "__step": F.col("__size") - F.col("__overlap")})
     more = F.ceil((F.col("__len") - F.col("__size")) / F.col("__step")).cast("int")
     rows = rows.withColumn("__n", F.when(F.col("__len") <= F.col("__size"), F.when(F.col("__len") > 0, 1).otherwise(0)).otherwise(1 + more))
-    rows = rows.where("__n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: strip(F.substring(F.col("__t"), i * F.col("__step") + 1, F.col("__size"))))
+    rows = rows.where("__n > 0").withColumn("__all", pieces).drop("__t").select("*", F.posexplode("__all").alias("__i", "__p")).drop("__all")
     start = (F.col("__i") * F.col("__step")).cast("long")
     return rows.withColumn("__a", start).withColumn("__z", F.least(F.col("__a") + F.col("__size"), F.col("__len")).cast("long"))
 
 
-def _piece() -> Column:
-    return strip(F.substring(F.col("__t"), (F.col("__a") + 1).cast("int"), (F.col("__z") - F.col("__a")).cast("int")))
-
-
 def char_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
     """docs' columns but the text, with chunk_index, num_chunks_total, char_start, char_end and the chunk as text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap has to be smaller than the chunk size")
     rest = [F.col(c) for c in docs.columns if c != text]
-    rows = explode_windows(docs, F.col(text), F.lit(size), F.lit(overlap))
-    return rows.select(*rest, F.col("__n").alias("num_chunks_total"), F.col("__i").alias("chunk_index"), F.col("__a").alias("char_start"), F.col("__z").alias("char_end"), _piece().alias("text"))
+    rows = explode_windows(docs.select(*rest, F.col(text).alias("__text")), strip(F.col("__text")), F.lit(size), F.lit(overlap))
+    return rows.select(*rest, F.col("__n").alias("num_chunks_total"), F.col("__i").alias("chunk_index"), F.col("__a").alias("char_start"), F.col("__z").alias("char_end"), F.col("__p").alias("text"))
 
 
 def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_size: int | None = None, article_overlap: int | None = None, qa_whole: int = 4000) -> DataFrame:
@@ -58,9 +57,9 @@ def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_siz
     place = F.struct(family == 0, family, F.col("clean_text").isNull(), F.xxhash64("clean_text"), F.col("clean_text"))
     good = first_of(docs.where("doc_id is not null and trim(doc_id) <> ''"), F.col("doc_id"), place).where("clean_text is not null")
     kind = F.coalesce(F.nullif("content_type", F.lit("")), F.nullif("kb_family", F.lit("")), F.lit("unknown"))
-    own = F.when(kind == "article", F.lit(article_size or size)).when((kind == "qa_pair") & (F.length(strip(F.col("clean_text"))) <= qa_whole), F.lit(qa_whole)).otherwise(F.lit(size))
+    own = F.when(kind == "article", F.lit(article_size or size)).when((kind == "qa_pair") & (F.length("__s") <= qa_whole), F.lit(qa_whole)).otherwise(F.lit(size))
     lap = F.when(kind == "article", F.lit(article_overlap if article_overlap is not None else overlap)).otherwise(F.lit(overlap))
-    rows = explode_windows(good, F.col("clean_text"), own, lap)
+    rows = explode_windows(good.withColumn("__s", strip(F.col("clean_text"))).drop("clean_text"), F.col("__s"), own, lap)
     return rows.select(
         F.concat_ws("_chunk_", "doc_id", F.col("__i").cast("string")).alias("chunk_id"),
         F.col("doc_id").alias("parent_doc_id"),
@@ -71,34 +70,26 @@ def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_siz
         F.col("__n").cast("long").alias("num_chunks_total"),
         F.col("__a").alias("char_start"),
         F.col("__z").alias("char_end"),
-        _piece().alias("text"),
+        F.col("__p").alias("text"),
     )
 
 
 def sentence_windows(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, int, str]]:
-    """Greedy groups of sentences and lines; trailing sentences within ``overlap`` are carried on. Offsets count the
-    chunks' own lengths, as if laid end to end with the carried part overlapping."""
-    parts = [p for p in (s.strip() for s in re.split(r"(?<=[.!?؟])\s+|\n+", text or "")) if p]
+    """Groups of sentences and lines, joined by blanks, of at most ``size`` characters (or one part); the last parts that
+    fit in ``overlap`` are carried on. With the lengths of all parts (and a blank after each) summed up, a group's end and
+    the place from which it is carried on are look-ups in an ascending list. Offsets count the chunks' own lengths, as if
+    laid end to end with the carried part overlapping."""
+    marked = re.sub(r"(?<=[.!?؟])\s+", "\n", text or "")
+    parts = [p for p in map(str.strip, marked.split("\n")) if p]
+    upto = [0, *accumulate(len(p) + 1 for p in parts)]
     out: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    used = at = 0
-    for part in parts:
-        if held and used + len(part) + 1 > size:
-            chunk = " ".join(held)
-            out.append((at, at + len(chunk), chunk))
-            carried: list[str] = []
-            room = 0
-            for p in reversed(held):
-                if room + len(p) > overlap:
-                    break
-                carried.insert(0, p)
-                room += len(p) + 1
-            at, held, used = at + len(chunk) - room, carried, room
-        held.append(part)
-        used += len(part) + 1
-    if held:
-        chunk = " ".join(held)
+    first, last, at = 0, 0, 0
+    while last < len(parts):
+        last = min(len(parts), max(last + 1, bisect_right(upto, upto[first] + size + 1) - 1))
+        chunk = " ".join(parts[first:last])
         out.append((at, at + len(chunk), chunk))
+        first = bisect_left(upto, upto[last] - overlap - 1, first, last)
+        at += len(chunk) - (upto[last] - upto[first])
     return out
 
 
@@ -164,34 +155,49 @@ def paragraph_groups(text: str, target: int = 800, most: int = 1500, least: int
     return g.out
 
 
+def _places(text: str, mark: str) -> list[int]:
+    return [m.start() for m in re.finditer(mark, text)]
+
+
+def _cut_at(text: str, starts_and_ends: Iterator[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Pieces between the given places, without those that hold nothing but white space."""
+    return [(a, z, piece) for a, z in starts_and_ends if (piece := text[a:z].strip())]
+
+
 def boundary_windows(text: str, size: int = 800, overlap: int = 100, look: int = 200) -> list[tuple[int, int, str]]:
-    """Windows that end after the last sentence mark of their last ``look`` characters; ends are not clamped."""
+    """Windows that end after the last sentence mark of their last ``look`` characters; ends are not clamped. Marks are
+    looked up among their places, which are found once."""
     if overlap >= size - look:
         raise ValueError("overlap has to be smaller than the shortest window")
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            low = max(start, end - look)
-            mark = max(text.rfind(m, low, end) for m in (".\n", "؟", "!"))
-            end = mark + 1 if mark != -1 else end
-        if piece := text[start:end].strip():
-            out.append((start, end, piece))
-        start = end - overlap if end < len(text) else end
-    return out
+    dots, others = _places(text, r"\.\n"), _places(text, "[؟!]")
+
+    def cuts() -> Iterator[tuple[int, int]]:
+        start = 0
+        while start < len(text):
+            end = start + size
+            if end < len(text):
+                found = [at[n - 1] for at, n in ((dots, bisect_right(dots, end - 2)), (others, bisect_right(others, end - 1))) if n]
+                end = max((p + 1 for p in found if p >= max(start, end - look)), default=end)
+            yield start, end
+            start = end - overlap if end < len(text) else end
+
+    return _cut_at(text, cuts())
 
 
 def backward_windows(text: str, size: int = 800, look: int = 100) -> list[tuple[int, int, str]]:
-    """Windows without overlap that end after the nearest mark up to ``look`` characters back."""
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            end = next((i + 1 for i in range(end, max(start, end - look), -1) if text[i] in ".\n؟"), end)
-        if piece := text[start:end].strip():
-            out.append((start, end, piece))
-        start = end
-    return out
+    """Windows without overlap that end after the nearest mark up to ``look`` characters back from where they would end."""
+    marks = _places(text, r"[.\n؟]")
+
+    def cuts() -> Iterator[tuple[int, int]]:
+        start = 0
+        while start < len(text):
+            end = start + size
+            if end < len(text) and (n := bisect_right(marks, end)) and marks[n - 1] > max(start, end - look):
+                end = marks[n - 1] + 1
+            yield start, end
+            start = end
+
+    return _cut_at(text, cuts())
 
 
 def recursive_windows(text: str, size: int = 800, overlap: int = 150) -> list[tuple[int, int, str]]:

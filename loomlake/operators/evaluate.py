@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 CUTS = (1, 3, 5, 10)
 
 
+def load_truth(rows: DataFrame, key: str = "id", fields: tuple[str, ...] = ("text", "label_answer", "answer")) -> DataFrame:
+    """query_id, answer: the first field that is there and not empty; rows without an id or an answer go, and id 0 stays. Of
+    rows with one id the one with the greatest answer counts."""
+    there = [F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields if f in rows.columns]
+    found = rows.select(F.col(key).alias("query_id"), (F.coalesce(*there) if there else F.lit(None).cast("string")).alias("answer"))
+    return found.where("query_id is not null and answer is not null").groupBy("query_id").agg(F.max("answer").alias("answer"))
+
+
 def judge(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """ranked (query_id, id, rank, ...) with rel 0/1 and n_rel; queries without truth are left out. truth: query_id, id."""
     facts = truth.select("query_id", "id").distinct()

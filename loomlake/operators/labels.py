@@ -19,6 +19,27 @@ def samples(rows: DataFrame, text: str, codes: str, code_table: dict[str, str],
     return good.select("id", "text", L.multi_hot(F.col("label_indices"), len(names)).alias("labels"), "label_indices")
 
 
+#: What each task reads: its text column, label codes and names.
+TASKS = {
+    "qtypes": ("question", "final_QT", L.QUESTION_CODES, L.QUESTION_LABELS),
+    "atypes": ("answer", "final_AS", L.ANSWER_CODES, L.ANSWER_LABELS),
+}
+
+
+def prepare(rows: DataFrame, task: str, folder: str | None = None) -> DataFrame:
+    """Samples of a task with their part (train, val, test) of a 60/20/20 split; with a folder, one folder of JSON lines for
+    each part and the label list are written there, too."""
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}: one of {', '.join(TASKS)}")
+    text, codes, table, names = TASKS[task]
+    parted = split(samples(rows, text, codes, table, names))
+    if folder:
+        for part in ("train", "val", "test"):
+            parted.where(F.col("part") == part).drop("part").write.mode("overwrite").json(f"{folder}/{task}/{part}")
+        rows.sparkSession.createDataFrame(list(enumerate(names)), "label int, name string").coalesce(1).write.mode("overwrite").json(f"{folder}/{task}/label_list")
+    return parted
+
+
 def label_counts(rows: DataFrame, labels: str = "labels") -> DataFrame:
     """label, n of the labels that occur."""
     return rows.select(F.posexplode(labels).alias("label", "v")).where("v = 1").groupBy("label").agg(F.count("*").alias("n"))

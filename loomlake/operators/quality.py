@@ -19,32 +19,39 @@ def _has(docs: DataFrame, name: str) -> Column:
     return _filled(name) if name in docs.columns else F.lit(False)
 
 
+def _text(docs: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
+
+
 def _messages(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(when, F.lit(m) if isinstance(m, str) else m) for when, m in pairs]))
 
 
+# The wording of issues and warnings.
 def _common(docs: DataFrame, fields: list[str]) -> tuple[list, list, Column]:
     missing = [(~_has(docs, f), f"Missing or empty required field: {f}") for f in fields]
-    url, title = F.coalesce("url", F.lit("")), F.length("title")
+    url, title = F.coalesce(_text(docs, "url"), F.lit("")), F.length(_text(docs, "title"))
     bad_url = [((url != "") & ~T.is_url(url), F.concat(F.lit("Invalid URL format: "), url))]
-    short = [(_filled("title") & (title < 3), F.format_string("Title very short (%d chars)", title))]
-    return missing + bad_url, short, F.coalesce(F.length("clean_text"), F.lit(0))
+    short = [(_has(docs, "title") & (title < 3), F.format_string("Title very short (%d chars)", title))]
+    return missing + bad_url, short, F.coalesce(F.length(_text(docs, "clean_text")), F.lit(0))
 
 
 def validate_articles(docs: DataFrame) -> DataFrame:
-    """docs with issues and warnings (arrays of messages)."""
+    """docs with issues and warnings (arrays of messages); a field that the table lacks is missing in every row."""
     issues, warnings, n = _common(docs, ARTICLE_FIELDS)
-    words = T.word_count(F.col("clean_text"))
+    rows = docs.withColumn("__w", T.words(_text(docs, "clean_text")))  # split once for all tests
+    words, distinct = F.size("__w"), F.size(F.array_distinct("__w"))
+    title = F.length(_text(docs, "title"))
     issues = [*issues, (n == 0, "No text content (clean_text is empty)")]
     warnings = [
         *warnings,
-        (_filled("title") & (F.length("title") > 200), F.format_string("Title very long (%d chars)", F.length("title"))),
+        (_has(docs, "title") & (title > 200), F.format_string("Title very long (%d chars)", title)),
         ((n > 0) & (n < 50), F.format_string("Text content very short (%d chars)", n)),
         ((n >= 50) & (n < 100), F.format_string("Text content short (%d chars)", n)),
         ((n > 0) & (words < 10), F.format_string("Very few words (%d words)", words)),
-        (T.is_repetitive(F.col("clean_text")), "Possible repetitive content detected"),
+        (T.too_few_distinct(words, distinct), "Possible repetitive content detected"),
     ]
-    return docs.withColumns({"issues": _messages(*issues), "warnings": _messages(*warnings)})
+    return rows.withColumns({"issues": _messages(*issues), "warnings": _messages(*warnings)}).drop("__w")
 
 
 def validate_books(docs: DataFrame) -> DataFrame:
@@ -59,6 +66,11 @@ def validate_books(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"issues": _messages(*issues), "warnings": _messages(*warnings)})
 
 
+def with_text(docs: DataFrame, text: str = "clean_text") -> DataFrame:
+    """The rows that have a text."""
+    return docs.where(F.coalesce(F.col(text), F.lit("")) != "")
+
+
 def repeats_after_first(docs: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key occurred before, in the given order."""
     return docs.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n > 1").drop("__n")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions import text as T
+from ..plans.plugins import Generator
 
 NO_ANSWER = "The knowledge base holds no sufficient answer."
 JOINT = "\n\n---\n\n"
@@ -56,7 +55,7 @@ def fallback_answers(queries: DataFrame, ranked: DataFrame, message: str = NO_AN
     return picked.select("query_id", answer.alias("answer"))
 
 
-def answer(queries: DataFrame, ranked: DataFrame, threshold: float = 0.5, most: int = 4000, generate: Callable[[DataFrame], DataFrame] | None = None, shortest: int = 20) -> DataFrame:
+def answer(queries: DataFrame, ranked: DataFrame, threshold: float = 0.5, most: int = 4000, generate: Generator | None = None, shortest: int = 20) -> DataFrame:
     """query_id, query, answer, used_kb, top_score, avg_top_score, used_chunks for a batch of questions.
 
     ``generate`` adds ``generated`` to (query_id, prompt); without it, or where its text is short, the extractive

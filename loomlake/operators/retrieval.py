@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sigmoid
 from ..functions.text import collapsed
+from ..plans.plugins import PairScorer
 from .sparse import top
 
 
@@ -35,12 +34,12 @@ def drop_same_text(ranked: DataFrame, texts: DataFrame, score: str = "score_hybr
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def rerank(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rerank(candidates: DataFrame, scorer: PairScorer) -> DataFrame:
     """scorer adds score_rerank to (query_id, id, text, ...); the sigmoid of it is kept, too."""
     return scorer(candidates).withColumn("score_rerank_norm", sigmoid(F.col("score_rerank")))
 
 
-def hybrid(sparse_scores: DataFrame, dense_scores: DataFrame, texts: DataFrame, k: int = 10, alpha: float = 0.7, scorer: Callable | None = None, rerank_k: int | None = None) -> DataFrame:
+def hybrid(sparse_scores: DataFrame, dense_scores: DataFrame, texts: DataFrame, k: int = 10, alpha: float = 0.7, scorer: PairScorer | None = None, rerank_k: int | None = None) -> DataFrame:
     """query_id, id, text, the scores, rank. Each side gives twice the candidates that are kept before reranking."""
     keep = (rerank_k or 3 * k) if scorer else k
     fused = drop_same_text(fuse(top(sparse_scores, 2 * keep), top(dense_scores, 2 * keep), alpha), texts)
@@ -65,6 +64,14 @@ def overlap(sparse: DataFrame, dense: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(F.expr("s = 1 and d = 1")).alias("in_both"), F.count_if(F.expr("d is null")).alias("only_sparse"), F.count_if(F.expr("s is null")).alias("only_dense"))
 
 
+def documents(ranked: DataFrame, score: str = "score_hybrid", metadata: bool = True) -> DataFrame:
+    """query_id, rank, page_content, score, and metadata: a struct of all other columns of a ranking that has text. What
+    callers that want documents with metadata need, from the fields as they are."""
+    rest = [c for c in ranked.columns if c not in ("query_id", "rank", "text")]
+    out = [F.col("query_id"), F.col("rank"), F.coalesce("text", F.lit("")).alias("page_content"), F.col(score).alias("score")]
+    return ranked.select(*out, *[F.struct(*rest).alias("metadata")] * metadata)
+
+
 def as_json(ranked: DataFrame, alpha: float, k: int) -> DataFrame:
     """query_id, result: one JSON document for each query, rows by rank."""
     row = F.struct("rank", "id", "score_hybrid", "score_sparse", "score_dense", "score_raw_dense")
@@ -72,7 +79,7 @@ def as_json(ranked: DataFrame, alpha: float, k: int) -> DataFrame:
     return rows.select("query_id", F.to_json(F.struct("query_id", F.lit(alpha).alias("alpha"), F.lit(k).alias("top_k"), "results")).alias("result"))
 
 
-def overlap_scorer(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def overlap_scorer(queries: DataFrame) -> PairScorer:
     """The default pair scorer: share of the query's words that the text has. queries: query_id, query."""
     from ..functions.text import words
 

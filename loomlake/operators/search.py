@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def find(docs: DataFrame, term: str, key: str = "doc_id", text: str = "text", case_sensitive: bool = False, around: int = 100) -> DataFrame:
-    """key, start, end, context of all occurrences, overlapping ones included. Only texts that hold the term are
-    looked through place by place."""
+    """key, start, end, context of all occurrences, overlapping ones included. Only texts that hold the term leave the
+    JVM; there a text is looked through once, from hit to hit."""
     if not term:
         raise ValueError("an empty term occurs everywhere")
     own, n = F.col(text), len(term)
     low, want = (own, F.lit(term)) if case_sensitive else (F.lower(own), F.lower(F.lit(term)))
-    hits = docs.where(F.contains(low, want)).select(F.col(key), own.alias("__t"), low.alias("__l"))
-    pieces = F.split("__l", F.concat(F.lit("(?="), F.concat(F.lit(r"\Q"), want, F.lit(r"\E")), F.lit(")")), -1)
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    starts = F.filter(F.array_distinct(ends), lambda i: F.substring(F.col("__l"), i + 1, F.lit(n)) == want)
-    rows = hits.select(key, "__t", F.explode(starts).alias("start"))
-    begin = F.greatest(F.col("start") - around, F.lit(0))
-    stop = F.least(F.col("start") + n + around, F.length("__t"))
-    return rows.select(key, F.col("start").cast("long").alias("start"), (F.col("start") + n).cast("long").alias("end"), F.substring(F.col("__t"), begin + 1, stop - begin).alias("context"))
+    hits = docs.where(F.contains(low, want)).select(F.col(key), own.alias("t"), low.alias("l"), want.alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, whole, lowered, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = lowered.find(wanted)
+                while at >= 0:
+                    rows.append((k, at, at + n, whole[max(0, at - around) : at + n + around]))
+                    at = lowered.find(wanted, at + 1)
+            kinds = (b.column(0).type, pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], [key, "start", "end", "context"])
+
+    return hits.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, end long, context string")
 
 
 def by_id(docs: DataFrame, value, key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import labels as L
 from ..functions import text as T
 from ..operators import chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
 from ..operators import labels as ml
-from ..sources import html, records
+from ..sources import html, records, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,15 +193,78 @@ def index_stats(spark, d):
     return quality.index_stats(chunking.kb_chunks(_knowledge_base(spark, d)))
 
 
-def _strategy_query(name: str, strategy: str) -> None:
+def _strategy_query(name: str, strategy: str, sql: str | None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return chunking.chunk_rows(_table(spark, d, "documents"), strategy)
 
     QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
 
 
-for _n, _s in (("sentence_chunks", "sentence_window"), ("sentence_group_chunks", "sentence"), ("paragraph_chunks", "paragraph"), ("boundary_chunks", "boundary"), ("backward_chunks", "backward"), ("recursive_chunks", "recursive")):
-    _strategy_query(_n, _s)
+def _last(mark: str, low: str, high: str) -> str:
+    """Place (from 0) of the last mark that lies inside [low, high) of t, or -1."""
+    part = f"substr(t, {low} + 1, {high} - {low})"
+    return f"case when contains({part}, {mark}) then {high} - strpos(reverse({part}), reverse({mark})) - length({mark}) + 1 else -1 end"
+
+
+_TEXTS_SQL = "d as (select doc_id, text t, length(text) n from documents where text is not null)"
+_PIECES_SQL = f"""select doc_id, row_number() over (partition by doc_id order by s) chunk_number, s as start, e as "end", text
+from (select doc_id, s, e, {_STRIP.format("substr(t, s::int + 1, (e - s)::int)")} text from w join d using (doc_id)) where text <> ''"""
+
+
+def _walk_sql(cut: str, following: str) -> str:
+    """Windows from s: cut gives the end e for a start s, following the next start."""
+    return f"""with recursive {_TEXTS_SQL}, w(doc_id, s, e) as (select doc_id, s, {cut} e from (select *, 0::bigint s from d) where n > 0
+union all select doc_id, s, {cut} from (select doc_id, t, n, {following} s from w join d using (doc_id)) where s < n) {_PIECES_SQL}"""
+
+
+_DOT, _ASK = "'.' || chr(10)", "chr(1567)"
+_BOUNDARY_SQL = _walk_sql(f"case when s + 800 < n and greatest({_last(_DOT, 's + 600', 's + 800')}, {_last(_ASK, 's + 600', 's + 800')}, {_last(chr(39) + '!' + chr(39), 's + 600', 's + 800')}) >= 0 then greatest({_last(_DOT, 's + 600', 's + 800')}, {_last(_ASK, 's + 600', 's + 800')}, {_last(chr(39) + '!' + chr(39), 's + 600', 's + 800')}) + 1 else s + 800 end", "case when e < n then e - 100 else e end").replace("s + 600 + 1", "(s + 600)::int + 1").replace("s + 800 - s + 600", "200")
+_MARKED = "translate(t, chr(10) || chr(1567), '..')"
+_BACKWARD_SQL = _walk_sql(f"case when s + 800 < n and contains(substr({_MARKED}, (s + 701)::int + 1, 100), '.') then s + 801 - strpos(reverse(substr({_MARKED}, (s + 701)::int + 1, 100)), '.') + 1 else s + 800 end", "e")
+
+
+def _recursive_sql() -> str:
+    low, cut = "(s + 151)", "least(s + 800, n)"
+    tries = "".join(f" when s + 800 < n and contains(substr(t, {low}::int + 1, 649), {m}) then s + 800 - strpos(reverse(substr(t, {low}::int + 1, 649)), reverse({m})) + 1" for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "chr(1567)", "'!'", "' '"))
+    blank = "strpos(substr(t, (b + 1)::int, (e - b)::int), ' ')"
+    after = f"case when {blank} > 0 then b + {blank} else b end"
+    return f"""with recursive {_TEXTS_SQL}, w(doc_id, s, e) as (select doc_id, s, case{tries} else {cut} end e from (select *, 0::bigint s from d) where n > 0
+union all select doc_id, s, case{tries} else {cut} end from (select doc_id, t, n, {after} s from (select doc_id, t, n, e, greatest(s + 1, e - 150) b from w join d using (doc_id) where e < n))) {_PIECES_SQL}"""
+
+
+# sentences as a list, p: their lengths summed up (with a blank after each in the windows)
+def _parts_sql(split: str, joint: int) -> str:
+    return f"""p as (select doc_id, x, len(x) n, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda y: length(y) + {joint})), 0)::bigint) u
+from (select doc_id, list_filter(list_transform({split}, lambda y: {_STRIP.format("y")}), lambda y: y <> '') x from documents where text is not null and {_STRIP.format("text")} <> ''))"""
+
+
+_SENTENCES = r"regexp_split_to_array(regexp_replace(text, '([.!?\x{061F}])\s+', '\1' || chr(1), 'g'), '" + "\x01" + "')"
+_LINES = r"regexp_split_to_array(regexp_replace(text, '([.!?\x{061F}])\s+', '\1' || chr(10), 'g'), '\n+')"
+_END = "coalesce(list_min(list_filter(range({m}, n), lambda i: u[i + 2] - u[f + 1] > 1201)), n)"
+_SENTENCE_WINDOWS_SQL = f"""with recursive {_parts_sql(_LINES, 1)},
+g(doc_id, f, z, pl) as (select doc_id, 0::bigint, {_END.replace("u[f + 1]", "u[1]").format(m="1")}, 0::bigint from p where n > 0
+union all select doc_id, f, {_END.format(m="z + 1")}, pl from (select doc_id, n, u, z, coalesce(list_min(list_filter(range(f, z), lambda i: u[i + 1] >= u[z + 1] - 201)), z) f, pl + u[z + 1] - u[f + 1] - 1 - (u[z + 1] - u[coalesce(list_min(list_filter(range(f, z), lambda i: u[i + 1] >= u[z + 1] - 201)), z) + 1]) pl from g join p using (doc_id) where z < n))
+select doc_id, row_number() over (partition by doc_id order by z) chunk_number, pl as start, pl + length(array_to_string(x[f + 1 : z], ' ')) as "end", array_to_string(x[f + 1 : z], ' ') text from g join p using (doc_id)"""
+# one step for each sentence i: first a flush before it (b to i), then one after it
+_SENTENCE_GROUPS_SQL = f"""with recursive {_parts_sql(_SENTENCES, 0)},
+g(doc_id, i, f, pl, e1, e2, b1) as (select doc_id, -1::bigint, 0::bigint, 0::bigint, null::bigint, null::bigint, null::bigint from p
+union all select doc_id, i + 1, case when u[i + 3] - u[h + 1] >= 800 then greatest(h, i) else h end, pl1 + case when u[i + 3] - u[h + 1] >= 800 then u[i + 3] - u[h + 1] else 0 end,
+case when before then i + 1 end, case when u[i + 3] - u[h + 1] >= 800 then i + 2 end, case when before then f end
+from (select *, case when before then greatest(f, i - 1) else f end h, pl + case when before then u[i + 2] - u[f + 1] else 0 end pl1
+from (select g.*, p.u, p.n, i + 1 > f and u[i + 2] - u[f + 1] + length(x[i + 2]) > 1500 before from g join p using (doc_id) where i + 1 < n))),
+st as (select *, lag(f) over (partition by doc_id order by i) f0, lag(pl) over (partition by doc_id order by i) pl0 from g),
+c as (select doc_id, i, 0 o, b1 f, e1 z, pl0 as start from st where e1 is not null
+union all select st.doc_id, i, 1, case when e1 is not null then greatest(f0, i - 2) else f0 end, e2, pl0 + case when e1 is not null then u[e1 + 1] - u[b1 + 1] else 0 end from st join p using (doc_id) where e2 is not null
+union all select doc_id, i + 1, 2, f, n, pl from g join p using (doc_id) where i + 1 = n and length(array_to_string(x[f + 1 : n], ' ')) >= 200)
+select doc_id, row_number() over (partition by doc_id order by i, o) chunk_number, start, start + u[z + 1] - u[f + 1] as "end", array_to_string(x[f + 1 : z], ' ') text from c join p using (doc_id)"""
+
+for _n, _s, _q in (
+    ("sentence_chunks", "sentence_window", _SENTENCE_WINDOWS_SQL), ("sentence_group_chunks", "sentence", _SENTENCE_GROUPS_SQL), ("paragraph_chunks", "paragraph", None),
+    ("boundary_chunks", "boundary", _BOUNDARY_SQL), ("backward_chunks", "backward", _BACKWARD_SQL), ("recursive_chunks", "recursive", _recursive_sql()),
+):
+    _strategy_query(_n, _s, _q)
 
 
 @_query()
@@ -242,16 +305,34 @@ def top_warnings(spark, d):
     return quality.top_messages(quality.validate_articles(_knowledge_base(spark, d)))
 
 
-@_query()
+# Books that the tables lack: without a text, a title, a URL or a PDF; the same rows in both engines.
+BOOKS = [
+    ("b1", "book", "http://e.org/b1", "A title", "", "a.pdf"), ("b2", "book", "http://e.org/b2", "A title", "", ""), ("b3", "book", "no url", "T", "short text", ""),
+    ("", "book", "", "", "x" * 50, "a.pdf"), ("b5", "", "http://e.org/b5", "Ti", "x" * 49, ""), ("b6", "book", "http://e.org/b6", "Tit", "   ", "a.pdf"),
+]
+_BOOKS_SQL = f"""(select doc_id, kb_family content_type, url, title, clean_text, null pdf_path from {_KB_SQL} where kb_family = 'book'
+union all select * from (values {", ".join(str(b) for b in BOOKS)}) v(doc_id, content_type, url, title, clean_text, pdf_path))"""
+
+
+@_query(
+    f"""select doc_id, array_to_string(list_sort(list_filter([case when coalesce(doc_id, '') = '' then 'Missing or empty required field: doc_id' end, case when coalesce(content_type, '') = '' then 'Missing or empty required field: content_type' end,
+ case when coalesce(url, '') = '' then 'Missing or empty required field: url' end, case when coalesce(title, '') = '' then 'Missing or empty required field: title' end,
+ case when coalesce(url, '') <> '' and not regexp_matches(url, '^https?://[^/]') then 'Invalid URL format: ' || url end], lambda x: x is not null)), '; ') issues,
+ array_to_string(list_sort(list_filter([case when coalesce(clean_text, '') = '' and coalesce(pdf_path, '') = '' then 'No text content and no PDF path' end,
+ case when coalesce(clean_text, '') = '' and coalesce(pdf_path, '') <> '' then 'No extracted text (PDF might need manual processing)' end,
+ case when length(clean_text) between 1 and 49 then 'Text content very short (' || length(clean_text) || ' chars)' end,
+ case when length(title) between 1 and 2 then 'Title very short (' || length(title) || ' chars)' end], lambda x: x is not null)), '; ') warnings from {_BOOKS_SQL}"""
+)
 def validate_books(spark, d):
-    rows = quality.validate_books(_knowledge_base(spark, d).where("kb_family = 'book'"))
-    return rows.select("doc_id", F.size("issues").alias("n_issues"), F.size("warnings").alias("n_warnings"))
+    made = spark.createDataFrame(BOOKS, "doc_id string, content_type string, url string, title string, clean_text string, pdf_path string")
+    books = _knowledge_base(spark, d).where("kb_family = 'book'").unionByName(made, allowMissingColumns=True)
+    rows = quality.validate_books(books)
+    return rows.select("doc_id", F.array_join(F.sort_array("issues"), "; ").alias("issues"), F.array_join(F.sort_array("warnings"), "; ").alias("warnings"))
 
 
-@_query(r"select page_id, host from (select *, row_number() over (partition by host order by page_id) n from (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) host from pages)) where n > 1")
+@_query("select page_id, url from (select page_id, url, row_number() over (partition by url order by page_id) n from pages where url is not null) where n > 1")
 def duplicate_urls(spark, d):
-    hosts = _table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
-    return quality.repeats_after_first(hosts, "host", "page_id")
+    return quality.repeats_after_first(_table(spark, d, "pages").select("page_id", "url"), "url", "page_id")
 
 
 @_query(f"select doc_id from (select doc_id, row_number() over (partition by array_to_string({_WORDS}, ' ') order by doc_id) n from documents) where n = 1")
@@ -278,14 +359,30 @@ def _chunked(spark: SparkSession, d: str) -> DataFrame:
     return chunking.char_chunks(_table(spark, d, "documents").select("doc_id", "text")).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "doc_id", "text")
 
 
+_INDEXES: dict[tuple[str, str, str], sparse.SparseIndex] = {}
+
+
+def _index(spark: SparkSession, d: str, what: str) -> sparse.SparseIndex:
+    """The BM25 index of the chunks or of whole documents, held for the queries that share it; those of another folder
+    or session are let go."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _INDEXES if k[:2] != (app, d)]:
+        gone = _INDEXES.pop(key)
+        if key[0] == app:
+            gone.release()
+    if (app, d, what) not in _INDEXES:
+        rows = _chunked(spark, d) if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+        _INDEXES[app, d, what] = sparse.build(rows, "id")
+    return _INDEXES[app, d, what]
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    items = _table(spark, d, "benchmark")
-    return sparse.scores(sparse.build(_chunked(spark, d), "id"), items, "item_id", "text")
+    return sparse.scores(_index(spark, d, "chunks"), _table(spark, d, "benchmark"), "item_id", "text")
 
 
 @_query(f"with {_BM25_SQL} select n n_chunks, round(avgdl, 6) avgdl, (select count(*) from df) n_terms, (select cast(sum(tf) as bigint) from tf) n_tokens from st")
 def bm25_stats(spark, d):
-    index = sparse.build(_chunked(spark, d), "id")
+    index = _index(spark, d, "chunks")
     tokens = index.postings.agg(F.sum("tf").alias("n_tokens"))
     terms = index.terms.agg(F.count("*").alias("n_terms"))
     return index.stats.crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(tokens)).select(F.col("n").alias("n_chunks"), _r("avgdl").alias("avgdl"), "n_terms", "n_tokens")  # one row each
@@ -304,6 +401,16 @@ def bm25_topk(spark, d):
     return _top(_bm25(spark, d), 10).select("query_id", "id", "rank", _r("score").alias("score"))
 
 
+_SHORT_SQL = """qs as (select item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[3:5], ' ') text from benchmark)"""
+
+
+@_query(f"with {_SHORT_SQL}, {_BM25_SQL.replace('from benchmark)', 'from qs)')} select query_id, id, cast(rank as integer) rank, round(score, 6) score from (select *, {_TOP.format(s='score')} rank from bm) where rank <= 10")
+def bm25_short_topk(spark, d):
+    """Three words of each item, pruned by bounds."""
+    items = _table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ").alias("text"))
+    return _top(sparse.best(_index(spark, d, "chunks"), items, "item_id", "text", 10), 10).select("query_id", "id", "rank", _r("score").alias("score"))
+
+
 _DENSE_SQL = """e as (select vec_id, cast(embedding as double[]) v, label from embeddings), qv as (select item_id query_id, v qv from benchmark join e on vec_id = item_id),
 de as (select query_id, vec_id id, label, greatest(0, list_sum(list_transform(list_zip(qv, v), lambda z: z[1] * z[2]))) score from qv, e)"""
 
@@ -334,7 +441,15 @@ def dense_score_range(spark, d):
 
 @_query()
 def hashed_embeddings(spark, d):
-    return dense.hashed_vectors(_table(spark, d, "benchmark"), "item_id", "text").select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return dense.hashed_vectors(_table(spark, d, "documents"), "doc_id", "text").select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@_query(f"select kb_family, count(*) n, count(distinct parent_doc_id) n_docs, 64 * count(*) n_cells, count(*) n_unit from {_KB_CHUNKS_SQL} group by 1")
+def collection_rows(spark, d):
+    """What a vector collection of the knowledge base's chunks holds."""
+    rows = vectors.embedded(chunking.kb_chunks(_knowledge_base(spark, d)))
+    unit = F.abs(dense.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-5
+    return rows.groupBy("kb_family").agg(F.count("*").alias("n"), F.countDistinct("parent_doc_id").alias("n_docs"), F.sum(F.size("embedding")).alias("n_cells"), F.count_if(unit).alias("n_unit"))
 
 
 # documents as wholes for hybrid search: BM25 over documents, vectors by id
@@ -352,7 +467,7 @@ h as (select *, {_TOP.format(s="score_hybrid")} rank from u where dup = 1)"""
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    a = sparse.scores(sparse.build(docs, "id"), _table(spark, d, "benchmark"), "item_id", "text")
+    a = sparse.scores(_index(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text")
     rows, items = _vectors(spark, d)
     return a.withColumn("score", F.round("score", 9)), dense.scores(rows, items, clamp=True).withColumn("score", F.round("score", 9)), docs
 
@@ -379,26 +494,43 @@ def minmax_scores(spark, d):
     return a.select("query_id", "id", F.round(retrieval.normalized(a), 5).alias("score_norm"))
 
 
-@_query()
+@_query(f"""with {_hybrid_sql(0.7, 5)}, m as (select 'sparse' as method, query_id, id, round(score, 9) score from bm union all select 'dense', query_id, id, round(score, 9) from de union all select 'hybrid', query_id, id, score_hybrid from h where rank <= 5)
+select method, query_id, cast(rank as integer) rank, id, round(score, 6) score from (select *, row_number() over (partition by method, query_id order by score desc, id) rank from m) where rank <= 5""")
 def compare_methods(spark, d):
     a, b, docs = _sides(spark, d)
     fused = retrieval.hybrid(a, b, docs, 5).select("query_id", "id", F.col("score_hybrid").alias("score"))
     return retrieval.compare(5, sparse=a, dense=b, hybrid=fused).withColumn("score", _r("score"))
 
 
-@_query()
+_RERANK_SQL = f"""{_hybrid_sql(0.7, 30)}, rr as (select query_id, id, len(list_intersect(qw, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x: x <> '')))) / greatest(len(qw), 1) s
+from h join documents d on d.doc_id = h.id join (select item_id query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) qw from benchmark) using (query_id) where rank <= 30)"""
+
+
+@_query(f"with {_RERANK_SQL} select query_id, id, cast(rank as integer) rank, round(s, 6) score_rerank, round(1 / (1 + exp(-s)), 6) score_rerank_norm from (select *, row_number() over (partition by query_id order by s desc, id) rank from rr) where rank <= 10")
 def reranked_topk(spark, d):
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.hybrid(*_sides(spark, d), scorer=retrieval.overlap_scorer(asked)).select("query_id", "id", "rank", _r("score_rerank").alias("score_rerank"), _r("score_rerank_norm").alias("score_rerank_norm"))
 
 
+@_query(f"with {_hybrid_sql(0.7, 5)} select query_id, cast(rank as integer) rank, id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) content_md5, round(score_hybrid, 5) score, round(score_sparse, 5) score_sparse from h left join documents on doc_id = id where rank <= 5")
+def retriever_documents(spark, d):
+    found = retrieval.documents(_hybrid(spark, d, 0.7, 5))
+    return found.select("query_id", "rank", "metadata.id", F.length("page_content").cast("long").alias("n_chars"), F.md5("page_content").alias("content_md5"), F.round("score", 5).alias("score"), F.round("metadata.score_sparse", 5).alias("score_sparse"))
+
+
 @_query()
 def search_json(spark, d):
     return retrieval.as_json(_hybrid(spark, d, 0.7), 0.7, 10)
 
 
+@_query(f"with {_hybrid_sql(0.7)} select query_id, count(*) filter (a is not null and b is not null) in_both, count(*) filter (b is null) only_sparse, count(*) filter (a is null) only_dense from (select query_id, id, score_sparse a from s) full outer join (select query_id, id, score_dense b from n) using (query_id, id) group by 1")
+def candidate_overlap(spark, d):
+    a, b, _ = _sides(spark, d)
+    return retrieval.overlap(_top(a, 20), _top(b, 20))
+
+
 _TRUTH_SQL = "t as (select distinct item_id query_id, doc_id id from benchmark b join documents d on contains(d.text, b.text))"
-_JUDGED_SQL = f"""{_DOC_BM25_SQL}, {_TRUTH_SQL}, r as (select *, {_TOP.format(s="score")} rank from bm), j as (select r.query_id, r.id, rank, (t.id is not null)::int rel, n_rel from r left join t using (query_id, id) join (select query_id, count(*) n_rel from t group by 1) using (query_id) where rank <= 10),
+_JUDGED_SQL = f"""{_DOC_BM25_SQL}, {_TRUTH_SQL}, r as (select *, {_TOP.format(s="score")} rank from bm), j as (select r.query_id, r.id, rank, score, (t.id is not null)::int rel, n_rel from r left join t using (query_id, id) join (select query_id, count(*) n_rel from t group by 1) using (query_id) where rank <= 10),
 k as (select *, sum(rel) over (partition by query_id order by rank) / rank p from j)"""
 
 
@@ -452,7 +584,33 @@ def eval_summary(spark, d):
     return s.select("metric", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
-@_query()
+_GAIN = ", ".join(f"round(sum(case when rank <= {k} and rel = 1 then score / log2(rank + 1) else 0 end) / list_sum(list_transform(range(1, least(max(n_rel), {k})::int + 1), lambda i: 1 / log2(i + 1))), 5) ndcg_{k}" for k in evaluate.CUTS)
+
+
+@_query(f"with {_JUDGED_SQL} select query_id, {_GAIN} from k group by 1")
+def score_gain_ndcg(spark, d):
+    """NDCG with the score as the gain of a relevant row."""
+    m = evaluate.metrics(_judged(spark, d), gain="score")
+    return m.select("query_id", *[F.round(f"ndcg_{k}", 5).alias(f"ndcg_{k}") for k in evaluate.CUTS])
+
+
+TRUTH = [(0, "zero", None, "x"), (1, "", "label", "x"), (2, None, "", "plain"), (3, "", "", ""), (4, None, None, None), (None, "no id", None, None), (5, "b", None, None), (5, "a", None, None)]
+_ROWS = ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in r) + ")" for r in TRUTH)
+
+
+@_query(f"select query_id, max(answer) answer from (select id query_id, coalesce(nullif(text, ''), nullif(label_answer, ''), nullif(answer, '')) answer from (values {_ROWS}) v(id, text, label_answer, answer)) where query_id is not null and answer is not null group by 1")
+def truth_rows(spark, d):
+    return evaluate.load_truth(spark.createDataFrame(TRUTH, "id int, text string, label_answer string, answer string"))
+
+
+_CONTEXT_SQL = f"""{_hybrid_sql(0.7)}, bl as (select query_id, rank, {_STRIP.format("text")} t, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') w from h join documents on doc_id = id where rank <= 10),
+ok as (select query_id, rank, {_STRIP.format("'[source ' || rank || ']' || chr(10) || t")} b from bl where length(t) >= 20 and not (len(w) > 10 and len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}'))) > 0.4 * len(w))),
+j as (select query_id, rank, case when row_number() over v = 1 then '' else chr(10) || chr(10) || '---' || chr(10) || chr(10) end || b b from ok window v as (partition by query_id order by rank)),
+cut as (select query_id, rank, substr(b, 1, (4000 - coalesce(sum(length(b)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0))::int) b, 4000 - coalesce(sum(length(b)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) left_ from j)
+select query_id, {_STRIP.format("string_agg(b, chr(10) order by rank)")} context, count(*) n_blocks from cut where left_ > 0 group by 1"""
+
+
+@_query(f"with {_CONTEXT_SQL}")
 def context_pack(spark, d):
     return rag.pack_context(_hybrid(spark, d, 0.7))
 
@@ -505,11 +663,11 @@ _CODES_SQL = "map {'A': 1, 'B': 0, 'C': 2, 'D': 4, 'E': 3, 'F': 5, 'Z': 6}"
 
 
 @_query(
-    "select id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(codes, '^\\[|\\]$', '', 'g'), ','), lambda x: "
+    "select id, case when starts_with(codes, '[') <> ends_with(codes, ']') then '' else array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(codes, '^\\[|\\]$', '', 'g'), ','), lambda x: "
     + _CODES_SQL
-    + "[trim(trim(trim(x), '''\"'))]), lambda i: i is not null))), ',') idx from (values "
-    + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in LABEL_TEXTS if t != "[A")
-    + ", (5, '')) v(id, codes)"
+    + "[trim(trim(trim(x), '''\"'))]), lambda i: i is not null))), ',') end idx from (values "
+    + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in LABEL_TEXTS)
+    + ") v(id, codes)"
 )
 def parse_labels(spark, d):
     rows = spark.createDataFrame(LABEL_TEXTS, "id int, codes string")
@@ -545,6 +703,17 @@ def split_sizes(spark, d):
     return ml.split(_table(spark, d, "labels"), "doc_id").groupBy("part").agg(F.count("*").alias("n"))
 
 
+_CODED_SQL = "(select doc_id id, text question, case when doc_id % 5 = 0 then '' when doc_id % 3 = 0 then '[''A'',''B'']' when doc_id % 3 = 1 then 'C, Q' else 'Z' end codes from documents)"
+
+
+@_query(f"with s as (select count(*) n, cast(ceil(count(*) * 4 / 10) as bigint) rest from {_CODED_SQL} where codes <> '' and {_STRIP.format('question')} not in ('') and lower({_STRIP.format('question')}) <> 'nan') select 'train' part, n - rest n from s union all select 'val', rest - cast(ceil(rest / 2) as bigint) from s union all select 'test', cast(ceil(rest / 2) as bigint) from s")
+def prepared_dataset(spark, d):
+    k = F.col("doc_id")
+    codes = F.when(k % 5 == 0, "").when(k % 3 == 0, "['A','B']").when(k % 3 == 1, "C, Q").otherwise("Z")
+    rows = _table(spark, d, "documents").select(k.alias("id"), F.col("text").alias("question"), codes.alias("final_QT"))
+    return ml.prepare(rows, "qtypes").groupBy("part").agg(F.count("*").alias("n"))
+
+
 _PLAN_SQL = f"""c as (select k - 1 as label, count(*) n from (select unnest([1, 2]) k, labels from {_MULTI_SQL}) where labels[k] = 1 group by 1), m as (select list_sort(list(n))[count(*) // 2 + 1] m from c), total as (select count(*) total from {_MULTI_SQL}),
 plan as (select label, n, cast(ceil((1 - n / total) * m) as bigint) target, greatest(cast(ceil((1 - n / total) * m) as bigint) - n, 0) needed from c, m, total where n < m)"""
 

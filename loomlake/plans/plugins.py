@@ -25,6 +25,12 @@ class Generator(Protocol):
     def __call__(self, prompts: DataFrame) -> DataFrame: ...
 
 
+class HtmlExtractor(Protocol):
+    """key, title, clean_text of pages; default: sources.html.parse_articles."""
+
+    def __call__(self, pages: DataFrame, key: str, html: str) -> DataFrame: ...
+
+
 class Paraphraser(Protocol):
     """key, n, text variants of rows; default: none."""
 

@@ -108,11 +108,47 @@ def title_of(html: Column) -> Column:
     return F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1)
 
 
+def script_pdf(html: Column) -> Column:
+    """The string that a script gives to the name pdfUrl, if it ends with .pdf."""
+    given = F.regexp_extract(html, r"\bpdfUrl\b\s*=\s*('[^'\n]*'|\"[^\"\n]*\")", 1)
+    string = F.substring(given, F.lit(2), F.length(given) - 2)
+    return F.when(F.lower(string).endswith(".pdf"), string)
+
+
+def linked_pdf(html: Column) -> Column:
+    """The first link to a .pdf file."""
+    return F.nullif(F.regexp_extract(html, r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+\.pdf)", 1), F.lit(""))
+
+
 def pdf_url(html: Column) -> Column:
-    """A PDF address from an inline script, else from the first link to a .pdf file."""
-    script = F.regexp_extract(html, r"(?:const|var)\s+pdfUrl\s*=\s*[\"']([^\"']+\.pdf)[\"']", 1)
-    link = F.regexp_extract(html, r"href=[\"']([^\"']+\.pdf)[\"']", 1)
-    return F.coalesce(F.nullif(script, F.lit("")), F.nullif(link, F.lit("")))
+    return F.coalesce(script_pdf(html), linked_pdf(html))
+
+
+def parse_books(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", title: str = "h1.text-center", body: str = "div.book", description: str = "div.description", link: str = "a.pdf", pdf_text: DataFrame | None = None) -> DataFrame:
+    """key, title, pdf_url, clean_text, text_source ('pdf', 'html' or null) of book pages. The address comes from the script,
+    else from the first element that the link selector finds, else from the first link to a .pdf file, and is made
+    absolute. pdf_text (pdf_url, text), where it has the address, is preferred to the text of the page's body, and that
+    to its description."""
+
+    def one(base: str | None, page: str, scripted: str | None, linked: str | None) -> tuple:
+        chosen = next((href for path, href in _tree(page).links if matches(path[-1], link)), None)
+        address = scripted or chosen or linked
+        text = first_text(page, body, "\n", DROPPED) or first_text(page, description, "\n", DROPPED)
+        return first_text(page, title), urljoin(base or "", address) if address else None, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.string()) for i in range(3))], [key, "title", "pdf_url", "text"])
+
+    page = F.col(html).cast("string")
+    rows = pages.select(key, F.col(url).cast("string").alias("url"), page.alias("html"), script_pdf(page).alias("scripted"), linked_pdf(page).alias("linked"))
+    books = rows.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, title string, pdf_url string, text string")
+    if pdf_text is not None:
+        books = books.join(pdf_text.select("pdf_url", F.col("text").alias("__pdf")).dropDuplicates(["pdf_url"]), "pdf_url", "left")
+    read = F.nullif("__pdf", F.lit("")) if pdf_text is not None else F.lit(None).cast("string")
+    source = F.when(read.isNotNull(), "pdf").when(F.col("text").isNotNull(), "html")
+    return books.select(key, "title", "pdf_url", F.coalesce(read, "text").alias("clean_text"), source.alias("text_source"))
 
 
 def class_counts(pages: DataFrame, html: str = "html", tag: str = "div", n: int = 10) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +23,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "toleran
 
 
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with line_num, from 1 in each file; bad lines keep their number and have nulls. One file is one task's work."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return lines.where("trim(line) <> ''").select((F.col("i") + 1).alias("line_num"), F.from_json("line", schema).alias("r")).select("line_num", "r.*")
+    """Rows with line_num, from 1 in each file; bad lines keep their number and have nulls. Lines are numbered in each
+    block that a task reads, and the counts of a file's earlier blocks are added."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("o"))
+    blocks = lines.groupBy("f", "s").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("f", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f", "s").orderBy("o"))).join(bases, ["f", "s"])
+    filled = numbered.where("trim(value) <> ''")
+    return filled.select((F.col("base") + F.col("i")).alias("line_num"), F.from_json("value", schema).alias("r")).select("line_num", "r.*")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of all rows, one text file; for small tables such as ratings and reports."""
+    whole = df.agg(F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"}).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, multiLine=True, quote='"', escape='"')
 
@@ -69,18 +78,42 @@ def load_documents(*sources: tuple[str, DataFrame | None]) -> DataFrame:
     return out
 
 
-def first_existing(*paths: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    """On any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
     """The preferred file or the first fallback that exists."""
     for p in paths:
-        if Path(p).exists():
+        if exists(spark, p):
             return p
     raise FileNotFoundError(paths[0])
 
 
-def sample_report(docs: DataFrame, path: str, n: int = 3, columns: tuple[str, ...] = ("doc_id", "title", "clean_text")) -> None:
-    """A text file with the first n rows."""
-    rows = docs.select(*[truncate(F.col(c).cast("string")).alias(c) for c in columns if c in docs.columns]).orderBy(columns[0]).limit(n).collect()
-    Path(path).write_text("\n\n".join(json.dumps(r.asDict(), ensure_ascii=False, indent=1) for r in rows), encoding="utf-8")
+def read_articles(spark: SparkSession, folder: str, name: str = "articles_all.jsonl") -> DataFrame:
+    return read_jsonl(spark, first_existing(spark, f"{folder}/{name}"), ARTICLE)
+
+
+def read_books(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """The cleaned books, or the repaired ones where those are not there; a file that is asked for by name has no stand-in."""
+    names = [name] if name else ["books_all_ragclean.jsonl", "books_all_fixed.jsonl"]
+    return read_jsonl(spark, first_existing(spark, *[f"{folder}/{n}" for n in names]), BOOK)
+
+
+def inspection(docs: DataFrame, n: int = 3, columns: tuple[str, ...] = ("doc_id", "title", "clean_text")) -> DataFrame:
+    """kb_family, n_rows, samples: the first n rows of each family by id, long values cut."""
+    kept = [truncate(F.col(c).cast("string")).alias(c) for c in columns if c in docs.columns]
+    counts = docs.groupBy("kb_family").agg(F.count("*").alias("n_rows"))
+    first = docs.select("kb_family", *kept).withColumn("__n", F.row_number().over(Window.partitionBy("kb_family").orderBy(columns[0]))).where(F.col("__n") <= n)
+    samples = first.groupBy("kb_family").agg(F.array_sort(F.collect_list(F.struct("__n", *[c for c in columns if c in docs.columns]))).alias("s"))
+    return counts.join(samples.select("kb_family", F.transform("s", lambda x: x.dropFields("__n")).alias("samples")), "kb_family", "left")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A small table as JSON lines, one file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
 
 
 def pending(candidates: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
