@@ -63,6 +63,21 @@ def text_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:
         spark.conf.set(key, str(most_bytes))
 
 
+#: Keys that hold more than a thousandth of all rows, and more than this many, are met in parts. They are fewer than a thousand.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def meet(rows: DataFrame, facts: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+    """rows joined with facts (keys, c: how many rows have them, more) by the keys; the rows of a hot key are dealt to parts
+    by the salt columns, each with a copy of the key's one fact. facts has to be stored: it is read several times."""
+    total = facts.agg(F.sum("c")).first()[0] or 0
+    part = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(facts.where(F.col("c") > part).select(*keys, F.ceil(F.col("c") / part).cast("int").alias("__parts")))  # below HOT_SHARE rows
+    dealt = rows.join(hot, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    spread = facts.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts", "c")
+    return dealt.join(spread, [*keys, "__part"]).drop("__part")
+
+
 def key_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import meet, stash
 
 
 def connected_components(edges: DataFrame, tag: str = "star", most_rounds: int = 60) -> DataFrame:
-    """edges: x, y (longs, x <> y). Returns node, root: the least node that is reachable, for every node but the roots."""
+    """edges: x, y (longs, x <> y). Returns node, root: the least node that is reachable, for every node but the roots. The
+    neighbours of a node that has very many are met in parts."""
     graph = stash(edges.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), tag)
     mark = _mark(graph)
     for _ in range(most_rounds):
         both = graph.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(graph.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), f"{tag}-least")
+        large = meet(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stash(large, tag)
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         linked = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
@@ -28,4 +29,6 @@ def connected_components(edges: DataFrame, tag: str = "star", most_rounds: int =
 
 
 def _mark(graph: DataFrame) -> tuple:
-    return tuple(graph.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first())
+    """Tells edge sets apart: their number, and two sums of 64-bit hashes."""
+    h = F.xxhash64("hi", "lo")
+    return tuple(graph.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())

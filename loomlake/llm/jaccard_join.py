@@ -12,13 +12,14 @@ previous class of its shingle (pairs met a few times over) and joins what is lin
 Round 2 looks at shingles whose classes still lie in different components. A class with fewer of them than any linked
 pair of its size shares is settled and leaves. Where a shingle's classes are few, their pairs meet by a
 join. Where they are more than HOT, the classes that such shingles connect form a family; its sets are dealt to cells
-of two blocks of about BLOCK classes, a cell counts intersections by matrix products and gives back a spanning forest
-of the links it found. A link missed by round 1 has its ends in one component or is tested in round 2, so no component
+of two blocks of about BLOCK classes, but for cells whose classes all lie in one component already; a cell counts
+intersections by matrix products and gives back a spanning forest of the links it found. A link missed by round 1 has its ends in one component or is tested in round 2, so no component
 is lost, and no task holds more than a cell.
 
 Shingles are 64-bit hashes of word 5-tuples; two different shingles of one compared pair collide with a chance of
 about 1e-14. Null or empty texts have no shingles, are linked with nothing and are their own component; rows of equal
-text share a component; null ids are kept in their row but are nobody's component id.
+text share a component; null ids are kept in their row but are nobody's component id. Very long texts are shingled
+whole; an empty table gives no rows; other columns, whatever their names, are ignored (``keep_first`` hands them on).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, id_of, key_of, text_batches, stash, text_of
+from .base import NULL_ID, id_of, key_of, meet, stash, text_batches, text_of
 from .bpe import Memo
 from .components import connected_components
 
@@ -45,7 +46,8 @@ SKETCH = 1 << 16
 CHUNK = 1 << 14
 STAR = 256
 HOT = 32
-FILTER = 1 << 23
+#: Bits of the filter over representatives: 2 to the power of LEAST_FILTER at least, MOST_FILTER at most.
+LEAST_FILTER, MOST_FILTER = 20, 1 << 28
 BLOCK = 384
 #: An n-shingle set posts n / EXTRA more than it must, and its pairs have to meet as many times more.
 EXTRA = 20
@@ -83,8 +85,15 @@ class Shingler:
         return self.many([text])[0]
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """The 64-bit name of a set; sets of which two have one name go by another."""
+    name, other = names_of(shingles)
+    return other if name in clashing else name
+
+
+def names_of(shingles: np.ndarray) -> tuple[int, int]:
+    data = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -93,21 +102,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """(d, cls, n) of each row; and, at each task's end, its counts (chunk, counts) of hashed shingles."""
+    """(d, cls, alt, n) of each row; and, at each task's end, its counts (chunk, counts) of hashed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, names = Shingler(size), np.zeros(SKETCH, np.uint64), ["d", "cls", "n", "chunk", "counts"]
+        shingler, counts, names = Shingler(size), np.zeros(SKETCH, np.uint64), ["d", "cls", "alt", "n", "chunk", "counts"]
         for b in batches:
             sets = shingler.many(b.column(1).to_pylist())
             if sets:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint64)
-            rows = [b.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            both = [names_of(s) if len(s) else (None, None) for s in sets]
+            rows = [b.column(0), *(pa.array([n[k] for n in both], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int32())]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
-        rows = [(None, None, None, k, counts[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(SKETCH // CHUNK) if counts.any()]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        rows = [(None, None, None, None, k, counts[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(SKETCH // CHUNK) if counts.any()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return stash(_texts(docs).mapInArrow(run, "d long, cls long, n int, chunk int, counts binary"), "classes")
+    return stash(_texts(docs).mapInArrow(run, "d long, cls long, alt long, n int, chunk int, counts binary"), "classes")
 
 
 def _sketch(found: DataFrame) -> np.ndarray:
@@ -128,7 +138,7 @@ def _sketch(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch: np.ndarray, clashing: frozenset[int], size: int, percent: int) -> DataFrame:
     """(s shingle, cls, n, pos): the rarest shingles of each class, once in each task."""
     places = np.empty(SKETCH, np.uint64)
     places[np.argsort(sketch, kind="stable")] = np.arange(SKETCH)  # the cells from rare to frequent
@@ -139,7 +149,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> D
         for b in batches:
             s, cls, n, pos = [], [], [], []
             for own in shingler.many(b.column(1).to_pylist()):
-                if not len(own) or (c := class_of(own)) in seen:
+                if not len(own) or (c := class_of(own, clashing)) in seen:
                     continue
                 seen.add(c)
                 keys = cells[(own & np.uint64(SKETCH - 1)).astype(np.int64)] | (own >> np.uint64(SKETCH.bit_length() - 1))
@@ -207,49 +217,59 @@ def _least_met() -> str:
     return f"least(n1, n2) div {EXTRA} + 1"
 
 
-def _filter_of(reps: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER bits over document keys, two bits each; when it fills up it only lets more through."""
+def _filter_of(reps: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ``bits`` bits, packed, over document keys, two bits each."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(FILTER, bool)
+        flags = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            for place in _bits(b.column(0).to_numpy(zero_copy_only=False)):
-                flags[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
+            for place in _bits(b.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(flags, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([flags.tobytes()], pa.binary())], ["flags"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(FILTER // 8, np.uint8)
+        whole = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for data in b.column(0).to_pylist():
                 whole |= np.frombuffer(data, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], ["flags"])
 
-    rows = reps.mapInArrow(add, "flags binary").repartition(4).mapInArrow(merge, "flags binary").collect()  # four of FILTER bits
-    whole = np.zeros(FILTER // 8, np.uint8)
+    rows = reps.mapInArrow(add, "flags binary").repartition(4).mapInArrow(merge, "flags binary").collect()  # four filters
+    whole = np.zeros(bits // 8, np.uint8)
     for (data,) in rows:
         whole |= np.frombuffer(data, np.uint8)
     return whole
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     c = keys.astype(np.int64).view(np.uint64) * _MIX[0]
     c = (c ^ (c >> np.uint64(30))) * _MIX[1]
-    return (c % np.uint64(FILTER)).astype(np.int64), ((c >> np.uint64(32)) % np.uint64(FILTER)).astype(np.int64)
+    return (c & np.uint64(bits - 1)).astype(np.int64), ((c >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, own): whole sets of the classes whose representatives stand in wanted.rep, and of others that a filter of
-    fixed size lets through. The texts stay where they are; only representatives are shingled."""
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("rep")))
+def _sets(docs: DataFrame, wanted: DataFrame, clashing: frozenset[int], size: int) -> DataFrame:
+    """(cls, own): whole sets of the classes whose representatives stand in wanted.rep, and of some others. Up to
+    MOST_FILTER bits a filter with 16 bits for each representative goes to the texts, which stay where they are, and only
+    what it lets through is shingled; beyond that, texts and representatives meet by a join."""
+    bits = 1 << max(LEAST_FILTER, (16 * wanted.count() - 1).bit_length())
+    texts, held = _texts(docs), None
+    if bits <= MOST_FILTER:
+        held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("rep"), bits))
+    else:
+        texts = texts.join(wanted.select(F.col("rep").alias("d")).distinct().hint("shuffle_hash"), "d", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, flags = Shingler(size), np.unpackbits(held.value).astype(bool)
+        shingler = Shingler(size)
         for b in batches:
-            one, two = _bits(b.column(0).to_numpy(zero_copy_only=False))
-            own = [s for s in shingler.many(b.column(1).filter(pa.array(flags[one] & flags[two])).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(class_of, own)), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "own"])
+            able = b.column(1)
+            if held is not None:
+                one, two = _bits(b.column(0).to_numpy(zero_copy_only=False), bits)
+                flags = held.value
+                able = able.filter(pa.array(((flags[one >> 3] >> (one & 7)) & (flags[two >> 3] >> (two & 7)) & 1).astype(bool)))
+            own = [s for s in shingler.many(able.to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s, clashing) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "own"])
 
-    return _texts(docs).mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(sets, "cls long, own binary").dropDuplicates(["cls"])
 
 
 def _pair_seats(pairs: DataFrame) -> DataFrame:
@@ -263,23 +283,32 @@ def _pair_seats(pairs: DataFrame) -> DataFrame:
 
 
 def _family_seats(hot: DataFrame) -> DataFrame:
-    """Where the sets of the classes of hot shingles (s, cls, root) have to be: at (family, block, other block)."""
-    firsts = hot.groupBy("s").agg(F.min("cls").alias("y"))
-    bonds = hot.join(firsts, "s").where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
+    """Where the sets of the classes of hot shingles (s, cls, root) have to be: at (family, block, other block). A root with
+    BLOCK classes or more has blocks of its own, and these never meet each other: only what may join two roots is moved."""
+    firsts = stash(hot.groupBy("s").agg(F.min("cls").alias("y"), F.count("*").alias("c")), "family-firsts")
+    bonds = meet(hot, firsts, ["s"], ["cls"]).where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
     family = connected_components(bonds, "families")
     members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
     members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    roots = members.groupBy("family", "root").agg(F.count("*").alias("c"))
+    roots = stash(roots.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("root"))), "family-roots")
+    groups = roots.groupBy("family", "own").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    before = Window.partitionBy("family").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)  # a row for each large root of a family
+    groups = stash(groups.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "family-groups")
+    dealt = meet(members, roots, ["family", "root"], ["cls"])
+    own = groups.select("family", F.col("own").alias("own_"), "blocks", "base")
+    placed = dealt.join(own, (dealt["family"] == own["family"]) & dealt["own"].eqNullSafe(own["own_"])).select("cls", "root", dealt["family"], "own", (F.col("base") + F.pmod(F.xxhash64("cls"), F.col("blocks"))).cast("int").alias("block"))
+    others = groups.select(F.col("family").alias("f"), F.col("own").alias("o"), F.col("blocks").alias("n"), F.col("base").alias("from"))
+    met = placed.join(others, (F.col("family") == F.col("f")) & ~F.coalesce(F.col("own") == F.col("o"), F.lit(False)))
+    cells = met.select("cls", "root", "family", "block", F.explode(F.expr("sequence(`from`, `from` + n - 1)")).alias("j"))
     return cells.select("cls", F.col("family").alias("a"), F.least("block", "j").alias("b"), F.col("cls").alias("y"), F.greatest("block", "j").alias("c"), "root", "block")
 
 
-def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, size: int, percent: int, tag: str) -> DataFrame:
+def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, clashing: frozenset[int], size: int, percent: int, tag: str) -> DataFrame:
     """Links (x, y) among the sets that meet at a seat (a, b, c): each set is made once and moved to its seats."""
     seats = stash(seats, f"{tag}-seats")
     wanted = stash(reps.join(seats.select("cls").distinct(), "cls").select("rep"), f"{tag}-wanted")
-    met = _sets(docs, wanted, size).join(seats, "cls").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", F.col("y").asc_nulls_first())
+    met = _sets(docs, wanted, clashing, size).join(seats, "cls").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", F.col("y").asc_nulls_first())
     fields = ["a", "b", "c", "y", "root", "block", "own"]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,10 +348,10 @@ def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, size: int, perce
     return stash(met.select(*fields).mapInArrow(test, "x long, y long"), f"{tag}-links")
 
 
-def _open(posts: DataFrame) -> DataFrame:
+def _open(posts: DataFrame, tag: str) -> DataFrame:
     """Posts (s, cls, n, pos, root) of the shingles that still lie in different components, with m, the classes of s."""
-    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("s", "m")
-    return posts.join(split, "s")
+    split = posts.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    return meet(posts, stash(split.select("s", F.col("c").alias("m"), "c"), tag), ["s"], ["cls"])
 
 
 def _able(posts: DataFrame, percent: int) -> DataFrame:
@@ -376,28 +405,33 @@ def _to_reps(links: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of docs."""
     found = _classes(docs, shingle)
-    members = found.where("chunk is null").select("d", "cls", "n")
+    rows = found.where("chunk is null")
+    # two sets in 2**64 names: about one pair of names at 10**10 documents
+    clashes = rows.groupBy("cls").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select("cls")
+    clashing = frozenset(r.cls for r in clashes.collect())
+    renamed = F.when(F.col("cls").isin(list(clashing)), F.col("alt")).otherwise(F.col("cls")) if clashing else F.col("cls")
+    members = rows.select("d", renamed.alias("cls"), "n")
     reps = stash(members.where("cls is not null").groupBy("cls").agg(F.min(F.when(F.col("d") != NULL_ID, F.col("d"))).alias("known"), F.min("d").alias("any")).select("cls", F.coalesce("known", "any").alias("rep")), "representatives")
-    shared = _shared(_prefixes(docs, _sketch(found), shingle, percent))
+    shared = _shared(_prefixes(docs, _sketch(found), clashing, shingle, percent))
     one = shared.select(F.col("first").alias("x"), F.col("cls").alias("y"), F.col("first_n").alias("n1"), F.col("first_pos").alias("p1"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     two = shared.where("prev <> first").select("prev", "cls", "prev_n", "prev_pos", "n", "pos")
     met = one.union(two).where(_alike(percent)).groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
-    links = _linked(docs, reps, _pair_seats(met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y")), shingle, percent, "round-1")
+    links = _linked(docs, reps, _pair_seats(met.where(f"ok and 4 * met >= {_least_met()}").select("x", "y")), clashing, shingle, percent, "round-1")
     edges = _to_reps(links, reps)
     roots = connected_components(edges, "round-1")
 
     all_posts = shared.select("s", "cls", "n", "pos").union(shared.where("prev = first").select("s", "first", "first_n", "first_pos"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
     posts = stash(_able(all_posts.join(named, "cls"), percent), "rooted-shingles")
-    opened = stash(_able(_open(posts).drop("m"), percent), "open-shingles")
-    opened = stash(_open(opened), "able-shingles")
+    opened = stash(_able(_open(posts, "open").drop("m"), percent), "open-shingles")
+    opened = stash(_open(opened, "able"), "able-shingles")
     left, hot = opened.where(f"m <= {HOT}"), opened.where(f"m > {HOT}")
     a = left.select("s", F.col("cls").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
     pairs = _pair_seats(met.where(f"ok and met >= {_least_met()}").select("x", "y"))
-    more = _linked(docs, reps, pairs.unionByName(_family_seats(hot)), shingle, percent, "round-2")
+    more = _linked(docs, reps, pairs.unionByName(_family_seats(hot)), clashing, shingle, percent, "round-2")
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")

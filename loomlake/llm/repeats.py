@@ -20,25 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import meet, stash
 
 PLACE = ["d", "h", "i"]
-#: Names of which a thousandth of all rows, and this many, hold are parted. There are fewer than a thousand of them.
-HOT_SHARE, HOT_ROWS = 1000, 1000
 ROUNDS = 40
 
 
-def meet_names(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows (a, b, ...) with the other columns of names (a, b, c = how many rows have it, ...), those without a name left out."""
-    total = names.agg(F.sum("c")).first()[0] or 0
-    part = max(HOT_ROWS, total // HOT_SHARE)
-    hot = names.where(F.col("c") > part).select("a", "b", F.ceil(F.col("c") / part).cast("int").alias("parts"))
-    held = F.broadcast(hot)  # fewer than HOT_SHARE rows: their counts add up to no more than the total
-    dealt = rows.join(held, ["a", "b"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*PLACE), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    spread = names.join(held, ["a", "b"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts", "c")
-    return dealt.join(spread, ["a", "b", "part"]).drop("part")
-
-
 def _repeated(rows: DataFrame, across: str | None, tag: str) -> DataFrame:
     """rows whose name occurs at two places, or at two values of ``across``, with later: not its first place. Counted
     before the shuffle."""
@@ -46,7 +33,7 @@ def _repeated(rows: DataFrame, across: str | None, tag: str) -> DataFrame:
     spread = F.col(across) if across else place
     names = rows.groupBy("a", "b").agg(F.min(place).alias("first"), F.min(spread).alias("lo"), F.max(spread).alias("hi"), F.count("*").alias("c"))
     names = stash(names.where("lo <> hi").select("a", "b", "first", "c"), f"{tag}-names")
-    met = meet_names(rows, names).withColumn("later", place > F.col("first")).drop("first")
+    met = meet(rows, names, ["a", "b"], PLACE).withColumn("later", place > F.col("first")).drop("first")
     return stash(met, f"{tag}-places")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.llm import line_dedup, repeats
+from loomlake.llm import base, line_dedup
 
 
 def brute(rows, least):
@@ -66,8 +66,8 @@ def test_one_source_has_to_hold_the_whole_run(spark):
 
 
 def test_hot_lines_are_parted(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_ROWS", 3)
-    monkeypatch.setattr(repeats, "HOT_SHARE", 20)
+    monkeypatch.setattr(base, "HOT_ROWS", 3)
+    monkeypatch.setattr(base, "HOT_SHARE", 20)
     hot = "the very common line of this table"
     check(spark, [(i, f"{hot}\nown {i}\n{hot}\n{hot}") for i in range(60)] + [(200 + i, f"new {i % 5}\n{hot}") for i in range(20)], 7)
 
