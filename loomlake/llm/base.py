@@ -35,7 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder, which goes when the application ends."""
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(own)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+_MARKED: set[str] = set()
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -46,13 +57,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def release(*stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote, when everything that was made of it is stored itself."""
+    for df in stashed:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:

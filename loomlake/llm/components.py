@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import meet, stash
+from .base import meet, release, stash
 
 
 def connected_components(edges: DataFrame, tag: str = "star", most_rounds: int = 60) -> DataFrame:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, tag: str = "star", most_rounds: int =
         large = stash(large, tag)
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         linked = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        graph = stash(linked.union(small.select("hi", F.col("m").alias("lo"))).distinct(), tag)
+        old, graph = graph, stash(linked.union(small.select("hi", F.col("m").alias("lo"))).distinct(), tag)
+        release(old, least, large)
         now = _mark(graph)
         if now == mark:
             return graph.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
