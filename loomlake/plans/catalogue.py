@@ -32,8 +32,13 @@ def _query(sql: str | None = None):
     return add
 
 
+#: Tables whose rows cost far more to work on than to move, should they come in one piece.
+TEXTS = ("documents", "pages")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return records.spread(rows) if name in TEXTS else rows
 
 
 def _r(c: Column | str) -> Column:

@@ -67,6 +67,12 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     return rows.where("role = 'user' and __r = 'assistant'").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("question"), "answer")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of files that can't be split go to all cores; a table that has as many partitions already stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def load_documents(*sources: tuple[str, DataFrame | None]) -> DataFrame:
     """Union of (kb_family, documents); missing sources are passed over, missing columns are null."""
     parts = [df.withColumn("kb_family", F.coalesce(F.col("kb_family"), F.lit(f)) if "kb_family" in df.columns else F.lit(f)) for f, df in sources if df is not None]
