@@ -7,7 +7,9 @@ back. Two tokens can stand side by side if merging their joined bytes by rank gi
 each pair.
 A byte place from which nothing fits is marked and never tried again, so the work is linear in the bytes.
 
-Null texts are encoded as empty ones; an empty text has no ids. Pieces that were seen are kept in a bounded memo.
+Null texts are encoded as empty ones; an empty text has no ids. Pieces that were seen are kept in a memo that is bounded
+by entries and by characters, so that texts of any length, without blanks too, pass through. Repeated rows give equal
+rows, an empty table none, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,26 +25,32 @@ from pyspark.sql import DataFrame
 
 from .base import text_batches
 
-MEMO = 400_000
+MEMO, MEMO_CHARS = 400_000, 1 << 24
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it is full."""
+    """A dict that computes what it lacks and starts anew when it is full: of entries, or of characters of its keys."""
 
-    def __init__(self, make, most: int = MEMO):
+    def __init__(self, make, most: int = MEMO, most_chars: int = MEMO_CHARS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.chars > self.most_chars:
             self.clear()
+            self.chars = 0
+        if isinstance(key, str):
+            self.chars += len(key)
         value = self[key] = self.make(key)
         return value
 
 
 class ByteBpe:
     def __init__(self, ranks_path: str, pattern: str):
+        import public_tokenizers
+
+        self.by_words = pattern == public_tokenizers.PATTERN  # see ``pieces``
         with open(ranks_path, "rb") as f:
             pairs = (line.split() for line in f if line.strip())
             self.ranks = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in pairs}
@@ -133,9 +141,10 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """The text's pieces. Where each separator is one blank or line feed between other characters, the pattern
-        always starts a match there, so that words are looked up as wholes; any other text goes match by match."""
-        if " ".join(text.split()) != text.replace("\n", " "):
+        """The text's pieces. Where each separator is one blank or line feed between other characters, the public pattern
+        always starts a match there, so that words are looked up as wholes; any other text goes match by match, as all
+        texts do by other patterns."""
+        if not self.by_words or " ".join(text.split()) != text.replace("\n", " "):
             return list(map(self.piece.__getitem__, self.pattern.findall(text)))
         out: list[tuple[int, str, bytes]] = []
         for line in text.split("\n"):

@@ -8,8 +8,9 @@ are an exact match. Proximity
 search intersects the postings of two terms within a distance.
 
 A document is keyed by its id and the hash of its text, so that rows that share an id stay apart; rows equal in both
-are one document and give equal rows. A null text has no words. Items without an id or words are not searched; an
-empty benchmark leaves every document clean.
+are one document and give equal rows. A null or empty text has no words; a text of any length is indexed whole, a row for
+each posting. Items without an id or words are not searched; an empty benchmark leaves every document clean, and an
+empty table of documents gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

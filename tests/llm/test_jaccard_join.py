@@ -43,7 +43,7 @@ def groups(seed, sizes, length=60):
     return rows
 
 
-@pytest.mark.parametrize("blocks,most_filter", [(384, 1 << 28), (16, 1 << 28), (16, 0)])
+@pytest.mark.parametrize("blocks,most_filter", [(384, 1 << 28), (16, 0)])
 def test_near_copies(spark, monkeypatch, blocks, most_filter):
     monkeypatch.setattr(jaccard_join, "BLOCK", blocks)
     monkeypatch.setattr(jaccard_join, "MOST_FILTER", most_filter)

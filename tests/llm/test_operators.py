@@ -39,6 +39,10 @@ def test_bpe_round_trip(docs):
     ids = library.encode_ordinary(TEXTS[0])
     assert got[0].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[4].n_tokens == 0 and got[4].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    other = bpe.tokenizer(bpe._vocabulary(None, None)[0], r"\w|\W")  # another pattern goes match by match
+    assert [int(i) for p in other.pieces("ab c") for i in p[1].split()] == other.encode("ab c") == [i for c in "ab c" for i in library.encode_ordinary(c)]
+    memo = bpe.Memo(len, 100, 50)
+    assert [memo["x" * n] for n in range(40)] == list(range(40)) and memo.chars <= 50 + 40 and len(memo) < 40
     back = bpe.decode_documents(bpe.encode_documents(docs)).where("doc_id = 10").first()
     assert bytes(back.data).decode() == TEXTS[10]
 
