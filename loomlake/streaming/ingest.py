@@ -1,21 +1,35 @@
-"""Incremental ingestion: new record files, each id once, appended to Parquet."""
+"""Incremental ingestion: new record files, each id once, appended batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.records import exists
 
-def ingest_jsonl(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "doc_id"):
-    """Runs until the files that are there now have been taken in; the checkpoint keeps what was done. Ids that the
-    target has are left out by an anti-join, ids repeated in a batch are taken once."""
+BUCKETS = 256
 
-    def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+
+def ingest_jsonl(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "doc_id", form: str = "parquet"):
+    """Runs until the files that are there now have been taken in; the checkpoint keeps what was done.
+
+    Every batch has a folder of its own in the target (``form``: parquet or json), which a batch that is run again writes
+    anew. Ids are kept beside the target, by buckets of their hash: a batch reads those of its own buckets only. Ids that
+    an earlier batch has are left out, ids repeated in a batch are taken once, and rows without an id go.
+    """
+    ids = target.rstrip("/") + "_ids"
+
+    def append(batch: DataFrame, number: int) -> None:
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
+        buckets = [r[0] for r in fresh.select("__bucket").distinct().collect()]  # at most BUCKETS numbers
+        new = fresh
+        if buckets and exists(spark, ids):
+            kind = fresh.schema[key].dataType.simpleString()
+            seen = spark.read.schema(f"`{key}` {kind}, batch int, __bucket int").parquet(ids).where(F.col("__bucket").isin(buckets) & (F.col("batch") != number))
+            new = fresh.join(seen.select(key), key, "left_anti")
+        new.drop("__bucket").write.mode("overwrite").format(form).save(f"{target}/batch={number}")
+        new.select(key, "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{ids}/batch={number}")
+        fresh.unpersist()
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -127,7 +127,10 @@ def test_ratings_and_stream(spark, tmp_path):
     got = {r.id: (r.manual_rating, r.manual_comment) for r in ratings.upsert(rows, new).collect()}
     assert got == {1: (5, None), 2: (3, "ok")} and ratings.move(0, 3, "previous") == 0
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text("".join(json.dumps({"doc_id": d}) + "\n" for d in "aab"))
-    for _ in range(2):
-        ingest_jsonl(spark, str(tmp_path / "in"), "doc_id string", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for form in ("parquet", "json"):
+        out, cp = str(tmp_path / f"out-{form}"), str(tmp_path / f"cp-{form}")
+        for n, ids in enumerate(("aab", "bc", "", "cda")):
+            (tmp_path / "in" / f"{form}{n}.json").write_text("".join(json.dumps({"doc_id": d, "n": n}) + "\n" for d in ids) + '{"n": 7}\n')
+            ingest_jsonl(spark, str(tmp_path / "in"), "doc_id string, n int", out, cp, form=form).awaitTermination()
+        got = spark.read.format(form).load(out).collect()
+        assert sorted(r.doc_id for r in got) == ["a", "b", "c", "d"]
