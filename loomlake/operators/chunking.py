@@ -25,16 +25,24 @@ FAMILIES = ["article", "book", "qa_pair"]
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often and in whatever inner function body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def explode_windows(docs: DataFrame, stripped: Column, size: Column, overlap: Column) -> DataFrame:
     """docs with __i, __n (windows), __a, __z (start, end), __p (piece): one row for each window of a stripped text. Pieces
     are cut inside the document's row, so that no row holds the whole text beside its piece."""
-    rows = docs.withColumns({"__t": stripped, "__size": size, "__overlap": overlap}).withColumns({"__len": F.length("__t"), "__step": F.col("__size") - F.col("__overlap")})
-    more = F.ceil((F.col("__len") - F.col("__size")) / F.col("__step")).cast("int")
-    rows = rows.withColumn("__n", F.when(F.col("__len") <= F.col("__size"), F.when(F.col("__len") > 0, 1).otherwise(0)).otherwise(1 + more))
-    pieces = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: strip(F.substring(F.col("__t"), i * F.col("__step") + 1, F.col("__size"))))
-    rows = rows.where("__n > 0").withColumn("__all", pieces).drop("__t").select("*", F.posexplode("__all").alias("__i", "__p")).drop("__all")
-    start = (F.col("__i") * F.col("__step")).cast("long")
-    return rows.withColumn("__a", start).withColumn("__z", F.least(F.col("__a") + F.col("__size"), F.col("__len")).cast("long"))
+
+    def pieces(x: Column) -> Column:
+        t, n, size, step = x["t"], x["n"], x["size"], x["step"]
+        more = F.when(n > size, F.ceil((n - size) / step)).otherwise(0).cast("int")
+        cut = lambda y: F.transform(F.sequence(F.lit(0), y), lambda i: F.struct(i.alias("i"), (y + 1).alias("n"), (i * step).cast("long").alias("a"), F.least(i * step + size, n).cast("long").alias("z"), strip(F.substring(t, i * step + 1, size)).alias("p")))
+        return F.when(n > 0, _let(more, cut))
+
+    own = _let(stripped, lambda t: F.struct(t.alias("t"), F.length(t).alias("n"), size.cast("int").alias("size"), (size - overlap).cast("int").alias("step")))
+    rows = docs.select("*", F.explode(_let(own, pieces)).alias("__w"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__w.{c}").alias(f"__{c}") for c in ("i", "n", "a", "z", "p")])
 
 
 def char_chunks(docs: DataFrame, text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
