@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, id_of, key_of, meet, stash, text_batches, text_of
+from .base import NULL_ID, id_of, key_of, meet, release, stash, text_batches, text_of
 from .bpe import Memo
 from .components import connected_components
 
@@ -345,7 +345,9 @@ def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, clashing: frozen
         if held:
             yield packed(cell())
 
-    return stash(met.select(*fields).mapInArrow(test, "x long, y long"), f"{tag}-links")
+    links = stash(met.select(*fields).mapInArrow(test, "x long, y long"), f"{tag}-links")
+    release(seats, wanted)
+    return links
 
 
 def _open(posts: DataFrame, tag: str) -> DataFrame:
@@ -423,15 +425,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     all_posts = shared.select("s", "cls", "n", "pos").union(shared.where("prev = first").select("s", "first", "first_n", "first_pos"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
     posts = stash(_able(all_posts.join(named, "cls"), percent), "rooted-shingles")
+    release(shared)
     opened = stash(_able(_open(posts, "open").drop("m"), percent), "open-shingles")
-    opened = stash(_open(opened, "able"), "able-shingles")
-    left, hot = opened.where(f"m <= {HOT}"), opened.where(f"m > {HOT}")
+    release(posts)
+    able = stash(_open(opened, "able"), "able-shingles")
+    release(opened)
+    left, hot = able.where(f"m <= {HOT}"), able.where(f"m > {HOT}")
     a = left.select("s", F.col("cls").alias("x"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
     b = left.select("s", F.col("cls").alias("y"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
     pairs = _pair_seats(met.where(f"ok and met >= {_least_met()}").select("x", "y"))
     more = _linked(docs, reps, pairs.unionByName(_family_seats(hot)), clashing, shingle, percent, "round-2")
+    release(able)
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 
     named = stash(reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "rep").alias("root")), "named-classes")
