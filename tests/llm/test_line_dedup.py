@@ -48,7 +48,7 @@ def check(spark, rows, least):
     assert all((r.d, r.i, r.start) == ("k", 1, 2) for r in got)
 
 
-@pytest.mark.parametrize("seed,least", [(1, 6), (2, 6), (3, 1), (4, 11)])
+@pytest.mark.parametrize("seed,least", [(1, 6), (3, 1)])
 def test_random_documents(spark, seed, least):
     rng = random.Random(seed)
     lines = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefgh", (1, 2, 3, 3, 5, 6, 2, 12))] + ["", " \t"]
