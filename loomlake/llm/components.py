@@ -18,10 +18,10 @@ def connected_components(edges: DataFrame, tag: str = "star", most_rounds: int =
         least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), f"{tag}-least")
         large = meet(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stash(large, tag)
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        linked = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = stash(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c")), f"{tag}-small")
+        linked = meet(large, small, ["hi"], ["lo"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         old, graph = graph, stash(linked.union(small.select("hi", F.col("m").alias("lo"))).distinct(), tag)
-        release(old, least, large)
+        release(old, least, large, small)
         now = _mark(graph)
         if now == mark:
             return graph.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, quality, sharding, token_files, topk, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, minhash, quality, sharding, token_files, topk, toxicity
 from .base import id_of, table
 
 SHARDS = 8
@@ -60,8 +60,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity)
+    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity, op11_minhash)
     return {f.__name__: f for f in own}
 
 
@@ -83,17 +87,22 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bi
 from d left join pos using (doc_id) left join items using (doc_id)
 """
 
-OP5_SQL = rf"""
+def _duplicates_sql(shingle: int, percent: int, more: str = "") -> str:
+    return rf"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
-s as (select distinct doc_id, list_aggregate(w[i : i + least(len(w), 5) - 1], 'string_agg', ' ') g
-      from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) i from d where len(w) > 0)),
+s as (select distinct doc_id, list_aggregate(w[i : i + least(len(w), {shingle}) - 1], 'string_agg', ' ') g
+      from (select doc_id, w, unnest(range(1, len(w) - least(len(w), {shingle}) + 2)) i from d where len(w) > 0)),
 n as (select doc_id, count(*) c from s group by 1),
 link as (select p.x, p.y from (select a.doc_id x, b.doc_id y, count(*) shared from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2) p
-         join n nx on nx.doc_id = p.x join n ny on ny.doc_id = p.y where 100 * shared >= 75 * (nx.c + ny.c - shared)),
+         join n nx on nx.doc_id = p.x join n ny on ny.doc_id = p.y where 100 * shared >= {percent} * (nx.c + ny.c - shared)),
 reach as (select doc_id x, doc_id y from d union select reach.x, link.y from reach join link on reach.y = link.x)
-select x doc_id, cast(coalesce(c, 0) as bigint) n_shingles, min(y) component_id from reach left join n on n.doc_id = x group by x, c
+select x doc_id, cast(coalesce(c, 0) as bigint) n_shingles, min(y) component_id{more} from reach left join n on n.doc_id = x group by x, c
 """
 
+
+OP5_SQL = _duplicates_sql(5, 75)
+OP11_SQL = _duplicates_sql(4, 80, ", x = min(y) kept")
+
 OP9_SQL = """
 with v as (select cast(vec_id as bigint) vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -105,4 +114,4 @@ select query_id, rank, vec_id, score from r where rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_minhash": OP11_SQL}
