@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, minhash, quality, sharding, token_files, topk, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, minhash, quality, sharding, token_files, topk, toxicity, yinyang
 from .base import id_of, table
 
 SHARDS = 8
@@ -64,8 +64,12 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity, op11_minhash)
+    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity, op11_minhash, op13_yinyang)
     return {f.__name__: f for f in own}
 
 
@@ -112,6 +116,23 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+_NEAR = "arg_min(c, struct_pack(d := list_sum(list_transform(list_zip(e, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), n := c))"
+_ROUND = """a{r} as (select k, any_value(e) e, {near} c from v, c{r} group by k),
+s{r} as (select c, i, sum(e[i]) s, count(*) n from (select c, e, unnest(range(1, 65)) i from a{r}) group by c, i),
+m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) x from s{r} group by c),
+c{q} as (select c, coalesce(m.x, c{r}.x) x from c{r} left join m{r} m using (c)),"""
+
+OP13_SQL = f"""
+with v as (select row_number() over () k, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e from embeddings
+           where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), e) - 1 c, e x from v qualify c < 16),
+{"".join(_ROUND.format(r=r, q=r + 1, near=_NEAR) for r in range(3))}
+a as (select k, {_NEAR} c from v, c3 group by k),
+d as (select vec_id, c, x, list_sum(list_transform(list_zip(e, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from a join v using (k) join c3 using (c))
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia,
+  sha256(array_to_string(x, ',')) centroid_sha256 from d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_minhash": OP11_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_minhash": OP11_SQL, "op13_yinyang": OP13_SQL}
