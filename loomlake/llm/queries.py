@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, minhash, quality, sharding, token_files, topk, toxicity, yinyang
+from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, minhash, quality, sharding, token_files, topk, toxicity, trie, yinyang
 from .base import id_of, table
 
 SHARDS = 8
@@ -64,12 +64,16 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.clusters(table(spark, sf_dir, "embeddings"))[0]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity, op11_minhash, op13_yinyang)
+    own = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality, op5_jaccard_join, op6_html_text, op7_token_files, op8_line_dedup, op9_exact_topk, op10_toxicity, op11_minhash, op12_prefix_trie, op13_yinyang)
     return {f.__name__: f for f in own}
 
 
@@ -116,6 +120,24 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295)"""
+
+OP12_SQL = rf"""
+with own as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, role, text) r, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) m from conversations where conv_id is not null),
+l as (select c, max(r) n, any_value({_CRC32} % 4) h from own group by c),
+b as (select l.c, l.h, least(l.h, coalesce(z.n, 0)) k, l.c - l.c % 20 base from l left join l z on z.c = l.c - l.c % 20),
+t as (select b.c, r d, m from b join own on own.c = b.base where r <= h union all select b.c, k + r - h d, m from b join own using (c) where r > h),
+s as (select b.c, coalesce(q, []) q from b left join (select c, list(m order by d) q from t group by c) using (c)),
+p as (select c, q, unnest(range(0, len(q) + 1)) d from s),
+n as (select d, q[1 : d] k, min(c) conv_id, count(*) n_convs, coalesce(string_agg(c, ',' order by c) filter (len(q) = d), '') ends from p group by 1, 2),
+o as (select *, case when d = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(k[d].t, '[^\x20\x09-\x0D]+')) end own from n),
+kids as (select d - 1 d, k[1 : d - 1] k, count(*) n_children from n where d > 0 group by 1, 2),
+sub as (select a.d, k[1 : a.d] k, sum(o.own) saved, count(*) filter (kids.n_children is null) leaves from o left join kids using (d, k), unnest(range(0, o.d + 1)) a(d) group by 1, 2)
+select n.conv_id, n.d as depth, up.conv_id parent_conv_id, n.n_convs, cast(coalesce(n_children, 0) as bigint) n_children, cast(leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, sha256(n.ends) ends_sha256
+from n join sub using (d, k) left join kids using (d, k) left join n up on up.d = n.d - 1 and up.k = n.k[1 : n.d - 1]
+"""
+
 _NEAR = "arg_min(c, struct_pack(d := list_sum(list_transform(list_zip(e, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), n := c))"
 _ROUND = """a{r} as (select k, any_value(e) e, {near} c from v, c{r} group by k),
 s{r} as (select c, i, sum(e[i]) s, count(*) n from (select c, e, unnest(range(1, 65)) i from a{r}) group by c, i),
@@ -135,4 +157,4 @@ select vec_id, cast(c as integer) as cluster, cast(d as bigint) distance, cast(s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_minhash": OP11_SQL, "op13_yinyang": OP13_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_minhash": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_yinyang": OP13_SQL}
