@@ -77,3 +77,12 @@ def test_stars_and_chains(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(500, 501 + i) for i in range(200)] + [(701 + i, 700) for i in range(150)] + [(700, 500)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 500 for i in [*range(501, 851)]}}
+
+
+def test_star_around_the_greatest_node(spark, monkeypatch):
+    """All edges end at one node of the greatest id, whose neighbours are met in parts."""
+    monkeypatch.setattr(base, "HOT_ROWS", 10)
+    monkeypatch.setattr(base, "HOT_SHARE", 5)
+    edges = [(i, 900) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 420)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {**{i: 1 for i in [*range(2, 300), 900]}, **{i: 400 for i in range(401, 421)}}
