@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = stash(members.where("cls is not null").groupBy("cls").agg(F.min(F.when(F.col("d") != NULL_ID, F.col("d"))).alias("known"), F.min("d").alias("any")).select("cls", F.coalesce("known", "any").alias("rep")), "representatives")
 
     lists = _lists(rows, least, percent)
-    sketches = stash(rows.select("cls", "low").join(lists.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "able-sketches")
+    sketches = stash(rows.select("cls", "low").where("cls is not null").dropDuplicates(["cls"]).join(lists.select("cls").distinct(), "cls", "left_semi"), "able-sketches")
     turn = F.xxhash64("cls", F.pmod("s", F.lit(ORDERS)))
     pivots = lists.groupBy("s").agg(F.min(F.struct(turn.alias("o"), "cls", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     pivots = stash(pivots.select("s", "c", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
