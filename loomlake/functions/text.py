@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 DIACRITICS = r"[ؐ-ًؚ-ٟۖ-ۭ]"
 ALEFS, ALEF = "آأإ", "ا"
 YEHS, YEH = "ىيی", "ي"
+#: White space but line feeds. Ends of such runs are found by possessive quantifiers behind a lookbehind: a run that isn't
+#: matched at its first character is not tried again at each of the others, so that the time is linear in it.
+BLANK = r"[\s&&[^\n]]"
 
 # The repairs of text whose PDF font turned hamza forms into U or %, in the order in which they apply.
 ARABIC = r"([؀-ۿ])"
@@ -56,7 +59,7 @@ SENTINELS = ["<extra_id_0>", "<extra_id_1>", "<|im_start|>", "<|im_end|>", "<|en
 
 def strip(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def normalize_arabic(c: Column) -> Column:
@@ -89,14 +92,14 @@ def strip_cid(c: Column) -> Column:
 
 def _tidy_lines(c: Column) -> Column:
     """Lines stripped, runs of blank lines to one, runs of blanks and tabs to one blank, line ends stripped."""
-    c = F.regexp_replace(c, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+    c = F.regexp_replace(c, rf"(?U)(?:\G|(?<!{BLANK})){BLANK}*+\n{BLANK}*+", "\n")
     c = F.regexp_replace(strip_blanks(c), r"\n{2,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"(?Um)[\s&&[^\n]]+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), rf"(?U)(?<!{BLANK}){BLANK}++(?=\n|\z)", "")
 
 
 def strip_blanks(c: Column) -> Column:
     """White space but line feeds off both ends."""
-    return F.regexp_replace(c, r"(?U)\A[\s&&[^\n]]+|[\s&&[^\n]]+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
 
 
 def clean_for_rag(c: Column) -> Column:
@@ -156,7 +159,7 @@ def identifier(c: Column, n: int = 50) -> Column:
 
 def doc_id_of_url(url: Column) -> Column:
     """The URL's last path segment as an identifier."""
-    return identifier(F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/]*)$", 1))
+    return identifier(F.regexp_extract(F.regexp_replace(url, "(?<!/)/++$", ""), "([^/]*)$", 1))
 
 
 def collapsed(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.scratch import stored
 from .quality import first_of
 
 PIECES = "start long, end long, text string"
@@ -63,7 +64,10 @@ def kb_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, article_siz
     """
     family = F.coalesce(F.array_position(F.array(*map(F.lit, FAMILIES)), F.nullif("kb_family", F.lit(""))), F.lit(0))
     place = F.struct(family == 0, family, F.col("clean_text").isNull(), F.xxhash64("clean_text"), F.col("clean_text"))
-    good = first_of(docs.where("doc_id is not null and trim(doc_id) <> ''"), F.col("doc_id"), place).where("clean_text is not null")
+    named = docs.where("doc_id is not null and trim(doc_id) <> ''")
+    repeated = stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    firsts = first_of(named.join(repeated, "doc_id", "left_semi"), F.col("doc_id"), place)  # only these rows move
+    good = named.join(repeated, "doc_id", "left_anti").unionByName(firsts).where("clean_text is not null")
     kind = F.coalesce(F.nullif("content_type", F.lit("")), F.nullif("kb_family", F.lit("")), F.lit("unknown"))
     own = F.when(kind == "article", F.lit(article_size or size)).when((kind == "qa_pair") & (F.length("__s") <= qa_whole), F.lit(qa_whole)).otherwise(F.lit(size))
     lap = F.when(kind == "article", F.lit(article_overlap if article_overlap is not None else overlap)).otherwise(F.lit(overlap))

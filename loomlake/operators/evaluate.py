@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+from ..sources.scratch import stored
+from .dense import QUERY_ROWS
+
 CUTS = (1, 3, 5, 10)
 
 
@@ -16,6 +20,35 @@ def load_truth(rows: DataFrame, key: str = "id", fields: tuple[str, ...] = ("tex
     return found.where("query_id is not null and answer is not null").groupBy("query_id").agg(F.max("answer").alias("answer"))
 
 
+def containment(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str) -> DataFrame:
+    """query_id, id of the documents that hold an item word for word.
+
+    A text that holds an item has each of its inner words (all but the first and the last) between blanks. Documents and
+    items meet by the item's rarest inner word, as counted over all documents; an item one of whose inner words is nowhere
+    meets none. Then only the texts that were met move, each once. Items of one or two words may lie inside other words and
+    are compared with every text, in blocks.
+    """
+    asked = items.select(F.col(item_id).alias("query_id"), F.col(item_text).alias("q"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("t"))
+    own = words(F.col("q"))
+    keyed = asked.where("q is not null").withColumn("w", F.array_distinct(F.slice(own, 2, F.greatest(F.size(own) - 2, F.lit(0)))))
+    inner = stored(keyed.where("size(w) > 0").select("query_id", F.explode("w").alias("w")), "item-words")
+    texts = rows.select("id", F.explode(F.array_distinct(words(F.col("t")))).alias("w"))
+    counts = texts.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    rarest = inner.join(counts, "w", "left").groupBy("query_id").agg(F.min(F.struct("df", "w")).alias("r"), F.count_if(F.col("df").isNull()).alias("missing"))
+    rarest = stored(rarest.where("missing = 0").select("query_id", "r.w"), "rarest-words")
+    met = stored(texts.join(rarest, "w").select("id", "query_id").distinct(), "met")
+    near = rows.join(stored(met.select("id").distinct(), "met-ids"), "id", "left_semi")
+    found = near.join(met, "id").join(asked, "query_id").where(F.contains("t", F.col("q"))).select("query_id", "id").distinct()
+    short = keyed.where("size(w) = 0").drop("w")
+    blocks = -(-short.count() // (QUERY_ROWS // 2))
+    numbered = short.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
+    for b in range(blocks):
+        part = rows.crossJoin(F.broadcast(numbered.where(F.col("__b") == b))).where(F.contains("t", F.col("q")))
+        found = found.unionByName(part.select("query_id", "id").distinct())
+    return found
+
+
 def judge(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """ranked (query_id, id, rank, ...) with rel 0/1 and n_rel; queries without truth are left out. truth: query_id, id."""
     facts = truth.select("query_id", "id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from .ranks import numbered
 
 
 def samples(rows: DataFrame, text: str, codes: str, code_table: dict[str, str], names: list[str]) -> DataFrame:
@@ -57,7 +58,7 @@ def multilabel_metrics(rows: DataFrame, truth: str = "labels", guess: str = "pre
     )
     both = F.size(F.filter(F.arrays_zip(F.col(truth).alias("t"), F.col(guess).alias("p")), lambda x: (x["t"] == 1) & (x["p"] == 1)))
     either = F.size(F.filter(F.arrays_zip(F.col(truth).alias("t"), F.col(guess).alias("p")), lambda x: (x["t"] == 1) | (x["p"] == 1)))
-    share = rows.agg(F.avg(F.coalesce(both / F.nullif(either, F.lit(0)), zero)).alias("jaccard"))
+    share = rows.agg(F.coalesce(F.avg(F.coalesce(both / F.nullif(either, F.lit(0)), zero)), zero).alias("jaccard"))
     return total.crossJoin(F.broadcast(share))  # one row each
 
 
@@ -100,8 +101,8 @@ def balance_sources(rows: DataFrame, plan: DataFrame, key: str = "id", labels: s
     scarce = plan.agg(F.collect_set("label").alias("scarce"))  # as many numbers as labels
     own = rows.withColumn("__i", L.hot_indexes(F.col(labels))).crossJoin(F.broadcast(scarce))
     each = own.select(key, F.explode("__i").alias("label"), (F.size(F.array_except("__i", "scarce")) == 0).alias("only_scarce")).join(F.broadcast(wanted), "label")
-    order = Window.partitionBy("label").orderBy(F.desc("only_scarce"), key)
-    return each.withColumn("place", F.row_number().over(order)).select("label", key, "only_scarce", "place")
+    placed = numbered(each, ["label"], [F.desc("only_scarce"), F.col(key)], "place")
+    return placed.select("label", key, "only_scarce", F.col("place").cast("int").alias("place"))
 
 
 def augmented(rows: DataFrame, plan: DataFrame, variants: DataFrame, key: str = "id", labels: str = "labels", most_per_sample: int = 20) -> DataFrame:
@@ -111,8 +112,7 @@ def augmented(rows: DataFrame, plan: DataFrame, variants: DataFrame, key: str =
     scarce = plan.agg(F.collect_set("label").alias("scarce"))
     texts = variants.where(F.col("n") <= min(most_per_sample, 20)).withColumnRenamed("text", "new_text")
     picked = balance_sources(rows, plan, key, labels).join(texts, key)
-    order = Window.partitionBy("label").orderBy("place", "n")
-    picked = picked.withColumn("made", F.row_number().over(order)).join(F.broadcast(plan.select("label", "needed")), "label").where("made <= needed")
+    picked = numbered(picked, ["label"], [F.col("place"), F.col("n")], "made").join(F.broadcast(plan.select("label", "needed")), "label").where("made <= needed")
     whole = picked.join(rows.select(key, F.col(labels).alias("__l")), key).crossJoin(F.broadcast(scarce))
     new = F.transform("__l", lambda v, i: F.when((i == F.col("label")) | ((v == 1) & F.array_contains("scarce", i)), 1).otherwise(0))
     return whole.select("label", F.col(key).alias("source"), F.col("new_text").alias("text"), new.alias("labels"))

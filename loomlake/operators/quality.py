@@ -82,11 +82,12 @@ def first_of(docs: DataFrame, key: Column, order: str | Column) -> DataFrame:
 
 
 def validation_summary(checked: DataFrame) -> DataFrame:
-    """One row of counters over validated rows."""
-    n, title = F.coalesce(F.length("clean_text"), F.lit(0)), F.coalesce(F.length("title"), F.lit(0))
+    """One row of counters over validated rows; a field that the table lacks counts as empty."""
+    n, title = (F.coalesce(F.length(_text(checked, c)), F.lit(0)) for c in ("clean_text", "title"))
+    url = _text(checked, "url")
     rows = checked.agg(
         F.count("*").alias("total"), F.count_if(F.size("issues") == 0).alias("valid"), F.count_if(F.size("issues") > 0).alias("with_issues"), F.count_if(F.size("warnings") > 0).alias("with_warnings"),
-        (F.count("url") - F.countDistinct("url")).alias("duplicate_urls"), F.min(n).cast("long").alias("min_text"), F.max(n).cast("long").alias("max_text"), F.round(F.avg(n), 6).alias("avg_text"), F.round(F.avg(title), 6).alias("avg_title"),
+        (F.count(url) - F.countDistinct(url)).alias("duplicate_urls"), F.min(n).cast("long").alias("min_text"), F.max(n).cast("long").alias("max_text"), F.round(F.avg(n), 6).alias("avg_text"), F.round(F.avg(title), 6).alias("avg_title"),
     )
     return rows.withColumn("valid_percent", F.round(100.0 * F.col("valid") / F.greatest("total", F.lit(1)), 6)).withColumn("passed", F.col("with_issues") == 0)
 

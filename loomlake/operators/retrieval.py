@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import sigmoid
 from ..functions.text import collapsed
 from ..plans.plugins import PairScorer
+from ..sources.scratch import stored
 from .sparse import top
 
 
@@ -27,8 +28,11 @@ def fuse(sparse: DataFrame, dense: DataFrame, alpha: float = 0.7) -> DataFrame:
 
 
 def drop_same_text(ranked: DataFrame, texts: DataFrame, score: str = "score_hybrid") -> DataFrame:
-    """Of candidates with one text (white space collapsed) the best stays. texts: id, text."""
-    rows = ranked.join(texts.select("id", "text"), "id", "left")
+    """Of candidates with one text (white space collapsed) the best stays. texts: id, text. Candidates are stored, and only
+    their texts move: as long as the candidates' ids are small, other texts are dropped where they are read."""
+    ranked = stored(ranked, "candidates")
+    wanted = stored(ranked.select("id").distinct(), "candidate-ids")
+    rows = ranked.join(texts.select("id", "text").join(wanted, "id", "left_semi"), "id", "left")
     key = F.coalesce(F.sha2(collapsed(F.col("text")), 256), F.col("id").cast("string"))
     order = Window.partitionBy("query_id", key).orderBy(F.desc(score), "id")
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

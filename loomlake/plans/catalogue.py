@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
+from ..operators import blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
 from ..operators import labels as ml
 from ..sources import html, records, vectors
 
@@ -360,29 +360,46 @@ q as (select item_id query_id, token, count(*) times from (select item_id, unnes
 bm as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score from q join idf using (token) join tf using (token) join len using (id), st group by 1, 2)"""
 
 
-def _chunked(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.char_chunks(_table(spark, d, "documents").select("doc_id", "text")).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "doc_id", "text")
+def _chunked(spark: SparkSession, d: str, *rest: str) -> DataFrame:
+    return chunking.char_chunks(_table(spark, d, "documents").select("doc_id", "text", *rest)).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "doc_id", "text", *rest)
 
 
-_INDEXES: dict[tuple[str, str, str], sparse.SparseIndex] = {}
+_INDEXES: dict[tuple[str, str, str, str], sparse.SparseIndex | blockmax.BlockIndex] = {}
 
 
-def _index(spark: SparkSession, d: str, what: str) -> sparse.SparseIndex:
-    """The BM25 index of the chunks or of whole documents, held for the queries that share it; those of another folder
-    or session are let go."""
-    app = spark.sparkContext.applicationId
-    for key in [k for k in _INDEXES if k[:2] != (app, d)]:
+def _version(spark: SparkSession, path: str) -> str:
+    """Changes when a file of the table does."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return str(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def _held(spark: SparkSession, d: str, what: str, make: Callable[[], object]):
+    """An index over documents, held for the queries that share it; those of another session, another folder, or files
+    that have changed since are let go."""
+    own = (spark.sparkContext.applicationId, d, _version(spark, f"{d}/documents.parquet"))
+    for key in [k for k in _INDEXES if k[:3] != own]:
         gone = _INDEXES.pop(key)
-        if key[0] == app:
+        if key[0] == own[0]:
             gone.release()
-    if (app, d, what) not in _INDEXES:
-        rows = _chunked(spark, d) if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-        _INDEXES[app, d, what] = sparse.build(rows, "id")
-    return _INDEXES[app, d, what]
+    if (*own, what) not in _INDEXES:
+        _INDEXES[*own, what] = make()
+    return _INDEXES[*own, what]
+
+
+def _index(spark: SparkSession, d: str, what: str) -> sparse.SparseIndex:
+    """Postings of the chunks or of whole documents."""
+    return _held(spark, d, what, lambda: sparse.build(_chunked(spark, d) if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
+
+
+def _blocks(spark: SparkSession, d: str, what: str) -> blockmax.BlockIndex:
+    """Block-max postings of the same rows; a block's rows are of one language."""
 
+    def make() -> blockmax.BlockIndex:
+        rows = _chunked(spark, d, "lang") if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+        return blockmax.build(rows, "id", near=[F.col("lang")])
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.scores(_index(spark, d, "chunks"), _table(spark, d, "benchmark"), "item_id", "text")
+    return _held(spark, d, f"{what} in blocks", make)
 
 
 @_query(f"with {_BM25_SQL} select n n_chunks, round(avgdl, 6) avgdl, (select count(*) from df) n_terms, (select cast(sum(tf) as bigint) from tf) n_tokens from st")
@@ -403,7 +420,8 @@ def _top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 @_query(f"with {_BM25_SQL} select query_id, id, cast(rank as integer) rank, round(score, 6) score from (select *, {_TOP.format(s='score')} rank from bm) where rank <= 10")
 def bm25_topk(spark, d):
-    return _top(_bm25(spark, d), 10).select("query_id", "id", "rank", _r("score").alias("score"))
+    found = blockmax.search(_blocks(spark, d, "chunks"), _table(spark, d, "benchmark"), "item_id", "text", 10, places=9)
+    return found.select("query_id", "id", "rank", _r("score").alias("score"))
 
 
 _SHORT_SQL = """qs as (select item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[3:5], ' ') text from benchmark)"""
@@ -470,15 +488,17 @@ u as (select f.*, row_number() over (partition by query_id, coalesce(array_to_st
 h as (select *, {_TOP.format(s="score_hybrid")} rank from u where dup = 1)"""
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sides(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best n sparse and dense candidates, and the texts."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    a = sparse.scores(_index(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text")
+    a = blockmax.search(_blocks(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text", n, places=9).drop("rank")
     rows, items = _vectors(spark, d)
-    return a.withColumn("score", F.round("score", 9)), dense.scores(rows, items, clamp=True).withColumn("score", F.round("score", 9)), docs
+    b = _top(dense.scores(rows, items, clamp=True), n).drop("rank")
+    return a.withColumn("score", F.round("score", 9)), b.withColumn("score", F.round("score", 9)), docs
 
 
 def _hybrid(spark: SparkSession, d: str, alpha: float, k: int = 10) -> DataFrame:
-    return retrieval.hybrid(*_sides(spark, d), k=k, alpha=alpha)
+    return retrieval.hybrid(*_sides(spark, d, 2 * k), k=k, alpha=alpha)
 
 
 def _alpha_query(name: str, alpha: float) -> None:
@@ -495,14 +515,14 @@ for _n, _a in (("hybrid_topk", 0.7), ("hybrid_topk_04", 0.4), ("hybrid_topk_spar
 
 @_query(f"with {_DOC_BM25_SQL} select query_id, id, round({_MINMAX.format(s='score')}, 5) score_norm from bm window w as (partition by query_id)")
 def minmax_scores(spark, d):
-    a, _, _ = _sides(spark, d)
+    a = sparse.scores(_index(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 9))
     return a.select("query_id", "id", F.round(retrieval.normalized(a), 5).alias("score_norm"))
 
 
 @_query(f"""with {_hybrid_sql(0.7, 5)}, m as (select 'sparse' as method, query_id, id, round(score, 9) score from bm union all select 'dense', query_id, id, round(score, 9) from de union all select 'hybrid', query_id, id, score_hybrid from h where rank <= 5)
 select method, query_id, cast(rank as integer) rank, id, round(score, 6) score from (select *, row_number() over (partition by method, query_id order by score desc, id) rank from m) where rank <= 5""")
 def compare_methods(spark, d):
-    a, b, docs = _sides(spark, d)
+    a, b, docs = _sides(spark, d, 10)
     fused = retrieval.hybrid(a, b, docs, 5).select("query_id", "id", F.col("score_hybrid").alias("score"))
     return retrieval.compare(5, sparse=a, dense=b, hybrid=fused).withColumn("score", _r("score"))
 
@@ -514,7 +534,7 @@ from h join documents d on d.doc_id = h.id join (select item_id query_id, list_d
 @_query(f"with {_RERANK_SQL} select query_id, id, cast(rank as integer) rank, round(s, 6) score_rerank, round(1 / (1 + exp(-s)), 6) score_rerank_norm from (select *, row_number() over (partition by query_id order by s desc, id) rank from rr) where rank <= 10")
 def reranked_topk(spark, d):
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.hybrid(*_sides(spark, d), scorer=retrieval.overlap_scorer(asked)).select("query_id", "id", "rank", _r("score_rerank").alias("score_rerank"), _r("score_rerank_norm").alias("score_rerank_norm"))
+    return retrieval.hybrid(*_sides(spark, d, 60), scorer=retrieval.overlap_scorer(asked)).select("query_id", "id", "rank", _r("score_rerank").alias("score_rerank"), _r("score_rerank_norm").alias("score_rerank_norm"))
 
 
 @_query(f"with {_hybrid_sql(0.7, 5)} select query_id, cast(rank as integer) rank, id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) content_md5, round(score_hybrid, 5) score, round(score_sparse, 5) score_sparse from h left join documents on doc_id = id where rank <= 5")
@@ -530,8 +550,8 @@ def search_json(spark, d):
 
 @_query(f"with {_hybrid_sql(0.7)} select query_id, count(*) filter (a is not null and b is not null) in_both, count(*) filter (b is null) only_sparse, count(*) filter (a is null) only_dense from (select query_id, id, score_sparse a from s) full outer join (select query_id, id, score_dense b from n) using (query_id, id) group by 1")
 def candidate_overlap(spark, d):
-    a, b, _ = _sides(spark, d)
-    return retrieval.overlap(_top(a, 20), _top(b, 20))
+    a, b, _ = _sides(spark, d, 20)
+    return retrieval.overlap(a, b)
 
 
 _TRUTH_SQL = "t as (select distinct item_id query_id, doc_id id from benchmark b join documents d on contains(d.text, b.text))"
@@ -541,33 +561,11 @@ k as (select *, sum(rel) over (partition by query_id order by rank) / rank p fro
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     docs, items = _table(spark, d, "documents"), _table(spark, d, "benchmark")
-    a, _, _ = _sides(spark, d)
-    truth = search_truth(docs, items)
+    a = blockmax.search(_blocks(spark, d, "documents"), items, "item_id", "text", 10, places=9).drop("rank")
+    truth = evaluate.containment(docs, items, "doc_id", "text", "item_id", "text")
     return evaluate.judge(_top(a, 10), truth)
 
 
-def search_truth(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, id of the documents that hold an item word for word: they share the item's words as a set of tokens
-    first, and are then compared as texts. Items of one or two words are compared with every text."""
-    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    # an inner word of the item (its longest) stands between blanks in every text that holds the item
-    inner = F.slice(T.words(F.col("q")), 2, F.greatest(F.size(T.words(F.col("q"))) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = asked.withColumn("w", longest)
-    tokens = rows.select("id", F.explode(F.array_distinct(T.words(F.col("t")))).alias("w")).join(keyed.where("w is not null"), "w")
-    met = tokens.select("id", "query_id", "q").distinct().join(rows, "id")
-    found = met.where(F.contains("t", F.col("q"))).select("query_id", "id")
-    # an item without inner words may lie inside the words of a text: these items are broadcast in blocks
-    short = keyed.where("w is null and q is not null").drop("w")
-    blocks = -(-short.count() // (dense.QUERY_ROWS // 2))
-    numbered = short.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
-    for b in range(blocks):
-        part = rows.crossJoin(F.broadcast(numbered.where(F.col("__b") == b))).where(F.contains("t", F.col("q")))
-        found = found.unionByName(part.select("query_id", "id").distinct())
-    return found
-
-
 def _metrics_sql() -> str:
     cols = []
     for k in evaluate.CUTS:

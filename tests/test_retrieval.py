@@ -100,10 +100,10 @@ def test_truth_of_short_items(spark):
     asked = {1: "fish", 2: "red fish", 3: "fish swim here", 4: " tea ", 5: "none", 6: None, 7: "green tea pot"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
     items = spark.createDataFrame(list(asked.items()), "item_id int, text string")
-    got = sorted((r.query_id, r.id) for r in catalogue.search_truth(docs, items).collect())
+    got = sorted((r.query_id, r.id) for r in evaluate.containment(docs, items, "doc_id", "text", "item_id", "text").collect())
     assert got == [(q, d) for q, a in asked.items() for d, t in texts.items() if a and t and a in t]
     ranked = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (5, 1, 1)], "query_id int, id int, rank int")
-    assert {(r.query_id, r.n_rel) for r in evaluate.judge(ranked, catalogue.search_truth(docs, items)).collect()} == {(1, 3), (2, 1)}
+    assert {(r.query_id, r.n_rel) for r in evaluate.judge(ranked, evaluate.containment(docs, items, "doc_id", "text", "item_id", "text")).collect()} == {(1, 3), (2, 1)}
 
 
 def test_context_and_fallback(spark):
