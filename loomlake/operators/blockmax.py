@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..sources.scratch import forget, stored
+from ..sources.versions import Versioned
 from .sparse import B, K1, term_weights, top
 
 #: Rows in a block, and tokens, unless one row has more.
@@ -51,9 +52,13 @@ class BlockIndex:
         """n, avgdl."""
         return self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
 
+    def save(self, path: str) -> None:
+        """As a new version; until it is whole, the old one is loaded."""
+        Versioned(self.blocks.sparkSession, path).publish({"blocks": self.blocks}, {"kind": "blocks"})
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BlockIndex:
-        return cls(spark.read.parquet(path))
+        return cls(Versioned(spark, path).read("blocks"))
 
     def release(self) -> None:
         if hasattr(self.blocks, "stored_at"):
@@ -111,6 +116,15 @@ def build(chunks: DataFrame, key: str, text: str = "text", near: list[Column] |
     return BlockIndex(stored(packed(chunks, key, text, near), "blocks"))
 
 
+def append(path: str, chunks: DataFrame, key: str, text: str = "text", near: list[Column] | None = None) -> BlockIndex:
+    """The saved index with the blocks of chunks whose ids it lacks. It gives the scores of an index of all chunks: what
+    depends on the whole corpus is summed up from the blocks when it is asked for."""
+    spark, store = chunks.sparkSession, Versioned(chunks.sparkSession, path)
+    old = store.read("blocks").select(F.explode("ids").alias(key))
+    store.publish({"blocks": packed(chunks.join(old, key, "left_anti"), key, text, near)}, {"kind": "blocks"}, append=True)
+    return BlockIndex.load(spark, path)
+
+
 class _Best:
     """The k best (score, id) of each query in a task; equal scores, rounded to ``places``, go by id."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.versions import Versioned
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings, in multiples of k, that the first bound is taken from, and what sums in another order may differ by.
@@ -25,12 +26,13 @@ class SparseIndex:
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        for name in ("docs", "postings", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """As a new version; until it is whole, the old one is loaded."""
+        tables = {name: getattr(self, name) for name in ("docs", "postings", "terms", "stats")}
+        Versioned(self.docs.sparkSession, path).publish(tables, {"kind": "postings"})
 
     @classmethod
     def load(cls, spark, path: str) -> SparseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "stats")))
+        return cls(*(Versioned(spark, path).read(name) for name in ("docs", "postings", "terms", "stats")))
 
     def release(self) -> None:
         """Let go of what ``build`` held."""

@@ -7,6 +7,7 @@ gives documents and queries their vectors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
+from ..operators import ann, blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
 from ..operators import labels as ml
-from ..sources import html, records, vectors
+from ..sources import html, records, scratch, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -364,7 +365,7 @@ def _chunked(spark: SparkSession, d: str, *rest: str) -> DataFrame:
     return chunking.char_chunks(_table(spark, d, "documents").select("doc_id", "text", *rest)).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "doc_id", "text", *rest)
 
 
-_INDEXES: dict[tuple[str, str, str, str], sparse.SparseIndex | blockmax.BlockIndex] = {}
+_INDEXES: dict[tuple[str, str, str, str], sparse.SparseIndex | blockmax.BlockIndex | ann.CellIndex] = {}
 
 
 def _version(spark: SparkSession, path: str) -> str:
@@ -375,9 +376,9 @@ def _version(spark: SparkSession, path: str) -> str:
 
 
 def _held(spark: SparkSession, d: str, what: str, make: Callable[[], object]):
-    """An index over documents, held for the queries that share it; those of another session, another folder, or files
-    that have changed since are let go."""
-    own = (spark.sparkContext.applicationId, d, _version(spark, f"{d}/documents.parquet"))
+    """An index over documents or embeddings, held for the queries that share it; those of another session, another folder,
+    or files that have changed since are let go."""
+    own = (spark.sparkContext.applicationId, d, _version(spark, f"{d}/documents.parquet") + _version(spark, f"{d}/embeddings.parquet"))
     for key in [k for k in _INDEXES if k[:3] != own]:
         gone = _INDEXES.pop(key)
         if key[0] == own[0]:
@@ -447,13 +448,13 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @_query(f"with {_DENSE_SQL} select query_id, id, cast(rank as integer) rank, round(score, 6) score from (select *, {_TOP.format(s='score')} rank from de) where rank <= 10")
 def dense_topk(spark, d):
     rows, items = _vectors(spark, d)
-    return _top(dense.scores(rows, items, clamp=True), 10).select("query_id", "id", "rank", _r("score").alias("score"))
+    return ann.nearest(rows, items, 10, clamp=True, places=9).select("query_id", "id", "rank", _r("score").alias("score"))
 
 
 @_query(f"with {_DENSE_SQL} select query_id, id, cast(rank as integer) rank, round(score, 6) score from (select *, {_TOP.format(s='score')} rank from de where label = 1) where rank <= 10")
 def dense_topk_filtered(spark, d):
     rows, items = _vectors(spark, d)
-    return _top(dense.scores(rows, items, clamp=True, where=F.col("label") == 1), 10).select("query_id", "id", "rank", _r("score").alias("score"))
+    return ann.nearest(rows.where("label = 1"), items, 10, clamp=True, places=9).select("query_id", "id", "rank", _r("score").alias("score"))
 
 
 @_query(f"with {_DENSE_SQL} select query_id, count(*) n, round(min(score), 6) min_score, round(max(score), 6) max_score, round(avg(score), 6) avg_score from de group by 1")
@@ -462,6 +463,19 @@ def dense_score_range(spark, d):
     return dense.score_range(dense.scores(rows, items, clamp=True)).select("query_id", "n", *[_r(c).alias(c) for c in ("min_score", "max_score", "avg_score")])
 
 
+#: The recall that ``ann_topk`` asks of its index, on a sample of the index's own rows.
+RECALL = 0.95
+
+
+@_query()
+def ann_topk(spark, d):
+    """The ten best rows by cells, as many of which are read as reach RECALL."""
+    rows, items = _vectors(spark, d)
+    index = _held(spark, d, "cells", lambda: ann.build(rows, f"{scratch.folder(spark)}/cells-{uuid.uuid4().hex}"))
+    nprobe, _ = ann.calibrate(index, RECALL)
+    return ann.search(index, items, 10, nprobe).select("query_id", "id", "rank", _r("score").alias("score"))
+
+
 @_query()
 def hashed_embeddings(spark, d):
     return dense.hashed_vectors(_table(spark, d, "documents"), "doc_id", "text").select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
@@ -493,7 +507,7 @@ def _sides(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame, D
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     a = blockmax.search(_blocks(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text", n, places=9).drop("rank")
     rows, items = _vectors(spark, d)
-    b = _top(dense.scores(rows, items, clamp=True), n).drop("rank")
+    b = ann.nearest(rows, items, n, clamp=True, places=9).drop("rank")
     return a.withColumn("score", F.round("score", 9)), b.withColumn("score", F.round("score", 9)), docs
 
 
@@ -597,13 +611,16 @@ def score_gain_ndcg(spark, d):
     return m.select("query_id", *[F.round(f"ndcg_{k}", 5).alias(f"ndcg_{k}") for k in evaluate.CUTS])
 
 
-TRUTH = [(0, "zero", None, "x"), (1, "", "label", "x"), (2, None, "", "plain"), (3, "", "", ""), (4, None, None, None), (None, "no id", None, None), (5, "b", None, None), (5, "a", None, None)]
-_ROWS = ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in r) + ")" for r in TRUTH)
+# truth with its fields filled by turns: an id, three places for an answer, some of them empty or absent
+_TRUTH_FIELDS = """select nullif(doc_id // 2, 0) id, case doc_id % 4 when 0 then text when 1 then '' end text, case when doc_id % 3 = 0 then source else '' end label_answer, case when doc_id % 5 > 0 then lang end answer from documents"""
 
 
-@_query(f"select query_id, max(answer) answer from (select id query_id, coalesce(nullif(text, ''), nullif(label_answer, ''), nullif(answer, '')) answer from (values {_ROWS}) v(id, text, label_answer, answer)) where query_id is not null and answer is not null group by 1")
+@_query(f"select query_id, max(answer) answer from (select id query_id, coalesce(nullif(text, ''), nullif(label_answer, ''), nullif(answer, '')) answer from ({_TRUTH_FIELDS})) where query_id is not null and answer is not null group by 1")
 def truth_rows(spark, d):
-    return evaluate.load_truth(spark.createDataFrame(TRUTH, "id int, text string, label_answer string, answer string"))
+    k = F.col("doc_id")
+    text = F.when(k % 4 == 0, F.col("text")).when(k % 4 == 1, "")
+    rows = _table(spark, d, "documents").select(F.nullif(F.expr("doc_id div 2"), F.lit(0)).alias("id"), text.alias("text"), F.when(k % 3 == 0, F.col("source")).otherwise("").alias("label_answer"), F.when(k % 5 > 0, F.col("lang")).alias("answer"))
+    return evaluate.load_truth(rows)
 
 
 _CONTEXT_SQL = f"""{_hybrid_sql(0.7)}, bl as (select query_id, rank, {_STRIP.format("text")} t, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') w from h join documents on doc_id = id where rank <= 10),
@@ -661,19 +678,22 @@ def url_frontier(spark, d):
     return records.pending(pages, pages.where("url like '%page=%'"))
 
 
-LABEL_TEXTS = [(1, "['A','B']"), (2, "A, Z"), (3, "nan"), (4, "['Q','C']"), (5, "[A"), (6, ""), (7, "['F', 'F', 'E']"), (8, "D"), (9, "[ ]")]
+LABEL_TEXTS = ["['A','B']", "A, Z", "nan", "['Q','C']", "[A", "", "['F', 'F', 'E']", "D", "[ ]"]
 _CODES_SQL = "map {'A': 1, 'B': 0, 'C': 2, 'D': 4, 'E': 3, 'F': 5, 'Z': 6}"
 
 
 @_query(
     "select id, case when starts_with(codes, '[') <> ends_with(codes, ']') then '' else array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(codes, '^\\[|\\]$', '', 'g'), ','), lambda x: "
     + _CODES_SQL
-    + "[trim(trim(trim(x), '''\"'))]), lambda i: i is not null))), ',') end idx from (values "
-    + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in LABEL_TEXTS)
-    + ") v(id, codes)"
+    + "[trim(trim(trim(x), '''\"'))]), lambda i: i is not null))), ',') end idx from (select doc_id id, (["
+    + ", ".join("'" + t.replace("'", "''") + "'" for t in LABEL_TEXTS)
+    + "])[(2 * quality + toxic + doc_id) % 9 + 1] codes from labels)"
 )
 def parse_labels(spark, d):
-    rows = spark.createDataFrame(LABEL_TEXTS, "id int, codes string")
+    """Labelled rows, with the ways in which codes are written by turns."""
+    turn = (2 * F.col("quality") + F.col("toxic") + F.col("doc_id")) % 9
+    codes = F.element_at(F.array(*map(F.lit, LABEL_TEXTS)), (turn + 1).cast("int"))
+    rows = _table(spark, d, "labels").select(F.col("doc_id").alias("id"), codes.alias("codes"))
     return rows.select("id", F.array_join(L.parse_codes(F.col("codes"), L.QUESTION_CODES, L.QUESTION_LABELS), ",").alias("idx"))
 
 

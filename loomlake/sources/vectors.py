@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.dense import hashed_vectors
 from ..plans.plugins import Embedder
-from .records import exists
+from .scratch import forget, stored
+from .versions import Versioned
 
 METRIC = "cosine"
 FIELDS = ["text", "parent_doc_id", "kb_family", "content_type", "title", "url", "language", "chunk_index"]
@@ -21,47 +22,64 @@ def embedded(chunks: DataFrame, embed: Embedder = hashed_vectors, key: str = "ch
 
 
 class VectorCollection:
-    """A folder with ``vectors`` and ``about`` (metric, model, dimension)."""
+    """Versions of ``vectors`` with what they were made by: metric, model, dimension."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.store = Versioned(spark, self.path)
 
     def there(self) -> bool:
-        return exists(self.spark, f"{self.path}/about") and exists(self.spark, f"{self.path}/vectors/_SUCCESS")
+        return self.store.there()
 
     def delete(self) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.store.delete()
+
+    def _publish(self, rows: DataFrame, model: str, dim: int | None, append: bool) -> None:
+        rows = stored(rows, "embedded")
+        sizes = rows.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+        if sizes.lo != sizes.hi or (dim and sizes.hi is not None and sizes.hi != dim):
+            raise ValueError(f"vectors of {sizes.lo} to {sizes.hi} components for a collection of {dim or 'one size'}")
+        self.store.publish({"vectors": rows}, {"metric": METRIC, "model": model, "dim": sizes.hi or dim or 0}, append)
+        forget(rows)
 
     def build(self, chunks: DataFrame, embed: Embedder = hashed_vectors, model: str = "hashed", force: bool = False) -> DataFrame:
-        """The collection, made anew if it is not there, is empty, or ``force`` is given."""
+        """The collection, made anew if it is not there, is empty, or ``force`` is given. Until the new version is whole, the
+        old one is read."""
         if not force and self.there() and self.count():
             return self.load()
-        embedded(chunks, embed).write.mode("overwrite").parquet(f"{self.path}/vectors")
-        first = self.spark.read.parquet(f"{self.path}/vectors").select(F.size("embedding").alias("dim")).first()
-        about = [(METRIC, model, first.dim if first else 0)]
-        self.spark.createDataFrame(about, "metric string, model string, dim int").coalesce(1).write.mode("overwrite").json(f"{self.path}/about")
+        self._publish(embedded(chunks, embed), model, None, False)
+        return self.load()
+
+    def add(self, chunks: DataFrame, embed: Embedder = hashed_vectors, model: str = "hashed") -> DataFrame:
+        """Chunks whose id the collection lacks are embedded and appended as a segment. Another model, or vectors of another
+        size, are an error."""
+        old, about = self.load(), self.store.about()
+        if model != about["model"]:
+            raise ValueError(f"the collection's model is {about['model']}, and not {model}")
+        fresh = embedded(chunks.join(old.select("chunk_id"), "chunk_id", "left_anti"), embed)
+        if not fresh.isEmpty():
+            self._publish(fresh, model, about["dim"], True)
         return self.load()
 
-    def add(self, chunks: DataFrame, embed: Embedder = hashed_vectors) -> DataFrame:
-        """Chunks whose id the collection lacks are embedded and appended."""
-        old = self.load().select("chunk_id")
-        embedded(chunks.join(old, "chunk_id", "left_anti"), embed).write.mode("append").parquet(f"{self.path}/vectors")
+    def add_batches(self, chunks: DataFrame, embed: Embedder = hashed_vectors, model: str = "hashed", batches: int = 10) -> DataFrame:
+        """``add`` in parts, each its own version: what is done when a part fails stays, and a second call goes on from there."""
+        for b in range(batches):
+            self.add(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == b), embed, model)
         return self.load()
 
     def load(self) -> DataFrame:
         if not self.there():
             raise FileNotFoundError(self.path)
-        metric = self.spark.read.json(f"{self.path}/about").first().metric
+        metric = self.store.about()["metric"]
         if metric != METRIC:
             raise ValueError(f"the collection's metric is {metric}, and not {METRIC}")
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self.store.read("vectors")
 
     def count(self) -> int:
         return self.load().count()
 
     def stats(self) -> DataFrame:
         """n, n_docs, dim, metric, model, path: one row."""
+        about = self.store.about()
         counts = self.load().agg(F.count("*").alias("n"), F.countDistinct("parent_doc_id").alias("n_docs"))
-        about = self.spark.read.json(f"{self.path}/about").select("dim", "metric", "model")
-        return counts.crossJoin(F.broadcast(about)).withColumn("path", F.lit(self.path))  # one row each
+        return counts.select("*", *[F.lit(about[c]).alias(c) for c in ("dim", "metric", "model")], F.lit(self.path).alias("path"))

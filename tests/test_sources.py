@@ -98,7 +98,7 @@ def test_vector_collection(spark, tmp_path):
     more = spark.createDataFrame([("a", "other", "d9"), ("z", "new", "d9")], "chunk_id string, text string, parent_doc_id string")
     assert store.add(more).count() == 4 and store.load().where("chunk_id = 'a'").first().text == "red fish"
     assert store.build(more, force=True).count() == 2
-    spark.createDataFrame([("dot", "m", 1)], "metric string, model string, dim int").write.mode("overwrite").json(str(tmp_path / "store" / "about"))
+    store.store.publish({"vectors": store.load()}, {"metric": "dot", "model": "hashed", "dim": 64})
     with pytest.raises(ValueError):
         store.load()
     store.delete()
