@@ -1,9 +1,10 @@
 """Operator 6, main text of HTML pages.
 
 Mark-up decides what it can: elements that are boilerplate by tag or role go, by a whole class or id name too, and where
-a page marks its main part (``article``, ``main``) all outside of it goes. What is left in doubt - all blocks of a page
-that marks no main part, and blocks whose class or id only begins like boilerplate ("related-work") - goes through the
-host suffix array: the token streams of a host's pages are cut into repeated and unique runs by distributed prefix doubling
+a page marks its main part (``article``, ``main``) all outside of it goes; a form that holds the main part stays. Inside
+the main part only names that mean nothing else (adverts, reader comments) are enough, or two names together. What is left in doubt - all blocks of
+a page that marks no main part, blocks whose class or id only begins like boilerplate ("related-work"), and those inside
+the main part with a name that an article may use, too ("social") - goes through the host suffix array: the token streams of a host's pages are cut into repeated and unique runs by distributed prefix doubling
 (see ``repeats``), runs of at least ``LONG`` tokens that occur on another page of the host are removed, and the unique
 runs are kept. A page that would lose everything is a copy and not boilerplate; it keeps its text. (The suffix array
 alone can't give the right text: menus and adverts may differ on each page, and articles of copied pages repeat. The
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,12 +40,15 @@ DROPPED = frozenset("nav footer aside form button select menu dialog head".split
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY_ITSELF = frozenset("p li td th tr option dt dd".split())
+#: Names that mean boilerplate wherever they stand, and names that do outside of a main part.
+CLEAR = frozenset("ad ads adv advert adverts advertisement advertising sponsored disqus comments navbar menubar breadcrumbs cookies gdpr newsletter masthead".split())
 WORDS = (
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
-    "sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended popup modal newsletter subscribe "
-    "comment comments disqus replies footer header masthead login signup search toolbar pagination pager widget skip"
+    "banner sponsor promo promotion cookie consent notice notices alert sidebar menu nav navigation breadcrumb share sharing social related recommended "
+    "popup modal subscribe comment replies footer header login signup search toolbar pagination pager widget skip"
 )
-BOILER = frozenset(WORDS.split())
+BOILER = CLEAR | frozenset(WORDS.split())
+MAIN = re.compile(r"<(?:article|main)\b|role=[\"']?main\b", re.I)
+FORM_END = re.compile(r"</form\b", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog".split())
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -64,7 +69,8 @@ def _boiler(tag: str, attributes: str, inside: bool) -> int:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)) or (name == "role" and value in ROLES):
             return SURE
         if name in ("class", "id"):
-            if not BOILER.isdisjoint(value.split()):
+            named = BOILER.intersection(value.split())
+            if named and (not inside or len(named) > 1 or not CLEAR.isdisjoint(named)):
                 return SURE
             if not BOILER.isdisjoint(part for whole in value.split() for part in re.split(r"[-_]+", whole)):
                 found = DOUBTFUL
@@ -112,16 +118,24 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]], bo
 
     def flush() -> None:
         if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
+            text = " ".join("".join(piece).split())
             piece.clear()
             if text:
                 outer.append((text, boiler == DOUBTFUL))
                 if inside:
                     inner.append((text, boiler == DOUBTFUL))
 
+    places: list[list[int]] = []  # of main parts and of ends of forms, found when the first form is met
+
+    def holds_main(start: int) -> bool:
+        if not places:
+            places.extend([m.start() for m in mark.finditer(page)] for mark in (MAIN, FORM_END))
+        first = [at[i] if (i := bisect_left(at, start)) < len(at) else len(page) for at in places]
+        return first[0] < first[1]
+
     for start, end, closing, tag, attributes in tags(page):
         if boiler != SURE:
-            piece.append(page[at:start])
+            piece.append(entities.unescape(page[at:start]))  # each piece by itself: mark-up ends a reference
         at = end
         if not tag or (tag in RAW and not closing):
             continue
@@ -139,7 +153,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]], bo
             if tag in ("br", "hr"):
                 flush()
         else:
-            kind = _boiler(tag, attributes, inside)
+            kind = 0 if tag == "form" and holds_main(end) else _boiler(tag, attributes, inside)
             if tag in INLINE and not kind:
                 continue
             flush()
@@ -153,7 +167,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]], bo
                 open_tags[tag] += 1
         boiler, inside = stack[-1][1:] if stack else (0, False)
     if boiler != SURE:
-        piece.append(page[at:])
+        piece.append(entities.unescape(page[at:]))
     flush()
     return inner, outer, marked
 

@@ -28,6 +28,9 @@ from loomlake.llm import html_text
         ("<ARTICLE>A\n\t B&nbsp;C<NAV>n</NAV></ARTICLE>", "A B C"),
         ("<article>tail <a href='x", "tail"),
         ("", ""),
+        ("<form action=x><input><article>text<form>q</form></article><button>b</button></form>", "text"),
+        ("<main>a<form>q</form>b</main><form>never closed", "a b"),
+        ("<article>&am<b>p;</b> &lt<!-- -->; &#6<i>5;</i></article>", "&amp; <; \x065;"),
     ],
 )
 def test_parser(page, text):
@@ -38,7 +41,7 @@ def test_parser(page, text):
         assert " ".join(t for t, _ in (inner if marked else outer)) == text
 
 
-@pytest.mark.parametrize("part", ['<a "', "<a '\"", '<a href="', "<div>", "</div>", "<script>", "<!--", "<", "<p>x", "&am", '<i class="a b c', "<b =", "</p><div>"])
+@pytest.mark.parametrize("part", ['<a "', "<a '\"", '<a href="', "<div>", "</div>", "<script>", "<!--", "<", "<p>x", "&am", '<i class="a b c', "<b =", "</p><div>", "<form>", "<form><main>"])
 def test_time_is_linear(part):
     took = []
     for n in (20_000, 80_000):
@@ -48,6 +51,16 @@ def test_time_is_linear(part):
     assert took[1] < 12 * max(took[0], 0.02)
 
 
+def test_names_inside_the_main_part(spark):
+    """Names that an article may use are in doubt there, and only repetition on the host takes their text away."""
+    share = "tell all of your friends about this page right now"
+    page = lambda n: f"<main><section id='social'>Social science essay {n}</section><p>t{n}</p><div class='share'>{share}</div><section class='skip'>over it {n}</section></main>"
+    rows = [(1, "http://h/1", page("one")), (2, "http://h/2", page("two")), (3, "http://alone/3", page("three"))]
+    rows += [(4, "http://h/4", "<article>x<div id='header'>A header of its own</div><div class='ad'>buy</div></article>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Social science essay one tone over it one", 2: "Social science essay two ttwo over it two", 3: f"Social science essay three tthree {share} over it three", 4: "x A header of its own"}
+
+
 def test_pages_of_a_host(spark):
     foot = "all rights reserved by the site owner since long ago"
     rows = [(3, "http://h/3", f"<div>unique one</div><div>{foot}</div>"), (4, "http://h/4", f"<p>another text</p><div>{foot}</div>"), (5, "http://other/5", f"<div>{foot}</div>"), (6, None, "<article>own</article>"), (7, "http://h/7", None), (None, "http://h/8", "plain"), (4, "http://h/4", f"<p>another text</p><div>{foot}</div>")]
