@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import ann, blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse
+from ..operators import ann, augment, blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse, training
 from ..operators import labels as ml
 from ..sources import html, records, scratch, vectors
 
@@ -752,6 +752,26 @@ def balance_sources(spark, d):
     return ml.balance_sources(rows, ml.balance_plan(rows))
 
 
+@_query(f"with {_PLAN_SQL} select cast(k - 1 as integer) label, sum(labels[k]) n_before, sum(labels[k]) + coalesce(any_value(needed), 0) n_after from (select unnest([1, 2]) k, labels from {_MULTI_SQL}) left join plan on label = k - 1 group by k".replace("sum(labels[k])", "cast(sum(labels[k]) as bigint)"))
+def balanced_counts(spark, d):
+    """Label counts before and after the labels in need are filled up; the rarer of two labels is in need."""
+    rows = _multi(spark, d).join(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("id", "text", "labels")
+    whole = augment.balanced(rows)
+    cells = whole.select("source", F.posexplode("labels").alias("label", "v"))
+    return cells.groupBy("label").agg(F.sum(F.when(F.col("source").isNull(), F.col("v")).otherwise(0)).alias("n_before"), F.sum("v").alias("n_after"))
+
+
+@_query()
+def train_multilabel(spark, d):
+    """Quality and toxicity of labelled documents: a fit on 60 %, the best epoch by 20 %, the metrics of the other 20 %."""
+    rows = _table(spark, d, "labels").where("quality is not null and toxic is not null").join(_table(spark, d, "documents"), "doc_id")
+    parted = scratch.stored(ml.split(rows.select(F.col("doc_id").alias("id"), "text", F.array("quality", "toxic").alias("labels"))), "parts")
+    model = training.fit(parted, 2)
+    scored = scratch.stored(model.predict(parted.where("part = 'test'")).select("id", "labels", "predicted"), "predicted")
+    m = ml.multilabel_metrics(scored)
+    return m.select(*[_r(c).alias(c) for c in m.columns], F.lit(len(model.history)).cast("long").alias("epochs"))
+
+
 @_query("select count(*) total, count(quality) evaluated, round(avg(quality), 6) mean_rating, count(*) - count(quality) remaining, round(100.0 * count(quality) / greatest(count(*), 1), 6)::double percent from documents left join labels using (doc_id)")
 def rating_progress(spark, d):
     rows = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
