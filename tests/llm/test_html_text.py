@@ -30,7 +30,7 @@ from loomlake.llm import html_text
         ("", ""),
         ("<form action=x><input><article>text<form>q</form></article><button>b</button></form>", "text"),
         ("<main>a<form>q</form>b</main><form>never closed", "a b"),
-        ("<article>&am<b>p;</b> &lt<!-- -->; &#6<i>5;</i></article>", "&amp; <; \x065;"),
+        ("<article>&am<b>p;</b> &lt<!-- -->; &#6<i>5;</i></article>", "&amp; <; 5;"),
     ],
 )
 def test_parser(page, text):
