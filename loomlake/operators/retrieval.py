@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import sigmoid
 from ..functions.text import collapsed
-from ..plans.plugins import PairScorer
+from ..plans.plugins import Embedder, PairScorer
 from ..sources.scratch import stored
+from .dense import dot, unit
 from .sparse import top
 
 
@@ -83,6 +84,40 @@ def as_json(ranked: DataFrame, alpha: float, k: int) -> DataFrame:
     return rows.select("query_id", F.to_json(F.struct("query_id", F.lit(alpha).alias("alpha"), F.lit(k).alias("top_k"), "results")).alias("result"))
 
 
+def late_interaction_scorer(queries: DataFrame, embed: Embedder | None = None, dim: int = 64) -> PairScorer:
+    """A pair scorer by late interaction: for each distinct token of the query its best cosine with a token of the text, summed
+    over the query's tokens and divided by their number. embed: vectors of tokens; by default those of their character
+    trigrams, hashed and signed. Only tokens of queries and candidates are embedded, each once. queries: query_id, query.
+
+    A query without tokens scores 0, and so does a text without any.
+    """
+    from ..functions.text import words
+
+    def score(candidates: DataFrame) -> DataFrame:
+        rows = stored(candidates, "reranked")
+        asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower("query")))).alias("q"))
+        asked = asked.join(rows.select("query_id").distinct(), "query_id", "left_semi")
+        texts = stored(rows.select("id", "text").dropDuplicates(["id"]).select("id", F.array_distinct(words(F.lower("text"))).alias("w")), "candidate-tokens")
+        tokens = asked.select(F.col("q").alias("token")).unionByName(texts.select(F.explode("w").alias("token"))).distinct()
+        vectors = stored((embed(tokens, "token", "token") if embed else trigram_vectors(tokens, "token", dim)).select(F.col("id").alias("token"), "v"), "token-vectors")
+        left = asked.join(vectors.withColumnRenamed("token", "q"), "q").groupBy("query_id").agg(F.collect_list("v").alias("qv"))
+        right = texts.select("id", F.explode("w").alias("token")).join(vectors, "token").groupBy("id").agg(F.collect_list("v").alias("tv"))
+        met = rows.join(left, "query_id", "left").join(right, "id", "left")
+        best = F.transform("qv", lambda q: F.array_max(F.transform("tv", lambda t: dot(q, t))))
+        total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("qv")
+        return met.withColumn("score_rerank", F.coalesce(F.when(F.size("tv") > 0, total), F.lit(0.0))).drop("qv", "tv")
+
+    return score
+
+
+def trigram_vectors(tokens: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """id, v: tokens as unit vectors of their character trigrams, with a mark at both ends, each counted in a hashed cell."""
+    marked = F.concat(F.lit("<"), F.col(key), F.lit(">"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.substring(marked, i, F.lit(3)).cast("binary")), F.lit(dim)))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda c: F.size(F.filter("g", lambda g: g == c)).cast("double"))
+    return tokens.select(F.col(key).alias("id"), grams.alias("g")).select("id", unit(cells).alias("v"))
+
+
 def overlap_scorer(queries: DataFrame) -> PairScorer:
     """The default pair scorer: share of the query's words that the text has. queries: query_id, query."""
     from ..functions.text import words

@@ -21,11 +21,11 @@ from ..functions import text as T
 from ..functions.labels import predict as predicted
 from ..sources.scratch import forget, stored
 from ..sources.versions import Versioned
+from .sums import CHUNK, summed
 
 DIM = 1 << 15
 EPOCHS, STEPS, PATIENCE = 15, 2, 10
 RATE, DECAY, THRESHOLD = 0.2, 1e-4, 0.5
-CHUNK = 1 << 14
 
 
 def features(rows: DataFrame, dim: int = DIM, text: str = "text") -> DataFrame:
@@ -47,7 +47,7 @@ def features(rows: DataFrame, dim: int = DIM, text: str = "text") -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(a) if a else np.empty(0), k)) for a, k in ((at, pa.int32()), (x, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], [*rest, "at", "x"])
 
-    return found.mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", at array<int>, x array<double>")
+    return found.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "at array<int>", "x array<double>"]))
 
 
 def _logits(weights: np.ndarray, at: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,42 +66,26 @@ def _pass(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float, int,
     labels = weights.shape[1]
     size = weights.size + 2 + 3 * labels
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, total = held.value, np.zeros(size)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row, cell, value, logits = _logits(weights, b.column(1), b.column(2))
-            truth = b.column(0).flatten().to_numpy().reshape(b.num_rows, labels)
-            train = np.array([p == "train" for p in b.column(3).to_pylist()])
-            error = (1 / (1 + np.exp(-logits)) - truth) * train[:, None]
-            gradient = total[: weights.size].reshape(weights.shape)
-            for label in range(labels):
-                gradient[:-1, label] += np.bincount(cell, value * error[row, label], len(weights) - 1)
-            gradient[-1] += error.sum(0)
-            loss = np.logaddexp(0, logits) - truth * logits
-            total[weights.size : weights.size + 2] += loss[train].sum(), train.sum()
-            guess, true = (logits >= 0)[~train], truth[~train] == 1
-            total[weights.size + 2 :] += np.concatenate([(guess & true).sum(0), (guess & ~true).sum(0), (~guess & true).sum(0)])
-        parts = [(k, total[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range(-(-size // CHUNK)) if total[k * CHUNK : (k + 1) * CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["chunk", "part"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0.0) + np.frombuffer(data)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["chunk", "part"])
+    def add(total: np.ndarray, b: pa.RecordBatch) -> None:
+        weights = held.value
+        row, cell, value, logits = _logits(weights, b.column(1), b.column(2))
+        truth = b.column(0).flatten().to_numpy().reshape(b.num_rows, labels)
+        train = np.array([p == "train" for p in b.column(3).to_pylist()])
+        error = (1 / (1 + np.exp(-logits)) - truth) * train[:, None]
+        gradient = total[: weights.size].reshape(weights.shape)
+        for label in range(labels):
+            gradient[:-1, label] += np.bincount(cell, value * error[row, label], len(weights) - 1)
+        gradient[-1] += error.sum(0)
+        loss = np.logaddexp(0, logits) - truth * logits
+        total[weights.size : weights.size + 2] += loss[train].sum(), train.sum()
+        guess, true = (logits >= 0)[~train], truth[~train] == 1
+        total[weights.size + 2 :] += np.concatenate([(guess & true).sum(0), (guess & ~true).sum(0), (~guess & true).sum(0)])
 
-    kind = "chunk int, part binary"
     wanted = rows.where("part in ('train', 'val')").select("labels", "at", "x", "part")
-    found = wanted.mapInArrow(add, kind).repartition("chunk").mapInArrow(merge, kind).collect()  # as much as the weights
+    total = summed(wanted, size, add, CHUNK)
     held.destroy()
-    total = np.zeros(-(-size // CHUNK) * CHUNK)
-    for k, data in found:
-        total[k * CHUNK : k * CHUNK + len(data) // 8] = np.frombuffer(data)
     n = weights.size
-    return total[:n].reshape(weights.shape), float(total[n]), int(total[n + 1]), total[n + 2 : size].reshape(3, labels)
+    return total[:n].reshape(weights.shape), float(total[n]), int(total[n + 1]), total[n + 2 :].reshape(3, labels)
 
 
 def weighted_f1(counts: np.ndarray) -> float:

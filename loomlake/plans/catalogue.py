@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import ann, augment, blockmax, chunking, dense, evaluate, quality, rag, ratings, retrieval, search, sparse, training
+from ..operators import ann, augment, blockmax, chunking, dense, embed, evaluate, quality, rag, ratings, retrieval, search, sparse, training
 from ..operators import labels as ml
 from ..sources import html, records, scratch, vectors
 
@@ -481,6 +481,27 @@ def hashed_embeddings(spark, d):
     return dense.hashed_vectors(_table(spark, d, "documents"), "doc_id", "text").select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+@_query()
+def learned_embeddings(spark, d):
+    """Every chunk of the knowledge base by the leading directions of all of them."""
+    chunks = scratch.stored(chunking.kb_chunks(_knowledge_base(spark, d)).select("chunk_id", "text"), "chunks")
+    return embed.fit(chunks)(chunks, "chunk_id", "text").select(F.col("id").alias("chunk_id"), F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
+@_query()
+def embedding_recall(spark, d):
+    """How many of the documents that hold an item word for word are among the ten nearest of its vector: hashed and learned."""
+    docs, items = _table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "benchmark")
+    truth = scratch.stored(evaluate.containment(docs, items, "doc_id", "text", "item_id", "text"), "truth")
+    parts = []
+    for name, embedder in (("hashed", dense.hashed_vectors), ("learned", embed.fit(docs))):
+        asked = embedder(items, "item_id", "text").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+        judged = evaluate.judge(ann.nearest(embedder(docs, "doc_id", "text"), asked, 10, places=9), truth)
+        per = judged.groupBy("query_id").agg((F.sum("rel") / F.first("n_rel")).alias("r"))
+        parts.append(per.agg(F.lit(name).alias("method"), F.count("*").alias("n_queries"), _r(F.avg("r")).alias("recall_10")))
+    return parts[0].unionByName(parts[1])
+
+
 @_query(f"select kb_family, count(*) n, count(distinct parent_doc_id) n_docs, 64 * count(*) n_cells, count(*) n_unit from {_KB_CHUNKS_SQL} group by 1")
 def collection_rows(spark, d):
     """What a vector collection of the knowledge base's chunks holds."""
