@@ -37,12 +37,15 @@ def _common(docs: DataFrame, fields: list[str]) -> tuple[list, list, Column]:
 
 
 def validate_articles(docs: DataFrame) -> DataFrame:
-    """docs with issues and warnings (arrays of messages); a field that the table lacks is missing in every row."""
+    """docs with issues and warnings (arrays of messages); a field that the table lacks is missing in every row.
+    Where docs have valid_utf8 (see ``records.read_checked_jsonl``), a false one is an issue."""
     issues, warnings, n = _common(docs, ARTICLE_FIELDS)
     rows = docs.withColumn("__w", T.words(_text(docs, "clean_text")))  # split once for all tests
     words, distinct = F.size("__w"), F.size(F.array_distinct("__w"))
     title = F.length(_text(docs, "title"))
     issues = [*issues, (n == 0, "No text content (clean_text is empty)")]
+    if "valid_utf8" in docs.columns:
+        issues.append((~F.coalesce("valid_utf8", F.lit(True)), "Invalid UTF-8 encoding"))
     warnings = [
         *warnings,
         (_has(docs, "title") & (title > 200), F.format_string("Title very long (%d chars)", title)),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import ann, augment, blockmax, chunking, dense, embed, evaluate, quality, rag, ratings, retrieval, search, sparse, training
+from ..operators import ann, augment, blockmax, chunking, dense, embed, evaluate, language, quality, rag, ratings, retrieval, search, sparse, training
 from ..operators import labels as ml
 from ..sources import html, records, scratch, vectors
 
@@ -273,6 +273,24 @@ for _n, _s, _q in (
     _strategy_query(_n, _s, _q)
 
 
+_GRAMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')"
+_LANG_SQL = f"""w as (select doc_id, lang, doc_id % 5 = 0 held, '_' || substr(unnest({_GRAMS}), 1, 64) || '_' w from documents),
+g as (select doc_id, lang, held, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) gram from w),
+c as (select gram, lang, count(*) c from g where not held and lang is not null group by 1, 2), top as (select gram from c group by 1 order by sum(c) desc, gram limit 20000),
+l as (select distinct lang from c), t as (select lang, sum(c) t from c semi join top using (gram) group by 1),
+p as (select gram, l.lang, ln((coalesce(c, 0) + 1) / (t + (select count(*) from top))) s from top cross join l left join c using (gram, lang) join t on t.lang = l.lang),
+s as (select doc_id, p.lang guess, sum(s) s from g join p using (gram) where held group by 1, 2),
+b as (select doc_id, guess from (select *, row_number() over (partition by doc_id order by s desc, guess) r from s) where r = 1)"""
+
+
+@_query(f"with {_LANG_SQL} select lang, count(*) n, count(*) filter (guess = lang) n_right from documents left join b using (doc_id) where doc_id % 5 = 0 and lang is not null group by 1")
+def detected_languages(spark, d):
+    """Languages of a fifth of the documents, by profiles of the others."""
+    docs = _table(spark, d, "documents").select("doc_id", "text", "lang").where("lang is not null")
+    found = language.detect(docs.where("doc_id % 5 = 0"), language.learn(docs.where("doc_id % 5 <> 0")), "doc_id").withColumnRenamed("lang", "guess")
+    return docs.where("doc_id % 5 = 0").select("doc_id", "lang").join(found, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("guess") == F.col("lang")).alias("n_right"))
+
+
 @_query()
 def book_chunks(spark, d):
     return chunking.book_chunks(_knowledge_base(spark, d).where("kb_family = 'book'"))
@@ -678,16 +696,38 @@ def page_title(spark, d):
     return _table(spark, d, "pages").select("page_id", html.title_of(F.col("html")).alias("title"))
 
 
-@_query()
+@_query(r"select distinct page_id, rtrim(regexp_extract(url, '^[a-z]+://[^/]*') || replace(href, '&amp;', '&'), '/') link from (select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) href from pages)")
 def page_links(spark, d):
     return html.page_links(_table(spark, d, "pages"))
 
 
-@_query()
+_PIECES = "array_to_string(list_filter(list_transform(regexp_split_to_array({}, '<[^>]*>'), lambda x: trim(replace(replace(replace(replace(x, '&quot;', chr(34)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), {})"
+
+
+@_query(f"""select page_id, nullif({_PIECES.format("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)", "' '")}, '') title, nullif({_PIECES.format("regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)", "chr(10)")}, '') clean_text from pages""")
 def page_text(spark, d):
     return html.parse_articles(_table(spark, d, "pages"), title="h1", body="article", date="footer").select("page_id", "title", "clean_text")
 
 
+@_query()
+def selector_candidates(spark, d):
+    """What could select the body and the title of the pages."""
+    pages = _table(spark, d, "pages")
+    support = scratch.stored(html.selector_support(html.selectors(pages)), "support")
+    return html.candidate_selectors(support, pages.count()).withColumn("share", _r("share"))
+
+
+_TAGS = "h1|h2|h3|p|li|article|nav|footer"
+
+
+@_query(rf"""select tag as selector, count(distinct page_id) n_pages, count(*) n_elements, count(distinct regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)) n_hosts
+from (select page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<({_TAGS})[\s>/]', 1)) tag from pages) group by 1""")
+def selector_counts(spark, d):
+    """Support of some tags over pages and hosts."""
+    found = html.selector_support(html.selectors(_table(spark, d, "pages")))
+    return found.where(F.col("selector").isin(_TAGS.split("|"))).select("selector", "n_pages", "n_elements", "n_hosts")
+
+
 @_query(r"""select class, count(*) n from (select unnest(regexp_split_to_array(trim(c), '\s+')) class from (select unnest(regexp_extract_all(html, '<div\b[^>]*?class="([^"]*)"', 1)) c from pages)) where class <> '' group by 1 order by n desc, class limit 10""")
 def class_counts(spark, d):
     return html.class_counts(_table(spark, d, "pages"))

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: elements whose text is not part of an article.
@@ -16,22 +16,23 @@ VOID = ["br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 
 
 class _Tree(HTMLParser):
-    """Events with the open elements: (tag, attributes) paths at each text and link."""
+    """Texts and links with the element that holds them; an element is (tag, attributes, the element around it), so that
+    no path is copied."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, dict]] = []
-        self.texts: list[tuple[list[tuple[str, dict]], str]] = []
-        self.links: list[tuple[list[tuple[str, dict]], str]] = []
-        self.opened: list[tuple[str, dict]] = []
+        self.path: list[tuple] = []
+        self.texts: list[tuple[tuple | None, str]] = []
+        self.links: list[tuple[tuple | None, str]] = []
+        self.opened: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
-        own = (tag, {k: v or "" for k, v in attrs})
+        own = (tag, {k: v or "" for k, v in attrs}, self.path[-1] if self.path else None)
         self.opened.append(own)
         if tag not in VOID:
             self.path.append(own)
         if tag == "a" and own[1].get("href"):
-            self.links.append((list(self.path), own[1]["href"]))
+            self.links.append((self.path[-1], own[1]["href"]))
 
     def handle_endtag(self, tag):
         for i in range(len(self.path) - 1, -1, -1):
@@ -41,10 +42,19 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if data.strip():
-            self.texts.append((list(self.path), data.strip()))
+            self.texts.append((self.path[-1] if self.path else None, data.strip()))
 
 
-def matches(node: tuple[str, dict], selector: str) -> bool:
+def around(node: tuple | None) -> list[tuple]:
+    """The elements that hold a node, itself included, from the outermost on."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node[2]
+    return out[::-1]
+
+
+def matches(node: tuple, selector: str) -> bool:
     """tag, .class or tag.class"""
     tag, _, cls = selector.partition(".")
     return (not tag or node[0] == tag) and (not cls or cls in node[1].get("class", "").split())
@@ -57,10 +67,11 @@ def _tree(page: str) -> _Tree:
     return t
 
 
-def first_text(page: str, selector: str, joint: str = " ", dropped: list[str] | None = None) -> str | None:
-    """Text of the first element that matches, without the dropped elements."""
+def first_text(page: str | _Tree, selector: str, joint: str = " ", dropped: list[str] | None = None) -> str | None:
+    """Text of the first element that matches, without the dropped elements. page: or its tree, if it has been read."""
     found, out = None, []
-    for path, text in _tree(page).texts:
+    for node, text in (page if isinstance(page, _Tree) else _tree(page)).texts:
+        path = around(node)
         hit = next((n for n in path if matches(n, selector)), None)
         if hit is None or (found is not None and hit is not found):
             continue
@@ -75,11 +86,11 @@ def parse_articles(pages: DataFrame, key: str = "page_id", html: str = "html", t
     box, _, inner = date.partition(" ")
 
     def one(page: str) -> tuple:
-        texts = _tree(page).texts
-        dates = [t for path, t in texts if any(matches(n, box) for n in path) and (not inner or any(matches(n, inner) for n in path))]
+        tree = _tree(page)
+        dates = [t for path, t in ((around(n), t) for n, t in tree.texts) if any(matches(n, box) for n in path) and (not inner or any(matches(n, inner) for n in path))]
         when = next((d for d in dates if any(c.isdigit() for c in d) and ("-" in d or ":" in d)), None)
-        when = when or next((n[1]["datetime"] for n in _tree(page).opened if n[1].get("datetime")), None)
-        return first_text(page, title), first_text(page, body, "\n", DROPPED), when
+        when = when or next((n[1]["datetime"] for n in tree.opened if n[1].get("datetime")), None)
+        return first_text(tree, title), first_text(tree, body, "\n", DROPPED), when
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +108,7 @@ def page_links(pages: DataFrame, key: str = "page_id", html: str = "html", url:
         for b in batches:
             rows = []
             for k, base, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = {urljoin(base or "", href).rstrip("/") for path, href in _tree(page).links if part in href and not any(matches(n, outside) for n in path)}
+                found = {urljoin(base or "", href).rstrip("/") for node, href in _tree(page).links if part in href and not any(matches(n, outside) for n in around(node))}
                 rows += [(k, link) for link in sorted(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.string())], [key, "link"])
 
@@ -131,10 +142,11 @@ def parse_books(pages: DataFrame, key: str = "page_id", html: str = "html", url:
     to its description."""
 
     def one(base: str | None, page: str, scripted: str | None, linked: str | None) -> tuple:
-        chosen = next((href for path, href in _tree(page).links if matches(path[-1], link)), None)
+        tree = _tree(page)
+        chosen = next((href for node, href in tree.links if matches(node, link)), None)
         address = scripted or chosen or linked
-        text = first_text(page, body, "\n", DROPPED) or first_text(page, description, "\n", DROPPED)
-        return first_text(page, title), urljoin(base or "", address) if address else None, text
+        text = first_text(tree, body, "\n", DROPPED) or first_text(tree, description, "\n", DROPPED)
+        return first_text(tree, title), urljoin(base or "", address) if address else None, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,3 +174,68 @@ def structure(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     """key, tag, n: headings, links, scripts and containers of each page."""
     tags = F.transform(F.regexp_extract_all(F.col(html), F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
     return pages.select(key, F.explode(tags).alias("tag")).groupBy(key, "tag").agg(F.count("*").alias("n"))
+
+
+def selectors(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """key, host, selector, n_elements, n_chars, total: what each selector (tag, .class, tag.class) finds in each page that has
+    elements of it: how many, and the characters of text inside, each text counted once; total is that of the page. Text of
+    scripts and styles doesn't count."""
+
+    def one(page: str) -> tuple[dict, int]:
+        tree, found, total = _tree(page), {}, 0
+        named: dict[int, list[str]] = {}
+
+        def names(node: tuple) -> list[str]:
+            if id(node) not in named:
+                classes = sorted(set(node[1].get("class", "").split()))
+                named[id(node)] = [node[0], *[f".{c}" for c in classes], *[f"{node[0]}.{c}" for c in classes]]
+            return named[id(node)]
+
+        for node in tree.opened:
+            for name in names(node):
+                found.setdefault(name, [0, 0])[0] += 1
+        for node, text in tree.texts:
+            path = around(node)
+            if any(n[0] in ("script", "style") for n in path):
+                continue
+            total += len(text)
+            for name in {name for n in path for name in names(n)}:
+                found[name][1] += len(text)
+        return found, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, host, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found, total = one(page)
+                rows += [(k, host, name, n, chars, total) for name, (n, chars) in found.items()]
+            kinds = (b.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "host", "selector", "n_elements", "n_chars", "total"])
+
+    host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, host.alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(run, f"`{key}` {kind}, host string, selector string, n_elements long, n_chars long, total long")
+
+
+def selector_support(found: DataFrame) -> DataFrame:
+    """selector, n_pages, n_hosts, n_elements, n_chars, n_single (pages with one element of it), share (of the text of the pages
+    that have it)."""
+    return found.groupBy("selector").agg(
+        F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts"), F.sum("n_elements").alias("n_elements"), F.sum("n_chars").alias("n_chars"),
+        F.count_if(F.col("n_elements") == 1).alias("n_single"), (F.sum("n_chars") / F.greatest(F.sum("total"), F.lit(1))).alias("share"),
+    )
+
+
+def candidate_selectors(support: DataFrame, pages: int, least: float = 0.5, title_chars: int = 200, n: int = 10) -> DataFrame:
+    """role ('body' or 'title'), rank, selector, and its support: selectors with one element in most of the pages that have them,
+    that ``least`` of all pages have. For a body the larger share of the text is better, and then the narrower selector; for a
+    title a short text, and headings first. html and body hold everything and are no candidates."""
+    good = support.where((F.col("n_pages") >= least * pages) & (F.col("n_single") * 2 > F.col("n_pages")) & ~F.col("selector").isin("html", "body", "head", "meta", "script", "style"))
+    narrow = F.when(F.col("selector").contains("."), 0).otherwise(1)
+    body = good.withColumn("__o", F.array(-F.round("share", 6), narrow.cast("double"))).withColumn("role", F.lit("body")).where("n_chars > 0")
+    length = F.col("n_chars") / F.col("n_elements")
+    heading = F.when(F.col("selector").rlike(r"^h[1-6]\b|title"), 0.0).otherwise(1.0)
+    title = good.where((length > 0) & (length <= title_chars)).withColumn("__o", F.array(heading, -F.col("n_pages").cast("double"))).withColumn("role", F.lit("title"))
+    order = Window.partitionBy("role").orderBy("__o", "selector")
+    ranked = body.unionByName(title).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.select("role", "rank", "selector", "n_pages", "n_hosts", "n_elements", "n_chars", "share")

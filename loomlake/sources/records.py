@@ -23,15 +23,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "toleran
 
 
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with line_num, from 1 in each file; bad lines keep their number and have nulls. Lines are numbered in each
-    block that a task reads, and the counts of a file's earlier blocks are added."""
+    """Rows with line_num, from 1 in each file; bad lines keep their number and have nulls."""
+    return _numbered_lines(spark, path).select("line_num", F.from_json("value", schema).alias("r")).select("line_num", "r.*")
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """f, line_num, value of the lines that aren't blank. Lines are numbered in each block that a task reads, and the counts of a
+    file's earlier blocks are added."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("o"))
     blocks = lines.groupBy("f", "s").agg(F.count("*").alias("n"))
     before = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("f", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f", "s").orderBy("o"))).join(bases, ["f", "s"])
-    filled = numbered.where("trim(value) <> ''")
-    return filled.select((F.col("base") + F.col("i")).alias("line_num"), F.from_json("value", schema).alias("r")).select("line_num", "r.*")
+    return numbered.where("trim(value) <> ''").select("f", (F.col("base") + F.col("i")).alias("line_num"), "value")
+
+
+def read_checked_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line_num, reason, r (the record) of every line that isn't blank. Lines are split as bytes and checked before
+    they are decoded: one that is no UTF-8 has the reason 'bad UTF-8' and is read with U+FFFD in place of the broken bytes;
+    one that is no JSON object has 'bad JSON' and no record. Lines are numbered as in ``read_numbered_jsonl``."""
+    lines = _numbered_lines(spark, path).withColumn("ok", F.is_valid_utf8("value")).withColumn("value", F.make_valid_utf8("value"))
+    record = F.from_json("value", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    read = lines.select(F.col("f").alias("file"), "line_num", "ok", record.alias("r"), F.col("value").rlike(r"^\s*\{").alias("object"))
+    bad = ~F.col("object") | F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    reason = F.when(bad, "bad JSON").when(~F.col("ok"), "bad UTF-8")
+    return read.select("file", "line_num", reason.alias("reason"), F.when(~bad, F.col("r").dropFields("__bad")).alias("r"))
+
+
+def bad_lines(checked: DataFrame) -> DataFrame:
+    """file, line_num, reason of the lines with a fault."""
+    return checked.where("reason is not null").select("file", "line_num", "reason")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -122,6 +143,16 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_text_report(report: DataFrame, path: str, title: str = "") -> None:
+    """A small table as text, one file: the title, a line of column names, and a line for each row, in order, with its values
+    between tabs; null is empty, and tabs and line ends inside a value are blanks."""
+    spark = report.sparkSession
+    values = [F.translate(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), "\t\r\n", "   ") for c in report.columns]
+    body = report.orderBy(*[F.col(f"`{c}`") for c in report.columns]).select(F.concat_ws("\t", *values).alias("value"), (F.monotonically_increasing_id() + 2).alias("n"))
+    head = spark.createDataFrame([(0, title), (1, "\t".join(report.columns))], "n long, value string").where("value <> '' or n > 0")
+    body.unionByName(head).orderBy("n").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def pending(candidates: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:
     """Distinct candidates that the checkpoint lacks, in order."""
     return candidates.select(key).distinct().join(done.select(key).distinct(), key, "left_anti").orderBy(key)
