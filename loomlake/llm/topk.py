@@ -8,9 +8,10 @@ opens the node with the least lower bound; a child is passed over without comput
 distance to the parent already shows, by the triangle inequality, that it is too far. Scores are exact integer products
 of the leaf rows.
 
-Queries travel in blocks of about half ``QUERY_BLOCK`` rows, one block after the other: a block is searched in the first
-tree, whose k-th scores are the bounds with which it goes to all others, so that these return little. Nothing but one
-block and its bounds is on the driver.
+Queries travel in blocks of about half ``QUERY_BLOCK`` rows, one block after the other: a block is searched in some trees
+first, as many as there are cores, so that all of them have work; the k-th scores so far are the bounds with which it
+goes to all others, so that these return little. A block's best rows are stored before the next one begins; nothing but
+one block and its bounds is on the driver.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids; only vectors of one length
 are compared. Components of ``HUGE`` and more are scanned without bounds, in Python's integers; scores that a long can't
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stash, text_batches
+from .base import release, scratch_path, stash, text_batches
 
 SCALE = 1024
 TREE_ROWS = 8192
@@ -213,7 +214,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, tree_rows: int = TR
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     blocks = max(1, -(-asked.count() // max(1, query_block // 2)))
     asked = stash(asked.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "queries")
-    parts = []
+    trees = max(1, spark.sparkContext.defaultParallelism)
+    done = scratch_path(spark, "best")
     for block in range(blocks):  # one after the other
         queries: dict[int, tuple] = {}
         for r in asked.where(F.col("block") == block).orderBy("vec_id").collect():  # about half of query_block rows
@@ -223,15 +225,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, tree_rows: int = TR
         if not queries:
             continue
         queries = {dim: (ids, list(_matrix(rows_, dim)), [None] * len(ids)) for dim, (ids, rows_) in queries.items()}
-        near = _searched(forest.where("tree = 0"), queries, k)
-        parts.append(near)
+        near = _searched(forest.where(F.col("tree") < trees), queries, k)
         # the k-th score so far; an id that has several query rows is bounded by its best ones together
         least = {r.query_id: r.score for r in _best(near, k).where(F.col("rank") == k).collect()}  # at most a row for each query
         queries = {dim: (ids, rows_, [None if abs(least.get(i, LONG)) >= LONG - 1 else least[i] for i in ids]) for dim, (ids, rows_, _) in queries.items()}
-        parts.append(_searched(forest.where("tree <> 0"), queries, k))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole_table = parts[0]
-    for part in parts[1:]:
-        whole_table = whole_table.unionByName(part)
-    return _best(whole_table, k).select("query_id", "rank", "vec_id", "score")
+        far = _searched(forest.where(F.col("tree") >= trees), queries, k)
+        _best(near.unionByName(far), k).select("query_id", "vec_id", "score").write.mode("append").parquet(done)
+        release(near, far)
+    schema = "query_id long, vec_id long, score long"
+    found = spark.read.schema(schema).parquet(done) if asked.take(1) else spark.createDataFrame([], schema)
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")  # an id's rows may lie in several blocks

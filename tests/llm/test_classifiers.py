@@ -103,3 +103,30 @@ def test_context_windows():
     for open_ in ('she said "hello" to the idiot', "idiot ”", '"idiot'):
         assert [f["quoted"] for f in model.matches(open_)[0]] == [False]
     assert model.matches("idiot " + "x " * 20 + "moron")[0][0]["around"] == 0 and model.matches(None) == ([], [0.0] * 7)
+
+
+def test_a_step_follows_the_numeric_gradient():
+    """One batch and one epoch of operator 4's fit: every weight moves by AdaGrad along the gradient of the weighted loss."""
+    rng = np.random.default_rng(3)
+    width, buckets, rank, rate, decay = len(quality.statistics("", 0)), 24, 3, 0.05, 1e-4
+    rows = [(np.sort(rng.choice(buckets, 5, replace=False)), np.full(5, 5**-0.5), list(rng.normal(size=width))) for _ in range(40)]
+    labels = (rng.random(40) < 0.3).astype(float)
+    model = quality.train(rows, labels, buckets, rank, 1, rate, decay, seed=7)
+    share = labels.mean()
+    weight = np.where(labels == 1, min(4.0, (1 - share) / share), 1.0)
+    start = quality.FactorisationMachine(model.mean, model.scale, np.log(share / (1 - share)), np.zeros(buckets + width), np.random.default_rng(7).normal(0, 0.02, (buckets + width, rank)), buckets)
+    data = [start.joined(*r) for r in rows]
+
+    def loss():
+        raw = np.array([start.raw(*d) for d in data])
+        return (weight * (np.logaddexp(0, raw) - labels * raw)).mean()
+
+    for array, moved in ((start.w, model.w), (start.v, model.v)):
+        for spot in [(0,), (7,), (buckets + 2,)] if array.ndim == 1 else [(0, 0), (9, 2), (buckets, 1)]:
+            old = array[spot]
+            array[spot] = old + 1e-5
+            up = loss()
+            array[spot] = old - 1e-5
+            slope = (up - loss()) / 2e-5 + decay * old
+            array[spot] = old
+            assert abs(moved[spot] - (old - rate * slope / np.sqrt(1e-6 + slope**2))) < 2e-4

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from plain import contamination
+from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, decontaminate, jaccard_join, line_dedup, token_files
 
@@ -163,3 +164,29 @@ def test_token_files(spark, docs):
         start += r.n_tokens
     assert not any(texts.values()) and order == sorted(order)
     assert token_files.token_files(docs.limit(0)).count() == 0
+
+
+def test_empty_tables_and_repeated_rows(spark, docs):
+    """Operators 2 and 3: no rows of no rows, and the same digests for each of the equal rows."""
+    none = docs.where("false")
+    items = spark.createDataFrame([(1, " ".join(BASE[:13]))], "item_id long, text string")
+    assert bpe.digests(none).count() == 0 and decontaminate.contamination(none, items).count() == 0
+    assert {(r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, items.where("false")).collect()} == {(0, False)}
+    twice = docs.unionByName(docs).where("doc_id in (0, 4, 7)")
+    for found in (bpe.digests(twice).select("doc_id", "ids_sha256"), decontaminate.contamination(twice, items).select("d", "n_hit")):
+        rows = found.collect()
+        assert len(rows) == 6 and len(set(rows)) == 3
+
+
+def test_equal_rows_lie_in_several_token_files(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text in each row").alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would make one file
+    try:
+        manifest = token_files.write_token_files(rows, f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 1 and max(sizes) < 3000
+    read = token_files.read_token_files(manifest, f"file://{tmp_path}").collect()
+    n = read[0].n_tokens
+    assert sorted(r.start for r in read) == list(range(0, 4000 * n, n)) and len({r.ids_crc32 for r in read}) == 1
