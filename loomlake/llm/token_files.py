@@ -327,7 +327,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id are told apart by their texts, also where files part
-    return stash(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "path string, part int, n_docs long, n_ids long"), "token-manifest")
+    spread = F.xxhash64(F.monotonically_increasing_id())  # equal rows give equal bytes in any order, and may lie in several files
+    return stash(rows.withColumn("u", spread).repartitionByRange(*keys, F.col("u")).drop("u").sortWithinPartitions(*keys).mapInArrow(run, "path string, part int, n_docs long, n_ids long"), "token-manifest")
 
 
 MANIFEST = pa.schema([("path", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
