@@ -449,14 +449,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component: the first by id and then by the text's hash, null ids last. Rows equal in id and
     text are one document and are kept together; without an id, one of the rows of a text with words is kept."""
-    own = F.xxhash64(key_of("doc_id"), text_of())
+    first, other = F.xxhash64(key_of("doc_id"), text_of()), F.xxhash64(F.lit(1), text_of(), key_of("doc_id"))
+    names = docs.select(first.alias("own"), other.alias("alt"))
+    # two rows in 2**64 names: a few pairs at 10**10 documents
+    clashes = names.groupBy("own").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select("own")
+    clashing = [r.own for r in clashes.collect()]
+    own = F.when(first.isin(clashing), other).otherwise(first) if clashing else first
     rows = docs.select(own.alias("own"), key_of("doc_id").alias("d"), F.xxhash64(text_of()).alias("h"))
     found = near_duplicates(docs.select(own.alias("doc_id"), "text"))
     linked = stash(found.where("component_id <> doc_id").select(F.col("doc_id").alias("own"), F.col("component_id").alias("c")).distinct(), "linked-copies")
     members = stash(linked.union(linked.select("c", "c")).distinct().join(rows, "own").distinct(), "component-members")
     place = F.struct((F.col("d") == NULL_ID).alias("nameless"), "d", "h", "own")
-    first = members.groupBy("c").agg(F.min(place).alias("x")).select("x.own")
-    gone = stash(members.join(first, "own", "left_anti").select(F.col("own").alias("__gone")), "near-copies")
+    least = members.groupBy("c").agg(F.min(place).alias("x")).select("x.own")
+    gone = stash(members.join(least, "own", "left_anti").select(F.col("own").alias("__gone")), "near-copies")
     nameless = F.col("doc_id").isNull() & text_of().rlike(r"[^ \t\n\x0B\f\r]")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = docs.where(nameless).groupBy(own.alias("__own")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")).select("__row.*")
