@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sigmoid
-from ..functions.text import collapsed
+from ..functions.text import collapsed, words
 from ..plans.plugins import Embedder, PairScorer
 from ..sources.scratch import stored
-from .dense import dot, unit
+from .dense import dot
 from .sparse import top
 
 
@@ -86,42 +92,56 @@ def as_json(ranked: DataFrame, alpha: float, k: int) -> DataFrame:
 
 def late_interaction_scorer(queries: DataFrame, embed: Embedder | None = None, dim: int = 64) -> PairScorer:
     """A pair scorer by late interaction: for each distinct token of the query its best cosine with a token of the text, summed
-    over the query's tokens and divided by their number. embed: vectors of tokens; by default those of their character
-    trigrams, hashed and signed. Only tokens of queries and candidates are embedded, each once. queries: query_id, query.
+    over the query's tokens and divided by their number. Only the candidates' tokens are looked at. embed: vectors of
+    tokens, each made once; by default ``trigram_vector``. queries: query_id, query.
 
     A query without tokens scores 0, and so does a text without any.
     """
-    from ..functions.text import words
+    tokens = lambda c: F.array_distinct(words(F.lower(F.coalesce(F.col(c), F.lit("")))))
+
+    def by_trigrams(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vector = lru_cache(100_000)(lambda token: trigram_vector(token, dim))
+            for b in batches:
+                scores = []
+                for q, t in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    both = q and t and np.array([vector(x) for x in q]) @ np.array([vector(x) for x in t]).T
+                    scores.append(float(both.max(1).mean()) if q and t else 0.0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(scores, pa.float64())], [*b.schema.names[:-2], "score_rerank"])
+
+        schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-2]) + ", score_rerank double"
+        return rows.mapInArrow(run, schema)
 
     def score(candidates: DataFrame) -> DataFrame:
+        asked = queries.select("query_id", tokens("query").alias("__q"))
+        if embed is None:
+            rows = candidates.join(asked, "query_id").withColumn("__t", tokens("text"))
+            return by_trigrams(rows.select(*candidates.columns, "__q", "__t"))
         rows = stored(candidates, "reranked")
-        asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower("query")))).alias("q"))
-        asked = asked.join(rows.select("query_id").distinct(), "query_id", "left_semi")
-        texts = stored(rows.select("id", "text").dropDuplicates(["id"]).select("id", F.array_distinct(words(F.lower("text"))).alias("w")), "candidate-tokens")
-        tokens = asked.select(F.col("q").alias("token")).unionByName(texts.select(F.explode("w").alias("token"))).distinct()
-        vectors = stored((embed(tokens, "token", "token") if embed else trigram_vectors(tokens, "token", dim)).select(F.col("id").alias("token"), "v"), "token-vectors")
-        left = asked.join(vectors.withColumnRenamed("token", "q"), "q").groupBy("query_id").agg(F.collect_list("v").alias("qv"))
-        right = texts.select("id", F.explode("w").alias("token")).join(vectors, "token").groupBy("id").agg(F.collect_list("v").alias("tv"))
+        near = asked.join(rows.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.explode("__q").alias("token"))
+        texts = stored(rows.select("id", "text").dropDuplicates(["id"]).select("id", F.explode(tokens("text")).alias("token")), "candidate-tokens")
+        vectors = stored(embed(near.select("token").unionByName(texts.select("token")).distinct(), "token", "token").select(F.col("id").alias("token"), "v"), "token-vectors")
+        left = near.join(vectors, "token").groupBy("query_id").agg(F.collect_list("v").alias("__q"))
+        right = texts.join(vectors, "token").groupBy("id").agg(F.collect_list("v").alias("__t"))
         met = rows.join(left, "query_id", "left").join(right, "id", "left")
-        best = F.transform("qv", lambda q: F.array_max(F.transform("tv", lambda t: dot(q, t))))
-        total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("qv")
-        return met.withColumn("score_rerank", F.coalesce(F.when(F.size("tv") > 0, total), F.lit(0.0))).drop("qv", "tv")
+        best = F.transform("__q", lambda q: F.array_max(F.transform("__t", lambda t: dot(q, t))))
+        total = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("__q")
+        return met.withColumn("score_rerank", F.coalesce(F.when(F.size("__t") > 0, total), F.lit(0.0))).drop("__q", "__t")
 
     return score
 
 
-def trigram_vectors(tokens: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """id, v: tokens as unit vectors of their character trigrams, with a mark at both ends, each counted in a hashed cell."""
-    marked = F.concat(F.lit("<"), F.col(key), F.lit(">"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.substring(marked, i, F.lit(3)).cast("binary")), F.lit(dim)))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda c: F.size(F.filter("g", lambda g: g == c)).cast("double"))
-    return tokens.select(F.col(key).alias("id"), grams.alias("g")).select("id", unit(cells).alias("v"))
+def trigram_vector(token: str, dim: int = 64) -> np.ndarray:
+    """The unit vector of a token's character trigrams, with a mark at both ends, each counted in the cell that the first two
+    bytes of its MD5 give."""
+    marked, v = f"<{token}>", np.zeros(dim)
+    for i in range(len(marked) - 2):
+        v[int.from_bytes(hashlib.md5(marked[i : i + 3].encode("utf-8", "surrogatepass")).digest()[:2], "big") % dim] += 1
+    return v / np.sqrt((v**2).sum())
 
 
 def overlap_scorer(queries: DataFrame) -> PairScorer:
     """The default pair scorer: share of the query's words that the text has. queries: query_id, query."""
-    from ..functions.text import words
-
     def score(candidates: DataFrame) -> DataFrame:
         rows = candidates.join(queries.select("query_id", "query"), "query_id")
         asked = F.array_distinct(words(F.lower("query")))

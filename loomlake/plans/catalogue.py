@@ -590,6 +590,24 @@ def reranked_topk(spark, d):
     return retrieval.hybrid(*_sides(spark, d, 60), scorer=retrieval.overlap_scorer(asked)).select("query_id", "id", "rank", _r("score_rerank").alias("score_rerank"), _r("score_rerank_norm").alias("score_rerank_norm"))
 
 
+_LATE_SQL = f"""{_hybrid_sql(0.7, 30)}, cand as materialized (select query_id, id from h where rank <= 30),
+qt as (select item_id query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) q from benchmark),
+dt as materialized (select doc_id id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) t from documents where doc_id in (select id from cand)),
+gr as (select w, unnest(list_transform(range(1, length(w) + 1), lambda i: substr('<' || w || '>', i, 3))) g from (select q w from qt union select t from dt)),
+cells as (select w, ('0x' || substr(md5(g), 1, 4))::int % 64 cell, count(*) n from gr group by 1, 2), tv as materialized (select w, cell, n / sqrt(sum(n * n) over (partition by w)) x from cells),
+pairs as materialized (select a.w q, b.w t, sum(a.x * b.x) s from tv a join tv b using (cell) where a.w in (select q from qt) and b.w in (select t from dt) group by 1, 2),
+best as (select query_id, id, q, coalesce(max(s), 0) s from cand join qt using (query_id) join dt using (id) left join pairs using (q, t) group by 1, 2, 3), late as (select query_id, id, avg(s) s from best group by 1, 2)"""
+
+
+@_query(f"with {_LATE_SQL} select query_id, id, cast(rank as integer) rank, round(s, 6) score_rerank from (select *, row_number() over (partition by query_id order by round(s, 9) desc, id) rank from late) where rank <= 10")
+def late_reranked_topk(spark, d):
+    """Thirty hybrid candidates of each item, reranked by late interaction."""
+    asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scorer = retrieval.late_interaction_scorer(asked)
+    best = retrieval.hybrid(*_sides(spark, d, 60), scorer=lambda c: scorer(c).withColumn("score_rerank", F.round("score_rerank", 9)))
+    return best.select("query_id", "id", "rank", _r("score_rerank").alias("score_rerank"))
+
+
 @_query(f"with {_hybrid_sql(0.7, 5)} select query_id, cast(rank as integer) rank, id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) content_md5, round(score_hybrid, 5) score, round(score_sparse, 5) score_sparse from h left join documents on doc_id = id where rank <= 5")
 def retriever_documents(spark, d):
     found = retrieval.documents(_hybrid(spark, d, 0.7, 5))
