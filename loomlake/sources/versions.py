@@ -47,7 +47,13 @@ class Versioned:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         segments = self.manifest(version)["segments"]
-        return self._tables([s for s in segments if self._fs.exists(self._at("segments", s, name))], name)
+        return self._tables([s for s in segments if self._holds(s, name)], name)
+
+    def _holds(self, segment: str, name: str) -> bool:
+        """A table partitioned by a column has no file, and no schema, where it has no row."""
+        folder = self._at("segments", segment, name)
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return any(not n.startswith("_") or "=" in n for n in names)
 
     def _tables(self, segments: list[str], name: str) -> DataFrame:
         parts = [self.spark.read.parquet(f"{self.path}/segments/{s}/{name}") for s in segments]

@@ -126,7 +126,9 @@ def test_cells(spark, tmp_path, points):
     assert ann.recall(ann.search(index, asked, 10, 24, clamp=False), exact) == 1.0
     one = ann.probed(index, asked.limit(1), nprobe).first().cells
     read = index.vectors().where(F.col("cell").isin(one))
-    assert len(read.inputFiles()) < len(index.vectors().inputFiles())
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [") == 2 and "PartitionFilters: []" not in plan  # in both segments
+    assert read.select(F.input_file_name()).distinct().count() < len(index.vectors().inputFiles()) / 2
     loose = np.random.default_rng(6).normal(size=(1500, 32))  # no groups at all: many cells are needed
     rows = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(loose)], "id long, v array<double>")
     index = ann.build(rows, str(tmp_path / "loose"))

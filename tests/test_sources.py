@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomlake.operators import quality, ratings, search
 from loomlake.sources import html, records, vectors
+from loomlake.sources.versions import Versioned
 from loomlake.streaming.ingest import ingest_jsonl
 
 
@@ -131,6 +132,8 @@ def test_ratings_and_stream(spark, tmp_path):
         out, cp = str(tmp_path / f"out-{form}"), str(tmp_path / f"cp-{form}")
         for n, ids in enumerate(("aab", "bc", "", "cda")):
             (tmp_path / "in" / f"{form}{n}.json").write_text("".join(json.dumps({"doc_id": d, "n": n}) + "\n" for d in ids) + '{"n": 7}\n')
-            ingest_jsonl(spark, str(tmp_path / "in"), "doc_id string, n int", out, cp, form=form).awaitTermination()
+            ingest_jsonl(spark, str(tmp_path / "in"), "doc_id string, n int", out, cp, form=form, compact=3).awaitTermination()
+        ids = Versioned(spark, out + "_ids")
+        assert len(ids.manifest()["segments"]) < 3 and sorted(r.doc_id for r in ids.read("ids").collect()) == ["a", "b", "c", "d"]
         got = spark.read.format(form).load(out).collect()
         assert sorted(r.doc_id for r in got) == ["a", "b", "c", "d"]
