@@ -154,12 +154,12 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, rounds: int =
     centroids = train(rows, cells or max(1, round(rows.count() ** 0.5)), rounds, seed=seed)
     table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
     by_cell = _by_cell(rows, centroids, file_rows) if dim else rows.withColumn("cell", F.lit(0))
-    Versioned(spark, path).publish({"vectors": by_cell, "cells": table}, {"kind": "cells", "dim": dim or 0}, partition_by={"vectors": ["cell"]})
+    Versioned(spark, path).publish({"vectors": by_cell, "cells": table}, {"kind": "cells", "dim": dim or 0}, partition_by={"vectors": ["cell"]} if dim else {})
     return CellIndex(spark, path)
 
 
 def append(index: CellIndex, vectors: DataFrame, file_rows: int = FILE_ROWS) -> CellIndex:
-    """More vectors, into the cells as they are."""
+    """More vectors, into the cells as they are. An index of nothing has no cells, and has to be built anew."""
     rows = vectors.where("id is not null and v is not null")
     about = index.store.about()
     _checked(rows, about["dim"])

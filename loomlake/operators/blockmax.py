@@ -4,7 +4,7 @@ A block holds some rows that stand together. For each token it has the rows' pla
 greatest frequency and the least row length, which bound what the token can add to a score in this block, whatever the
 corpus' average length is. So blocks stay as they are when others are added, and an index grows by appending blocks.
 
-Queries go to the blocks, in groups of about QUERY_TERMS terms. A task keeps the k best rows of each query that it has
+Queries go to the blocks in groups, whose table of queries and terms has about QUERY_CELLS cells. A task keeps the k best rows of each query that it has
 seen. It adds up a block's bounds for each query, passes the block over for the queries whose k-th score they can't reach, and
 scores its rows for the others at once, as a product of two matrices. Only k rows for each query and task are moved.
 """
@@ -27,8 +27,8 @@ from .sparse import B, K1, term_weights, top
 
 #: Rows in a block, and tokens, unless one row has more.
 BLOCK_ROWS, BLOCK_TOKENS = 64, 1 << 18
-#: Terms of the queries that travel to every task at once, about.
-QUERY_TERMS = 20_000
+#: Cells of the table (queries of a group x their terms) that travels to every task at once, about.
+QUERY_CELLS = 1 << 23
 BLOCK = "n long, total long, ids array<{key}>, dls array<int>, tokens array<string>, counts array<int>, max_tf array<int>, min_dl array<int>, places array<int>, tfs array<int>"
 #: Sums in another order may differ by this share.
 MARGIN = 1e-9
@@ -150,11 +150,13 @@ def search(index: BlockIndex, queries: DataFrame, query_id: str, query: str, k:
     weighted = stored(asked.join(term_weights(index, floor), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight")), "query-terms")
     n, avgdl = index.stats.first()
     key_kind, id_kind = weighted.schema["query_id"].dataType.simpleString(), index.blocks.schema["ids"].dataType.elementType.simpleString()
-    groups = -(-weighted.count() // QUERY_TERMS)
+    n_terms, n_queries = weighted.agg(F.count("*"), F.countDistinct("query_id")).first()
+    per_group = max(1, int((QUERY_CELLS * n_queries / max(n_terms, 1)) ** 0.5))  # q queries of t terms have q * q * t cells at most
+    groups = -(-n_queries // per_group)
     dealt = weighted.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(max(1, groups))))
     found = None
     for g in range(groups):
-        rows = dealt.where(F.col("g") == g).select("query_id", "token", "weight").collect()  # about QUERY_TERMS rows
+        rows = dealt.where(F.col("g") == g).select("query_id", "token", "weight").collect()  # a group of queries
         if not rows:
             continue
         part = _searched(index.blocks, rows, avgdl or 1.0, k, places, k1, b, skip, f"query_id {key_kind}, id {id_kind}, score double")

@@ -24,7 +24,7 @@ def hits(df):
 
 @pytest.mark.parametrize("floor", ["epsilon", "none", "plus_one"])
 def test_blocks_give_the_scores_of_the_postings(spark, monkeypatch, floor):
-    monkeypatch.setattr(blockmax, "QUERY_TERMS", 60)
+    monkeypatch.setattr(blockmax, "QUERY_CELLS", 300)
     docs = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate([*texts(1, 300), "w1 " * 5000, None, ""])], "id int, text string, kind int").repartition(3)
     asked = spark.createDataFrame([*enumerate(texts(2, 25, 12)), (90, "absent"), (91, None)], "item_id int, text string")
     packed = blockmax.packed(docs, "id", near=[F.col("kind")], rows=8, tokens=2000)
@@ -137,6 +137,15 @@ def test_cells(spark, tmp_path, points):
     assert share >= 0.95 and nprobe < len(index.centroids()) and ann.recall(ann.search(index, asked, 10, nprobe, clamp=False), ann.nearest(rows, asked)) >= 0.9
 
 
+def test_an_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    index = ann.build(none, str(tmp_path / "none"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, qv array<double>")
+    assert index.vectors().count() == 0 and ann.nearest(index.vectors(), asked).collect() == []
+    with pytest.raises(ValueError):
+        ann.append(index, spark.createDataFrame([(1, [0.5])], "id long, v array<double>"))
+
+
 def test_nearest_with_ties(spark):
     rows = spark.createDataFrame([(f"r{i}", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(30)], "id string, v array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id int, qv array<double>")
