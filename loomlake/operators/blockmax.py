@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..sources.scratch import forget, stored
+from ..sources.scratch import forget, small_batches, stored
 from ..sources.versions import Versioned
 from .sparse import B, K1, term_weights, top
 
@@ -67,6 +67,7 @@ class BlockIndex:
 
 def packed(chunks: DataFrame, key: str, text: str = "text", near: list[Column] | None = None, rows: int = BLOCK_ROWS, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The blocks of chunks. near: rows are sorted by it where they lie, so that rows of one kind share blocks."""
+    small_batches(chunks.sparkSession)
     kind = chunks.schema[key].dataType.simpleString()
     found = chunks.sortWithinPartitions(*near) if near else chunks
     found = found.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("w"))
@@ -169,6 +170,7 @@ def search(index: BlockIndex, queries: DataFrame, query_id: str, query: str, k:
 
 
 def _searched(blocks: DataFrame, rows: list, avgdl: float, k: int, places: int | None, k1: float, b: float, skip: bool, schema: str) -> DataFrame:
+    small_batches(blocks.sparkSession)
     names = sorted({r.query_id for r in rows})
     place = {q: i for i, q in enumerate(names)}
     vocabulary = {t: i for i, t in enumerate(sorted({r.token for r in rows}))}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.labels import predict as predicted
-from ..sources.scratch import forget, stored
+from ..sources.scratch import forget, small_batches, stored
 from ..sources.versions import Versioned
 from .sums import CHUNK, summed
 
@@ -30,6 +30,7 @@ RATE, DECAY, THRESHOLD = 0.2, 1e-4, 0.5
 
 def features(rows: DataFrame, dim: int = DIM, text: str = "text") -> DataFrame:
     """rows without their text, with at (hashed words, ascending) and x (1 + ln of their counts, at length 1)."""
+    small_batches(rows.sparkSession)
     words = T.tokenize(F.lower(F.coalesce(F.col(text), F.lit(""))))
     rest = [c for c in rows.columns if c != text]
     found = rows.select(*rest, F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")).alias("at"))

@@ -33,6 +33,14 @@ def folder(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:
+    """Keep Arrow batches below ``most_bytes`` (or one row): wide rows have to fit in a Python worker. Plans read the setting when
+    they run, so it stays; a smaller one is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written and read back: the lineage ends, lost executors don't matter, and the planner knows the size, so that it
     broadcasts the table only below spark.sql.autoBroadcastJoinThreshold."""
