@@ -47,13 +47,17 @@ def score_range(scored: DataFrame) -> DataFrame:
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """The default embedder: hashed tokens, signed, at length 1. id, v. Rows of one key are one text; a text without tokens
-    has the zero vector. Cells are summed before the shuffle, and at most ``dim`` of them per row are moved."""
+    has the zero vector; where the signs of all tokens cancel, the cells' counts stand for their sums. Cells are summed before the
+    shuffle, and at most ``dim`` of them per row are moved."""
     from ..functions.text import tokenize
 
     tokens = rows.select(F.col(key).alias("id"), F.explode_outer(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("w"))
     h = F.xxhash64("w")
     sign = F.when(F.pmod(F.shiftright(h, 40), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cells = tokens.select("id", F.when(F.col("w").isNotNull(), F.pmod(h, F.lit(dim)).cast("int")).alias("i"), sign.alias("x")).groupBy("id", "i").agg(F.sum("x").alias("x"))
-    held = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "x")))).alias("m"))
+    cells = tokens.select("id", F.when(F.col("w").isNotNull(), F.pmod(h, F.lit(dim)).cast("int")).alias("i"), sign.alias("x")).groupBy("id", "i").agg(F.sum("x").alias("x"), F.count("*").cast("double").alias("c"))
+    own = F.when(F.col("i").isNotNull(), F.struct("i", "x", "c"))
+    listed = cells.groupBy("id").agg(F.collect_list(own).alias("l"))
+    gone = ~F.exists("l", lambda e: e["x"] != 0)
+    held = listed.select("id", F.map_from_entries(F.transform("l", lambda e: F.struct(e["i"], F.when(gone, e["c"]).otherwise(e["x"])))).alias("m"))
     whole = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     return held.select("id", whole.alias("v")).select("id", unit(F.col("v")).alias("v"))
