@@ -7,10 +7,15 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: set[str] = set()
+#: For tables of wide rows: a scan holds a row group's columns unpacked, many times their size in the file, and a writer a whole row
+#: group. So these are small, and their size is looked at after a few rows instead of the usual hundred.
+WIDE = {"parquet.block.size": str(1 << 22), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
 
 
 def folder(spark: SparkSession) -> str:
@@ -41,12 +46,25 @@ def small_batches(spark: SparkSession, most_bytes: int = 1 << 23) -> None:
         spark.conf.set(key, str(most_bytes))
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside go when it ends, and not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """df written and read back: the lineage ends, lost executors don't matter, and the planner knows the size, so that it
-    broadcasts the table only below spark.sql.autoBroadcastJoinThreshold."""
+    broadcasts the table only below spark.sql.autoBroadcastJoinThreshold. options: the Parquet writer's."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with own_shuffles(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

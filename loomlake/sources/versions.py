@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import WIDE
+
 
 class Versioned:
     def __init__(self, spark: SparkSession, path: str):
@@ -67,7 +69,8 @@ class Versioned:
     def _write(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]]) -> str:
         segment = uuid.uuid4().hex
         for name, df in tables.items():
-            writer = df.write.partitionBy(*partition_by[name]) if name in partition_by else df.write
+            writer = df.write.options(**WIDE)
+            writer = writer.partitionBy(*partition_by[name]) if name in partition_by else writer
             writer.parquet(f"{self.path}/segments/{segment}/{name}")
         return segment
 
