@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import own_shuffles
+
 #: Stands for a null id inside an operator, so that keys can be joined by equality.
 NULL_ID = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,10 +55,11 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write a step to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner the real size in bytes, so that a join
-    broadcasts the table only when it is known to be below spark.sql.autoBroadcastJoinThreshold.
+    broadcasts the table only when it is known to be below spark.sql.autoBroadcastJoinThreshold. Its shuffle files go at once.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with own_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
