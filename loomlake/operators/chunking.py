@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..sources.scratch import stored
+from ..sources.scratch import small_batches, stored
 from .quality import first_of
 
 PIECES = "start long, end long, text string"
 # The order in which the sources are loaded.
 FAMILIES = ["article", "book", "qa_pair"]
+#: Texts that a Python worker cuts at once.
+TEXT_BYTES = 1 << 22
 # Where a recursive split may cut, from coarse to fine.
 SEPARATORS = ["\n\n", "\n", ". ", "؟", "!", " ", ""]
 
@@ -249,6 +251,7 @@ def chunk_rows(docs: DataFrame, strategy: str, key: str = "doc_id", text: str =
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}: one of {', '.join(STRATEGIES)}")
     cut = STRATEGIES[strategy]
+    small_batches(docs.sparkSession, TEXT_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
