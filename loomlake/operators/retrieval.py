@@ -23,7 +23,12 @@ def normalized(scored: DataFrame, score: str = "score") -> Column:
     """Min-max over each query's candidates; 0.5 for all where they hardly differ."""
     per = Window.partitionBy("query_id")
     low, high = F.min(score).over(per), F.max(score).over(per)
-    return F.when(high - low < 1e-8, F.lit(0.5)).otherwise((F.col(score) - low) / (high - low))
+    return between(F.col(score), low, high)
+
+
+def between(score: Column, low: Column, high: Column) -> Column:
+    """Where a score stands from 0 at low to 1 at high; 0.5 where these hardly differ."""
+    return F.when(high - low < 1e-8, F.lit(0.5)).otherwise((score - low) / (high - low))
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, alpha: float = 0.7) -> DataFrame:

@@ -54,6 +54,15 @@ def build(chunks: DataFrame, key: str, text: str = "text", keep: bool = True) ->
     return SparseIndex(docs, postings, terms, stats)
 
 
+def counted(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """n, avgdl, n_terms, n_tokens of the chunks (one row): tokens are counted in the tasks, and only a row for each distinct one
+    that a task has moves. No index is made."""
+    tokens = chunks.select(F.posexplode_outer(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("i", "token"))
+    each = tokens.groupBy("token").agg(F.count("token").alias("tf"), F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("n"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return each.agg(n.alias("n"), (F.sum("tf") / F.sum("n")).alias("avgdl"), F.count("token").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
 def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5))
 

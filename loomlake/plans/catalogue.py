@@ -383,7 +383,7 @@ def _chunked(spark: SparkSession, d: str, *rest: str) -> DataFrame:
     return chunking.char_chunks(_table(spark, d, "documents").select("doc_id", "text", *rest)).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "doc_id", "text", *rest)
 
 
-_INDEXES: dict[tuple[str, str, str, str], sparse.SparseIndex | blockmax.BlockIndex | ann.CellIndex] = {}
+_INDEXES: dict[tuple[str, str, str, str], blockmax.BlockIndex | ann.CellIndex] = {}
 
 
 def _version(spark: SparkSession, path: str) -> str:
@@ -406,13 +406,8 @@ def _held(spark: SparkSession, d: str, what: str, make: Callable[[], object]):
     return _INDEXES[*own, what]
 
 
-def _index(spark: SparkSession, d: str, what: str) -> sparse.SparseIndex:
-    """Postings of the chunks or of whole documents."""
-    return _held(spark, d, what, lambda: sparse.build(_chunked(spark, d) if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
-
-
 def _blocks(spark: SparkSession, d: str, what: str) -> blockmax.BlockIndex:
-    """Block-max postings of the same rows; a block's rows are of one language."""
+    """Block-max postings of the chunks or of whole documents; a block's rows are of one language."""
 
     def make() -> blockmax.BlockIndex:
         rows = _chunked(spark, d, "lang") if what == "chunks" else _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
@@ -423,10 +418,7 @@ def _blocks(spark: SparkSession, d: str, what: str) -> blockmax.BlockIndex:
 
 @_query(f"with {_BM25_SQL} select n n_chunks, round(avgdl, 6) avgdl, (select count(*) from df) n_terms, (select cast(sum(tf) as bigint) from tf) n_tokens from st")
 def bm25_stats(spark, d):
-    index = _index(spark, d, "chunks")
-    tokens = index.postings.agg(F.sum("tf").alias("n_tokens"))
-    terms = index.terms.agg(F.count("*").alias("n_terms"))
-    return index.stats.crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(tokens)).select(F.col("n").alias("n_chunks"), _r("avgdl").alias("avgdl"), "n_terms", "n_tokens")  # one row each
+    return sparse.counted(_chunked(spark, d)).select(F.col("n").alias("n_chunks"), _r("avgdl").alias("avgdl"), "n_terms", "n_tokens")
 
 
 _TOP = "row_number() over (partition by query_id order by round({s}, 9) desc, id)"
@@ -450,7 +442,7 @@ _SHORT_SQL = """qs as (select item_id, array_to_string(list_filter(regexp_split_
 def bm25_short_topk(spark, d):
     """Three words of each item, pruned by bounds."""
     items = _table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ").alias("text"))
-    return _top(sparse.best(_index(spark, d, "chunks"), items, "item_id", "text", 10), 10).select("query_id", "id", "rank", _r("score").alias("score"))
+    return blockmax.search(_blocks(spark, d, "chunks"), items, "item_id", "text", 10, places=9).select("query_id", "id", "rank", _r("score").alias("score"))
 
 
 _DENSE_SQL = """e as (select vec_id, cast(embedding as double[]) v, label from embeddings), qv as (select item_id query_id, v qv from benchmark join e on vec_id = item_id),
@@ -568,8 +560,10 @@ for _n, _a in (("hybrid_topk", 0.7), ("hybrid_topk_04", 0.4), ("hybrid_topk_spar
 
 @_query(f"with {_DOC_BM25_SQL} select query_id, id, round({_MINMAX.format(s='score')}, 5) score_norm from bm window w as (partition by query_id)")
 def minmax_scores(spark, d):
-    a = sparse.scores(_index(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 9))
-    return a.select("query_id", "id", F.round(retrieval.normalized(a), 5).alias("score_norm"))
+    a, ends = blockmax.scores(_blocks(spark, d, "documents"), _table(spark, d, "benchmark"), "item_id", "text")
+    ends = scratch.stored(ends.select("query_id", F.round("low", 9).alias("low"), F.round("high", 9).alias("high")), "ranges")
+    score = retrieval.between(F.round("score", 9), F.col("low"), F.col("high"))
+    return a.join(F.broadcast(ends), "query_id").select("query_id", "id", F.round(score, 5).alias("score_norm"))  # a row for each query
 
 
 @_query(f"""with {_hybrid_sql(0.7, 5)}, m as (select 'sparse' as method, query_id, id, round(score, 9) score from bm union all select 'dense', query_id, id, round(score, 9) from de union all select 'hybrid', query_id, id, score_hybrid from h where rank <= 5)
