@@ -34,7 +34,8 @@ def balanced(rows: DataFrame, paraphrase: Callable[[DataFrame, str, str, int], D
     Every pass asks the paraphraser for lines of the sources of the labels that are still in need, keeps the lines that
     are long enough and not the source, drops those that any earlier pass, another source or the table has already, and takes
     what the quotas and ``most_per_sample`` leave open, sources in order. New rows have the target label and the
-    source's other labels in need; a new row counts for its target. Ids go on from the greatest one. It ends when
+    source's other labels in need; a new row counts for its target. Ids go on from the greatest one. Where places are equal the
+    text's hash decides, not the text: samples of what rows are ordered by go to the driver. It ends when
     all quotas are met, or after ``passes``; what then is missing stays missing.
     """
     plan = stored(balance_plan(rows, labels, target), "plan")
@@ -56,8 +57,8 @@ def balanced(rows: DataFrame, paraphrase: Callable[[DataFrame, str, str, int], D
         # one row for each text: the least label, then the first source
         first = new.groupBy("__h").agg(F.min(F.struct("label", "place", "n", key, "__t")).alias("s")).select("__h", "s.*")
         had = made.groupBy(key, "label").agg(F.count("*").alias("had")) if made is not None else first.select(key, "label", F.lit(0).alias("had")).where("false")
-        first = numbered(first, ["label", key], [F.col("n"), F.col("__t")], "own").join(had, [key, "label"], "left").where(F.col("own") + F.coalesce("had", F.lit(0)) <= most_per_sample)
-        placed = numbered(first.select("label", key, "place", "n", "__t", "__h"), ["label"], [F.col("place"), F.col("n"), F.col("__t")], "made")
+        first = numbered(first, ["label", key], [F.col("n"), F.col("__h")], "own").join(had, [key, "label"], "left").where(F.col("own") + F.coalesce("had", F.lit(0)) <= most_per_sample)
+        placed = numbered(first.select("label", key, "place", "n", "__t", "__h"), ["label"], [F.col("place"), F.col("n"), F.col("__h")], "made")
         quota = F.create_map(*[F.lit(x) for item in need.items() for x in item])
         taken = stored(placed.where(F.col("made") <= quota[F.col("label")]).withColumn("pass", F.lit(number)).select("label", key, "place", "n", "__t", "__h", "pass"), f"pass-{number}")
         got = {r.label: r["count"] for r in taken.groupBy("label").count().collect()}  # a row for each label
@@ -69,7 +70,7 @@ def balanced(rows: DataFrame, paraphrase: Callable[[DataFrame, str, str, int], D
     if made is None:
         return whole
     last = rows.agg(F.max(key)).first()[0] or 0
-    new = numbered(made, [], [F.col("pass"), F.col("label"), F.col("place"), F.col("n"), F.col("__t")], "__n").join(rows.select(key, F.col(labels).alias("__l")), key)
+    new = numbered(made, [], [F.col("pass"), F.col("label"), F.col("place"), F.col("n"), F.col("__h")], "__n").join(rows.select(key, F.col(labels).alias("__l")), key)
     own = F.transform("__l", lambda v, i: F.when((i == F.col("label")) | ((v == 1) & i.isin(scarce)), 1).otherwise(0))
     new = new.select((F.col("__n") + F.lit(last)).cast(dict(rows.dtypes)[key]).alias(key), F.col("__t").alias(text), own.cast(dict(rows.dtypes)[labels]).alias(labels), F.col(key).alias("source"))
     return whole.unionByName(new, allowMissingColumns=True)

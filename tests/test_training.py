@@ -109,3 +109,18 @@ def test_passes_go_on_and_end(spark):
     assert sorted({r.text.split(" of ")[0] for r in new}) == ["variant 1", "variant 2", "variant 4"] and len(new) == 9
     few = augment.balanced(rows, target=500, most_per_sample=2).where("source is not null").groupBy("source").count().collect()
     assert all(r["count"] == 2 for r in few) and len(few) == 3
+
+
+def test_texts_are_not_ordered_by(spark, monkeypatch):
+    """A sort by ranges sends samples of its keys to the driver; no text may be among them."""
+    seen, plain = [], augment.numbered
+
+    def watched(rows, group, order, name):
+        asked = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(order)])
+        seen.extend(r for r in asked.collect())
+        return plain(rows, group, order, name)
+
+    monkeypatch.setattr(augment, "numbered", watched)
+    rows = spark.createDataFrame([(i, f"number {i} " + "long text " * 30, [1, int(i < 3)]) for i in range(20)], "id int, text string, labels array<int>")
+    assert augment.balanced(rows, target=6).where("source is not null").count() == 3
+    assert seen and all(len(str(v)) <= 32 for r in seen for v in r)
