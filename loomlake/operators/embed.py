@@ -22,6 +22,8 @@ from .sums import summed
 from .training import features
 
 CELLS, DIM, MORE, PASSES = 1 << 15, 64, 16, 6
+#: Rows of a block that is multiplied at once, and filled places, unless one row has more.
+ROWS, FILLED = 32, 1 << 13
 
 
 def _rows(at: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,15 +38,26 @@ def _weighted(at: pa.Array, x: pa.Array, weight: np.ndarray) -> tuple[np.ndarray
     return row, cell, value / np.where(length > 0, length, 1)[row]
 
 
+def _blocks(row: np.ndarray, cell: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some rows at a time: these, the cells that they fill, and the table of both. row ascends. A block has ROWS rows, or as many
+    filled places as these usually have, so that its table stays small."""
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    ends, low = np.r_[starts[1:], len(row)], 0
+    while low < len(starts):
+        high = min(low + ROWS, max(low + 1, int(np.searchsorted(ends, starts[low] + FILLED, "right"))), len(starts))
+        a, z = starts[low], ends[high - 1]
+        cells, at = np.unique(cell[a:z], return_inverse=True)
+        table = np.zeros((high - low, len(cells)))
+        table[np.repeat(np.arange(high - low), ends[low:high] - starts[low:high]), at] = value[a:z]
+        yield row[starts[low:high]], cells, table
+        low = high
+
+
 def _times(row: np.ndarray, cell: np.ndarray, value: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
     """The rows' product with w."""
     out = np.zeros((n, w.shape[1]))
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for low in range(0, len(starts), 256):  # some rows at a time
-            a, z = starts[low], starts[low + 256] if low + 256 < len(starts) else len(row)
-            own = starts[low : low + 256]
-            out[row[own]] = np.add.reduceat(value[a:z, None] * w[cell[a:z]], own - a, axis=0)
+    for own, cells, table in _blocks(row, cell, value):
+        out[own] = table @ w[cells]
     return out
 
 
@@ -108,15 +121,9 @@ def fit(rows: DataFrame, text: str = "text", dim: int = DIM, cells: int = CELLS,
         def multiply(total: np.ndarray, b: pa.RecordBatch, held=held) -> None:
             weight, w = held.value
             row, cell, value = _weighted(b.column(0), b.column(1), weight)
-            y = _times(row, cell, value, b.num_rows, w)
-            order = np.argsort(cell, kind="stable")
-            row, cell, value = row[order], cell[order], value[order]
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
             whole = total.reshape(cells, -1)
-            for low in range(0, len(starts), 256):
-                a, z = starts[low], starts[low + 256] if low + 256 < len(starts) else len(row)
-                own = starts[low : low + 256]
-                whole[cell[own]] += np.add.reduceat(value[a:z, None] * y[row[a:z]], own - a, axis=0)
+            for _, filled, table in _blocks(row, cell, value):
+                whole[filled] += table.T @ (table @ w[filled])
 
         product = summed(data.select("at", "x"), cells * width, multiply).reshape(cells, width)
         held.destroy()

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,13 @@ def features(rows: DataFrame, dim: int = DIM, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = [], []
-            for cells in b.column(len(rest)).to_pylist():
-                own, n = np.unique(np.array(cells, np.int32), return_counts=True)
-                v = 1 + np.log(n)
-                at.append(own)
-                x.append(v / np.sqrt((v**2).sum()) if len(v) else v)
-            ends = pa.array(np.r_[0, np.cumsum([len(a) for a in at])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(a) if a else np.empty(0), k)) for a, k in ((at, pa.int32()), (x, pa.float64()))]
+            words, row = b.column(len(rest)), np.arange(b.num_rows)
+            row = np.repeat(row, pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            both, n = np.unique(row * dim + words.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            row, v = both // dim, 1 + np.log(n)
+            v /= np.sqrt(np.bincount(row, v**2, b.num_rows))[row]
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(a)) for a in ((both % dim).astype(np.int32), v)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], [*rest, "at", "x"])
 
     return found.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "at array<int>", "x array<double>"]))

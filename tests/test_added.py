@@ -219,3 +219,16 @@ def test_search_json_holds_the_hybrid_rows(spark):
     for q, x in found.items():
         assert x["alpha"] == 0.7 and x["top_k"] == 10 and [e["rank"] for e in x["results"]] == list(range(1, len(x["results"]) + 1))
         assert {e["id"]: round(e["score_hybrid"], 5) for e in x["results"]} == {i: r.score_hybrid for i, r in rows[q].items()}
+
+
+def test_rows_are_multiplied_in_blocks():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(200, 12_000)) * (rng.random((200, 12_000)) < 0.01)
+    table[50] = rng.normal(size=12_000)  # more than a block's places
+    table[120:180] = 0
+    row, cell = np.nonzero(table)
+    w = rng.normal(size=(12_000, 5))
+    assert np.allclose(embed._times(row, cell, table[row, cell], 200, w), table @ w)
+    blocks = list(embed._blocks(row, cell, table[row, cell]))
+    assert max(len(own) for own, *_ in blocks) <= embed.ROWS and sum(len(own) for own, *_ in blocks) == 140
+    assert all(np.array_equal(part, table[np.ix_(own, cells)]) for own, cells, part in blocks)
