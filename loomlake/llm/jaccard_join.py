@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import NULL_ID, id_of, key_of, meet, release, stash, text_batches, text_of
-from .bpe import Memo
 from .components import connected_components
 
 SHINGLE = 5
@@ -44,6 +43,8 @@ SHINGLE = 5
 PERCENT = 75
 SKETCH = 1 << 16
 CHUNK = 1 << 14
+#: Characters that are shingled at a time, and bytes of a batch of texts.
+PART, BATCH = 1 << 19, 1 << 21
 STAR = 256
 HOT = 32
 #: Bits of the filter over representatives: 2 to the power of LEAST_FILTER at least, MOST_FILTER at most.
@@ -55,15 +56,26 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 class Shingler:
-    """Distinct shingle hashes of texts, ascending: word hashes times powers of an odd number, summed and mixed."""
+    """Distinct shingle hashes of texts, ascending: word hashes times powers of an odd number, summed and mixed. Words are
+    hashed anew each time, which is faster than a memo of them and holds none; a word in a list takes many times its bytes,
+    so no more than ``PART`` characters (or one text) are cut into words at a time."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, Memo(xxhash.xxh3_64_intdigest)
+        self.size = size
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, low, held = [], 0, 0
+        for at, text in enumerate(texts):
+            if held and held + len(text or "") > PART:
+                out += self._part(texts[low:at])
+                low, held = at, 0
+            held += len(text or "")
+        return out + self._part(texts[low:])
+
+    def _part(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: only A-Z and ASCII blanks count
         ends = np.cumsum([0, *map(len, cut)])
-        h = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(cut)), np.uint64, int(ends[-1]))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(cut)), np.uint64, int(ends[-1]))
         whole = self._summed(h, self.size) if len(h) >= self.size else h[:0]
         out = []
         for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -97,7 +109,7 @@ def names_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH)
     return docs.select(key_of("doc_id").alias("d"), F.col("text").cast("string").alias("text"))
 
 

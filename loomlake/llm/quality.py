@@ -29,6 +29,8 @@ from .base import text_batches
 from .bpe import Memo
 
 BUCKETS = 1 << 14
+#: Words that a worker remembers, and bytes of a batch of texts.
+MEMO, BATCH = 1 << 16, 1 << 21
 MAX_TRAIN = 8000
 THRESHOLD = 0.7
 RANK = 8
@@ -81,7 +83,7 @@ def features(text: str, n_chars: int | None, buckets: int, memo: Memo) -> tuple[
 
 
 def word_memo(buckets: int) -> Memo:
-    return Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets)
+    return Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, MEMO)
 
 
 @dataclass
@@ -174,7 +176,7 @@ def labelled_sample(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH)
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("n_chars"))
 
@@ -226,5 +228,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             scores = [fm.score(t, n, memo) for t, n in zip(b.column(at).to_pylist(), lengths, strict=True)]
             yield b.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH)
     return docs.mapInArrow(run, schema)

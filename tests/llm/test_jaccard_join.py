@@ -1,5 +1,7 @@
 """Operator 5 against all pairs: groups of near copies, hot shingles, blocks, the exact way past the filter."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -86,3 +88,18 @@ def test_star_around_the_greatest_node(spark, monkeypatch):
     edges = [(i, 900) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 420)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 1 for i in [*range(2, 300), 900]}, **{i: 400 for i in range(401, 421)}}
+
+
+def test_shingling_holds_no_batch_of_words():
+    """Words of 4 MB of texts, as a list and in a memo, take many times that; the sets are those of the texts one by one."""
+    words = np.random.default_rng(3).integers(0, 10**6, (2000, 300))
+    texts = [" ".join(f"w{n}" for n in row) for row in words.tolist()] + [None, "", "one two", "x " * 300_000]
+    tracemalloc.start()
+    shingler = jaccard_join.Shingler()
+    found = shingler.many(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    own = sum(s.nbytes for s in found)
+    assert held < own + (1 << 21) and peak < own + (40 << 20)
+    assert all(np.array_equal(s, jaccard_join.Shingler()(t)) for s, t in zip(found[::97] + found[-4:], texts[::97] + texts[-4:], strict=True))
+    assert [len(s) for s in found[-4:]] == [0, 0, 1, 1]
