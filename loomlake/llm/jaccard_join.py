@@ -11,8 +11,10 @@ Groups of near copies are never spelled out as all pairs. Round 1 tests each pos
 previous class of its shingle (pairs met a few times over) and joins what is linked, hot pivots dealt out by salts.
 Round 2 looks at shingles whose classes still lie in different components. A class with fewer of them than any linked
 pair of its size shares is settled and leaves. Where a shingle's classes are few, their pairs meet by a
-join. Where they are more than HOT, the classes that such shingles connect form a family; its sets are dealt to cells
-of two blocks of about BLOCK classes, but for cells whose classes all lie in one component already; a cell counts
+join. Where they are more than HOT, the classes that such shingles connect form a family. Its classes are dealt to cells
+of two blocks of about WIDE * BLOCK classes, but for cells whose classes all lie in one component already. To these move only
+the shingles that are still open, half of each hash: a class goes on to the smaller cells in which another one shares as many
+of them as a linked pair. Whole sets move to these, cells of two blocks of about BLOCK classes; a cell counts
 intersections by matrix products and gives back a spanning forest of the links it found. A link missed by round 1 has its ends in one component or is tested in round 2, so no component
 is lost, and no task holds more than a cell.
 
@@ -28,6 +30,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,10 @@ HOT = 32
 #: Bits of the filter over representatives: 2 to the power of LEAST_FILTER at least, MOST_FILTER at most.
 LEAST_FILTER, MOST_FILTER = 20, 1 << 28
 BLOCK = 384
+#: Blocks of whole sets in a block of open shingles.
+WIDE = 3
+#: Ranges of hashes whose postings are moved one after the other, so that only one range's lie on disk.
+RANGES = 2
 #: An n-shingle set posts n / EXTRA more than it must, and its pairs have to meet as many times more.
 EXTRA = 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -150,13 +157,14 @@ def _sketch(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, clashing: frozenset[int], size: int, percent: int) -> DataFrame:
-    """(s shingle, cls, n, pos): the rarest shingles of each class, once in each task."""
+def _prefixes(docs: DataFrame, sketch: np.ndarray, clashing: frozenset[int], size: int, percent: int) -> list[DataFrame]:
+    """(s shingle, cls, n, pos): the rarest shingles of each class, once in each task. A table for each of RANGES ranges of s."""
+    ranges = RANGES
     places = np.empty(SKETCH, np.uint64)
     places[np.argsort(sketch, kind="stable")] = np.arange(SKETCH)  # the cells from rare to frequent
     held = docs.sparkSession.sparkContext.broadcast(places << np.uint64(64 - SKETCH.bit_length() + 1))  # SKETCH cells whatever the corpus holds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], own_range: int) -> Iterator[pa.RecordBatch]:
         shingler, cells, seen = Shingler(size), held.value, set()
         for b in batches:
             s, cls, n, pos = [], [], [], []
@@ -174,11 +182,12 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, clashing: frozenset[int], siz
             if s:
                 lengths = np.array(pos)
                 places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(s).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), lengths)), pa.array(np.repeat(np.array(n, np.int32), lengths)), pa.array(places.astype(np.int32))], ["s", "cls", "n", "pos"]
-                )
+                s = np.concatenate(s)
+                keep = (s >> np.uint64(32)) % np.uint64(ranges) == own_range
+                rows = (s.view(np.int64), np.repeat(np.array(cls, np.int64), lengths), np.repeat(np.array(n, np.int32), lengths), places.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], ["s", "cls", "n", "pos"])
 
-    return _texts(docs).mapInArrow(run, "s long, cls long, n int, pos int")
+    return [_texts(docs).mapInArrow(partial(run, own_range=k), "s long, cls long, n int, pos int") for k in range(ranges)]
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -294,17 +303,19 @@ def _pair_seats(pairs: DataFrame) -> DataFrame:
     return salted.unionByName(centres).select("*", F.lit(-1).alias("c"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("block"))
 
 
-def _family_seats(hot: DataFrame) -> DataFrame:
-    """Where the sets of the classes of hot shingles (s, cls, root) have to be: at (family, block, other block). A root with
-    BLOCK classes or more has blocks of its own, and these never meet each other: only what may join two roots is moved."""
+def _family_seats(hot: DataFrame, wide: int = 1) -> DataFrame:
+    """Where the sets of the classes of hot shingles (s, cls, root) have to be: at (family, block, other block). A root with as
+    many classes as a block, ``wide`` times BLOCK, has blocks of its own, and these never meet each other: only what may join two
+    roots is moved."""
+    size = wide * BLOCK
     firsts = stash(hot.groupBy("s").agg(F.min("cls").alias("y"), F.count("*").alias("c")), "family-firsts")
     bonds = meet(hot, firsts, ["s"], ["cls"]).where("cls <> y").select(F.col("cls").alias("x"), "y").distinct()
     family = connected_components(bonds, "families")
     members = hot.select("cls", "root").distinct().join(family.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls", "left")
     members = stash(members.withColumn("family", F.coalesce("family", "cls")), "family-members")
     roots = members.groupBy("family", "root").agg(F.count("*").alias("c"))
-    roots = stash(roots.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("root"))), "family-roots")
-    groups = roots.groupBy("family", "own").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    roots = stash(roots.withColumn("own", F.when(F.col("c") >= size, F.col("root"))), "family-roots")
+    groups = roots.groupBy("family", "own").agg(F.ceil(F.sum("c") / size).cast("int").alias("blocks"))
     before = Window.partitionBy("family").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)  # a row for each large root of a family
     groups = stash(groups.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "family-groups")
     dealt = meet(members, roots, ["family", "root"], ["cls"])
@@ -316,6 +327,50 @@ def _family_seats(hot: DataFrame) -> DataFrame:
     return cells.select("cls", F.col("family").alias("a"), F.least("block", "j").alias("b"), F.col("cls").alias("y"), F.greatest("block", "j").alias("c"), "root", "block")
 
 
+def _near_seats(seats: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """Of wide cells (seats of _family_seats) the smaller ones in which a class may be linked with another: it shares as many open
+    shingles with it as their lengths ask. posts: s, cls, n of these. Shingles are told apart by half of their hash; where two
+    are taken for one, more is counted, and not less."""
+    parts, seats = WIDE, stash(seats, "wide-seats")
+    wanted = posts.join(seats.select("cls").distinct(), "cls", "left_semi")
+    lists = wanted.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.shiftright("s", 32).cast("int")).alias("own"))
+    met = lists.join(seats, "cls").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c").select("cls", "a", "b", "c", "root", "block", "n", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cell(at: tuple[int, int, int], held: list[tuple]) -> pa.RecordBatch:
+            cls, root, block, n = (np.array([h[k] for h in held], np.int64) for k in range(4))
+            mixed = (cls.view(np.uint64) * _MIX[0]) >> np.uint64(40)
+            block = block * parts + (mixed % np.uint64(parts)).astype(np.int64)
+            found = []
+            shared = _common([h[4] for h in held])
+            for i in range(len(held)):
+                least, most = np.minimum(n, n[i]), np.maximum(n, n[i])
+                near = (shared[i] > least // EXTRA) & (100 * least >= percent * most) & (root != root[i])
+                if at[1] != at[2]:
+                    near &= block // parts != block[i] // parts
+                found += [(i, int(j)) for j in np.unique(block[near])]
+            own, other = np.array(found, np.int64).reshape(-1, 2).T
+            columns = (cls[own], np.full(len(own), at[0]), np.minimum(block[own], other).astype(np.int32), cls[own], np.maximum(block[own], other).astype(np.int32), root[own], block[own].astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cls", "a", "b", "y", "c", "root", "block"])
+
+        at, held = None, []
+        for batch in batches:
+            lists = batch.column(7)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, (cls, a, b, c, root, block, n) in enumerate(zip(*(column.to_pylist() for column in batch.columns[:7]), strict=True)):
+                if held and at != (a, b, c):
+                    yield cell(at, held)
+                    held = []
+                at = (a, b, c)
+                held.append((cls, root, block, n, values[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield cell(at, held)
+
+    found = stash(met.mapInArrow(run, "cls long, a long, b int, y long, c int, root long, block int"), "near-seats")
+    release(seats)
+    return found
+
+
 def _linked(docs: DataFrame, reps: DataFrame, seats: DataFrame, clashing: frozenset[int], size: int, percent: int, tag: str) -> DataFrame:
     """Links (x, y) among the sets that meet at a seat (a, b, c): each set is made once and moved to its seats."""
     seats = stash(seats, f"{tag}-seats")
@@ -374,11 +429,10 @@ def _able(posts: DataFrame, percent: int) -> DataFrame:
     return posts.withColumn("had", F.count("*").over(whole)).where(f"had > ({percent}L * n + 99) div 100 div {EXTRA}").drop("had")
 
 
-def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], percent: int, slab: int = 8192) -> list[tuple[int, int]]:
-    """A spanning forest (positions) of the links between rows of different roots; of different blocks, if there are two."""
-    n = np.array([len(s) for s in own])
-    values, where = np.unique(np.concatenate(own), return_inverse=True)
-    rows = np.repeat(np.arange(len(own)), n)
+def _common(own: list[np.ndarray], slab: int = 2048) -> np.ndarray:
+    """How many values each two lists share; one that stands in a list repeatedly counts as many times."""
+    where = np.unique(np.concatenate(own), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(own)), [len(s) for s in own])
     counts = np.bincount(where)
     place = np.cumsum(counts > 1) - 1  # shingles of one row can't be shared
     keep = counts[where] > 1
@@ -389,8 +443,14 @@ def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], perc
     for low in range(0, int(where[-1]) + 1 if len(where) else 0, slab):
         a, z = np.searchsorted(where, [low, low + slab])
         flags = np.zeros((len(own), slab), np.float32)
-        flags[rows[a:z], where[a:z] - low] = 1
+        np.add.at(flags, (rows[a:z], where[a:z] - low), 1)
         shared += flags @ flags.T
+    return shared
+
+
+def _cell_links(own: list[np.ndarray], blocks: list[int], roots: list[int], percent: int, slab: int = 8192) -> list[tuple[int, int]]:
+    """A spanning forest (positions) of the links between rows of different roots; of different blocks, if there are two."""
+    n, shared = np.array([len(s) for s in own]), _common(own, slab)
     total, root, block = n[:, None] + n[None, :] - shared, np.array(roots), np.array(blocks)
     linked = (100 * shared.astype(np.float64) >= percent * total.astype(np.float64)) & (root[:, None] != root[None, :])
     if len(set(blocks)) > 1:
@@ -426,7 +486,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     renamed = F.when(F.col("cls").isin(list(clashing)), F.col("alt")).otherwise(F.col("cls")) if clashing else F.col("cls")
     members = rows.select("d", renamed.alias("cls"), "n")
     reps = stash(members.where("cls is not null").groupBy("cls").agg(F.min(F.when(F.col("d") != NULL_ID, F.col("d"))).alias("known"), F.min("d").alias("any")).select("cls", F.coalesce("known", "any").alias("rep")), "representatives")
-    shared = _shared(_prefixes(docs, _sketch(found), clashing, shingle, percent))
+    ranges = [_shared(posts) for posts in _prefixes(docs, _sketch(found), clashing, shingle, percent)]
+    shared = reduce(DataFrame.union, ranges)
     one = shared.select(F.col("first").alias("x"), F.col("cls").alias("y"), F.col("first_n").alias("n1"), F.col("first_pos").alias("p1"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     two = shared.where("prev <> first").select("prev", "cls", "prev_n", "prev_pos", "n", "pos")
     met = one.union(two).where(_alike(percent)).groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
@@ -437,7 +498,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     all_posts = shared.select("s", "cls", "n", "pos").union(shared.where("prev = first").select("s", "first", "first_n", "first_pos"))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("root"))
     posts = stash(_able(all_posts.join(named, "cls"), percent), "rooted-shingles")
-    release(shared)
+    release(*ranges)
     opened = stash(_able(_open(posts, "open").drop("m"), percent), "open-shingles")
     release(posts)
     able = stash(_open(opened, "able"), "able-shingles")
@@ -448,7 +509,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     met = a.join(b, "s").where("x < y and r1 <> r2 and " + _alike(percent))
     met = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.expr(_reaches(percent))).alias("ok"))
     pairs = _pair_seats(met.where(f"ok and met >= {_least_met()}").select("x", "y"))
-    more = _linked(docs, reps, pairs.unionByName(_family_seats(hot)), clashing, shingle, percent, "round-2")
+    near = _near_seats(_family_seats(hot, WIDE), able, percent)
+    more = _linked(docs, reps, pairs.unionByName(near), clashing, shingle, percent, "round-2")
     release(able)
     roots = connected_components(edges.union(_to_reps(more, reps)), "round-2")
 

@@ -103,3 +103,28 @@ def test_shingling_holds_no_batch_of_words():
     assert held < own + (1 << 21) and peak < own + (40 << 20)
     assert all(np.array_equal(s, jaccard_join.Shingler()(t)) for s, t in zip(found[::97] + found[-4:], texts[::97] + texts[-4:], strict=True))
     assert [len(s) for s in found[-4:]] == [0, 0, 1, 1]
+
+
+def test_families_move_few_sets(spark, monkeypatch):
+    """One passage in the texts of many small groups makes them a family: sets move to cells with a class that they may be linked
+    with, and not to those of all blocks; and postings lie in ranges of hashes."""
+    moved, prefixes = {}, []
+    linked, first = jaccard_join._linked, jaccard_join._shared
+    monkeypatch.setattr(jaccard_join, "_linked", lambda docs, reps, seats, *rest: (moved.update({rest[-1]: seats.where("c >= 0").count()}), linked(docs, reps, seats, *rest))[1])
+    monkeypatch.setattr(jaccard_join, "_shared", lambda posts: (prefixes.append(posts.count()), first(posts))[1])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SKETCH", 1 << 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 1 << 2)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(150):
+        passage = [f"p{i}" for i in range(12)]
+        n = int(rng.integers(20, 200))
+        plain = [f"w{g}_{i}" for i in range(n)]
+        for k in range(2):
+            rows.append((10 * g + k, " ".join([*plain[: n - 3 * k], *passage, *[f"z{g}{k}{i}" for i in range(k)]])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs(rows)
+    assert len(prefixes) == jaccard_join.RANGES and min(prefixes) > 0.4 * sum(prefixes)
+    assert moved["round-2"] < 5 * len(rows)  # each of them meets 40 blocks and more otherwise
