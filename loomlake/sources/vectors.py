@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dense import hashed_vectors
+from ..operators.dense import hashed_vector, hashed_vectors
 from ..plans.plugins import Embedder
-from .scratch import forget, stored
+from .scratch import forget, small_batches, stored
 from .versions import Versioned
 
 METRIC = "cosine"
@@ -16,7 +16,11 @@ FIELDS = ["text", "parent_doc_id", "kb_family", "content_type", "title", "url",
 
 def embedded(chunks: DataFrame, embed: Embedder = hashed_vectors, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Chunks with their unit vectors: chunk_id, embedding and those of ``FIELDS`` that the chunks have. Repeated ids count once."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), *[F.col(text).alias("text") if f == "text" else f for f in FIELDS if f == "text" or f in chunks.columns]).dropDuplicates(["chunk_id"])
+    rows = chunks.select(F.col(key).alias("chunk_id"), *[F.col(text).alias("text") if f == "text" else f for f in FIELDS if f == "text" or f in chunks.columns])
+    if embed is hashed_vectors:  # made in its row, so that no text has to move for it
+        small_batches(chunks.sparkSession)
+        return rows.withColumn("embedding", hashed_vector(F.col("text")).cast("array<float>")).dropDuplicates(["chunk_id"])
+    rows = rows.dropDuplicates(["chunk_id"])
     vectors = embed(rows, "chunk_id", "text").select(F.col("id").alias("chunk_id"), F.col("v").cast("array<float>").alias("embedding"))
     return rows.join(vectors, "chunk_id")
 

@@ -2,11 +2,12 @@
 
 import glob
 
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from loomlake.operators import blockmax, chunking, dense, sparse
-from loomlake.sources import html, scratch
+from loomlake.sources import html, scratch, vectors
 
 
 def test_a_reference_without_its_semicolon_stays(spark):
@@ -64,3 +65,16 @@ def test_texts_and_pages_travel_in_small_batches(spark):
         assert int(spark.conf.get(key)) <= html.PAGE_BYTES
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def test_hashed_vectors_are_made_in_their_rows(spark):
+    """No row for each token or cell, and in a collection no text that moves: one shuffle, that of ids and vectors."""
+    rows = spark.createDataFrame([(f"c{i}", " ".join(f"w{i}_{j}" for j in range(i))) for i in range(20)] + [("none", None), ("two", "a b"), ("two", "b c c")], "chunk_id string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(dense.hashed_vectors(rows, "chunk_id", "text"))
+    found = vectors.embedded(rows.where("chunk_id <> 'two'"))
+    assert "Generate" not in plan(found) and "Join" not in plan(found)
+    want = {r.id: r.v for r in dense.hashed_vectors(rows, "chunk_id", "text").collect()}
+    assert {r.chunk_id: r.embedding for r in found.collect()} == {k: [float(np.float32(x)) for x in v] for k, v in want.items() if k != "two"}
+    one = {r.id: r.v for r in dense.hashed_vectors(spark.createDataFrame([("two", "a b b c c")], "id string, text string"), "id", "text").collect()}
+    assert want["two"] == one["two"] and not any(want["none"])
